@@ -11,22 +11,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ledgerlens.functions.text import ustrip
+
+# (format, shape) pairs in trial order.  A format is only tried when the
+# text has its separator in the right place (4-digit year first -> '-' at
+# position 5; day first -> '.' or '/' at position 3), which skips hopeless
+# parse attempts without changing which format wins.
 DATE_FORMATS = [
-    "yyyy-MM-dd",
-    "yyyy-MM-dd HH:mm:ss",
-    "yyyy-MM-dd'T'HH:mm:ss",
-    "yyyy-MM-dd HH:mm:ss.SSSSSS",
-    "dd.MM.yyyy",
-    "dd.MM.yyyy HH:mm:ss",
-    "dd.MM.yyyy H:mm:ss",
-    "dd/MM/yyyy",
+    ("yyyy-MM-dd", "iso"),
+    ("yyyy-MM-dd HH:mm:ss", "iso"),
+    ("yyyy-MM-dd'T'HH:mm:ss", "iso"),
+    ("yyyy-MM-dd HH:mm:ss.SSSSSS", "iso"),
+    ("dd.MM.yyyy", "dot"),
+    ("dd.MM.yyyy HH:mm:ss", "dot"),
+    ("dd/MM/yyyy", "slash"),
 ]
 QUARTER_PATTERN = r"^(\d{4})\s*[Qq]([1-4])$"
 
 
 def parse_date(col: Column) -> Column:
     """String -> timestamp; unknown formats -> NULL (never raises under ANSI)."""
-    text = F.regexp_replace(col.cast("string"), r"(?U)^\s+|\s+$", "")
+    text = ustrip(col.cast("string"))
     quarter_year = F.regexp_extract(text, QUARTER_PATTERN, 1)
     quarter_no = F.regexp_extract(text, QUARTER_PATTERN, 2)
     quarter_start = F.when(
@@ -37,7 +42,12 @@ def parse_date(col: Column) -> Column:
             F.lit(1), F.lit(0), F.lit(0), F.lit(0),
         ).cast("timestamp"),
     )
-    parsed = [F.try_to_timestamp(text, F.lit(fmt)) for fmt in DATE_FORMATS]
+    shapes = {
+        "iso": F.substring(text, 5, 1) == F.lit("-"),
+        "dot": F.substring(text, 3, 1) == F.lit("."),
+        "slash": F.substring(text, 3, 1) == F.lit("/"),
+    }
+    parsed = [F.when(shapes[shape], F.try_to_timestamp(text, F.lit(fmt))) for fmt, shape in DATE_FORMATS]
     return F.coalesce(*parsed, quarter_start)
 
 

@@ -161,8 +161,14 @@ def _keyword_parts(comp: _Compiler, rule: dict[str, Any]) -> tuple[Column, Colum
 
 
 def _pick(values: list[Column], index: Column) -> Column:
-    """values[index] for a 0-based index column (NULL index -> NULL)."""
-    return F.element_at(F.array(*values), index + F.lit(1))
+    """values[index] for a 0-based index column, as a CASE: only the chosen
+    branch is evaluated per row (NULL index -> NULL)."""
+    if not values:
+        return F.lit(None)
+    expr = None
+    for i, value in enumerate(values):
+        expr = F.when(index == F.lit(i), value) if expr is None else expr.when(index == F.lit(i), value)
+    return expr
 
 
 def _first_true(flags: list[Column]) -> Column:
@@ -172,23 +178,36 @@ def _first_true(flags: list[Column]) -> Column:
     return expr if expr is not None else F.lit(None).cast("int")
 
 
+def _features(df: DataFrame) -> dict[str, Column]:
+    """The nine features, NULL/absent -> '', stripped and lower-cased."""
+    features = {}
+    for column in cfg.FEATURE_COLUMNS:
+        raw = F.col(column).cast("string") if column in df.columns else F.lit(None).cast("string")
+        features[_feature_name(column)] = F.lower(ustrip(F.coalesce(raw, F.lit(""))))
+    return features
+
+
 def classify_payments(
     df: DataFrame,
     rules: list[dict[str, Any]] | None = None,
 ) -> DataFrame:
-    """Append the 13 classification columns to every row."""
+    """Append the 13 classification columns to every row.
+
+    Plan shape: Project(features) -> Project(one boolean per distinct
+    substring test) -> Project(per-rule article/vendor flags and keyword
+    score) -> Project(winner index) -> Generate(inline of one struct with the
+    13 outputs).  Winner-specific work (keyword list, patterns, texts) sits in
+    CASE branches, so it runs for the winning rule only.  The one-row
+    ``inline`` keeps later filters on the outputs (review queue, unmatched
+    rows) above the classifier instead of letting the optimizer copy the
+    whole rule expression into the filter.
+    """
     rules = cfg.CLASSIFICATION_RULES if rules is None else rules
     ordered = active_rules(rules)
     comp = _Compiler()
+    original = df.columns
+    staged = df.withColumns(_features(df))
 
-    # 1. normalized features (absent / NULL -> '')
-    features = {}
-    for column in cfg.FEATURE_COLUMNS:
-        raw = F.col(column).cast("string") if column in df.columns else F.lit(None).cast("string")
-        features[_feature_name(column)] = F.lower(ustrip(F.coalesce(raw, F.lit(""))))
-    staged = df.withColumns(features)
-
-    # 3 (built first so that step 2 knows every test it needs)
     art, ven, kw_arrays, kw_scores, vpat, apat = [], [], [], [], [], []
     for rule in ordered:
         art.append(_tier_match(comp, rule, cfg.ARTICLE_COLUMNS))
@@ -199,7 +218,6 @@ def classify_payments(
         vpat.append(_first_pattern(comp, rule, cfg.VENDOR_COLUMNS))
         apat.append(_first_pattern(comp, rule, cfg.ARTICLE_COLUMNS))
 
-    # 2. one column per distinct substring test
     staged = staged.withColumns(
         {
             name: F.contains(F.col(_feature_name(feature)), F.lit(text))
@@ -211,41 +229,34 @@ def classify_payments(
         {
             **{f"__art{i}": art[i] for i in range(n)},
             **{f"__ven{i}": ven[i] for i in range(n)},
-            **{f"__kws{i}": kw_arrays[i] for i in range(n)},
             **{f"__kwsc{i}": kw_scores[i] for i in range(n)},
         }
     )
-
-    # 4. winner
     art_c = [F.col(f"__art{i}") for i in range(n)]
     ven_c = [F.col(f"__ven{i}") for i in range(n)]
     score_c = [F.col(f"__kwsc{i}") for i in range(n)]
-    kw_candidates = F.array_min(
-        F.array(*[F.when(score_c[i] > 0, F.struct((-score_c[i]).alias("s"), F.lit(i).alias("i"))) for i in range(n)])
-    ) if n else F.lit(None)
-    staged = staged.withColumns(
-        {
-            "__wa": _first_true(art_c),
-            "__wv": _first_true(ven_c),
-            "__wk": kw_candidates.getField("i") if n else F.lit(None).cast("int"),
-        }
-    )
-    winner = F.coalesce(F.col("__wa"), F.col("__wv"), F.col("__wk"))
+    if n:
+        best_kw = F.array_min(
+            F.array(*[F.when(score_c[i] > 0, F.struct((-score_c[i]).alias("s"), F.lit(i).alias("i"))) for i in range(n)])
+        ).getField("i")
+    else:
+        best_kw = F.lit(None).cast("int")
+    staged = staged.withColumns({"__wa": _first_true(art_c), "__wv": _first_true(ven_c), "__wk": best_kw})
     staged = staged.withColumns(
         {
-            "__w": winner,
+            "__w": F.coalesce(F.col("__wa"), F.col("__wv"), F.col("__wk")),
             "__tier": F.when(F.col("__wa").isNotNull(), 1).when(F.col("__wv").isNotNull(), 2)
             .when(F.col("__wk").isNotNull(), 3),
         }
     )
     w = F.col("__w")
-    article_matched = F.col("__tier") == 1
-    vendor_matched = (F.col("__tier") == 2) | (article_matched & _pick(ven_c, w))
+    am = F.coalesce(F.col("__tier") == 1, F.lit(False))
+    vm = F.coalesce((F.col("__tier") == 2) | ((F.col("__tier") == 1) & _pick(ven_c, w)), F.lit(False))
     staged = staged.withColumns(
         {
-            "__am": F.coalesce(article_matched, F.lit(False)),
-            "__vm": F.coalesce(vendor_matched, F.lit(False)),
-            "__kwl": _pick([F.col(f"__kws{i}") for i in range(n)], w),
+            "__am": am,
+            "__vm": vm,
+            "__kwl": _pick(kw_arrays, w),
             "__ks": _pick(score_c, w),
             "__rid": _pick([F.lit(r["rule_id"]) for r in ordered], w),
             "__l1": _pick([F.lit(r["target"]["l1"]) for r in ordered], w),
@@ -303,26 +314,24 @@ def classify_payments(
                  F.lit(" / "), F.col("__l3"), F.lit(".")),
     )
     matched = w.isNotNull()
-    outputs = {
-        "l1_category": F.when(matched, F.col("__l1")).otherwise(F.lit(cfg.FACT_DEFAULT_L1)),
-        "l2_category": F.when(matched, F.col("__l2")).otherwise(F.lit(cfg.FACT_DEFAULT_L2)),
-        "l3_category": F.when(matched, F.col("__l3")).otherwise(F.lit(cfg.FACT_DEFAULT_L3)),
-        "classification_reason": F.when(matched, reason).otherwise(F.lit(cfg.UNMATCHED_REASON)),
-        "classification_reason_human": F.when(matched, human).otherwise(F.lit(cfg.UNMATCHED_REASON_HUMAN)),
-        "classification_confidence": F.when(matched, bucket).otherwise(F.lit("unclassified")),
-        "classification_confidence_score": F.when(matched, F.round(num, 4)).otherwise(F.lit(0.0)),
-        "classification_rule_id": F.when(matched, F.col("__rid")),
-        "matched_rule_id": F.when(matched, F.col("__rid")),
-        "matched_keywords": F.when(matched, F.array_join(F.col("__kwl"), ", ")).otherwise(F.lit("")),
-        "matched_vendor_pattern": F.when(matched, F.col("__vp")),
-        "matched_article_pattern": F.when(matched, F.col("__ap")),
-        "review_required": F.when(
-            matched, bucket.isin("low", "unclassified") | (num < F.col("__rrb"))
-        ).otherwise(F.lit(True)),
-    }
-    staged = staged.withColumns(outputs)
-    temp = [c for c in staged.columns if c.startswith("__")]
-    return staged.drop(*temp)
+    outputs = [
+        F.when(matched, F.col("__l1")).otherwise(F.lit(cfg.FACT_DEFAULT_L1)).alias("l1_category"),
+        F.when(matched, F.col("__l2")).otherwise(F.lit(cfg.FACT_DEFAULT_L2)).alias("l2_category"),
+        F.when(matched, F.col("__l3")).otherwise(F.lit(cfg.FACT_DEFAULT_L3)).alias("l3_category"),
+        F.when(matched, reason).otherwise(F.lit(cfg.UNMATCHED_REASON)).alias("classification_reason"),
+        F.when(matched, human).otherwise(F.lit(cfg.UNMATCHED_REASON_HUMAN)).alias("classification_reason_human"),
+        F.when(matched, bucket).otherwise(F.lit("unclassified")).alias("classification_confidence"),
+        F.when(matched, F.round(num, 4)).otherwise(F.lit(0.0)).alias("classification_confidence_score"),
+        F.when(matched, F.col("__rid")).alias("classification_rule_id"),
+        F.when(matched, F.col("__rid")).alias("matched_rule_id"),
+        F.when(matched, F.array_join(F.col("__kwl"), ", ")).otherwise(F.lit("")).alias("matched_keywords"),
+        F.when(matched, F.col("__vp")).alias("matched_vendor_pattern"),
+        F.when(matched, F.col("__ap")).alias("matched_article_pattern"),
+        F.when(matched, bucket.isin("low", "unclassified") | (num < F.col("__rrb")))
+        .otherwise(F.lit(True)).alias("review_required"),
+    ]
+    keep = [F.col(f"`{c}`") for c in original if c not in CLASSIFICATION_OUTPUT_COLUMNS]
+    return staged.select(*keep, F.inline(F.array(F.struct(*outputs))))
 
 
 def rule_evidence(df: DataFrame, rules: list[dict[str, Any]] | None = None) -> DataFrame:
@@ -336,11 +345,7 @@ def rule_evidence(df: DataFrame, rules: list[dict[str, Any]] | None = None) -> D
     rules = cfg.CLASSIFICATION_RULES if rules is None else rules
     ordered = active_rules(rules)
     comp = _Compiler()
-    features = {}
-    for column in cfg.FEATURE_COLUMNS:
-        raw = F.col(column).cast("string") if column in df.columns else F.lit(None).cast("string")
-        features[_feature_name(column)] = F.lower(ustrip(F.coalesce(raw, F.lit(""))))
-    staged = df.select("_row_seq", *[v.alias(k) for k, v in features.items()])
+    staged = df.select("_row_seq", *[v.alias(k) for k, v in _features(df).items()])
     per_rule = []
     for rule in ordered:
         arr, score = _keyword_parts(comp, rule)

@@ -14,21 +14,23 @@ from __future__ import annotations
 from typing import Any
 
 from ledgerlens import config as cfg
+from ledgerlens.functions.text import WHITESPACE_CHARS, WHITESPACE_CLASS
 from ledgerlens.operators.classify import is_wildcard_fallback  # noqa: F401  (documented parity)
 from ledgerlens.sources.adapter import RAW_COLUMNS, adapter_sql
 
-WS = r"[\s\x{000b}\x{0085}\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
+WS = WHITESPACE_CLASS
 NUMBER_RE = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 QUARTER_RE = r"^(\d{4})\s*[Qq]([1-4])$"
 DATE_FORMATS = [
-    "%Y-%m-%d",
-    "%Y-%m-%d %H:%M:%S",
-    "%Y-%m-%dT%H:%M:%S",
-    "%Y-%m-%d %H:%M:%S.%f",
-    "%d.%m.%Y",
-    "%d.%m.%Y %H:%M:%S",
-    "%d/%m/%Y",
+    ("%Y-%m-%d", "iso"),
+    ("%Y-%m-%d %H:%M:%S", "iso"),
+    ("%Y-%m-%dT%H:%M:%S", "iso"),
+    ("%Y-%m-%d %H:%M:%S.%f", "iso"),
+    ("%d.%m.%Y", "dot"),
+    ("%d.%m.%Y %H:%M:%S", "dot"),
+    ("%d/%m/%Y", "slash"),
 ]
+SHAPES = {"iso": (5, "-"), "dot": (3, "."), "slash": (3, "/")}
 
 
 def q(text: str) -> str:
@@ -41,7 +43,7 @@ def dbl(value: float) -> str:
 
 
 def ustrip(x: str) -> str:
-    return f"regexp_replace({x}, '^{WS}+|{WS}+$', '', 'g')"
+    return f"trim({x}, {q(WHITESPACE_CHARS)})"
 
 
 def clean_text(x: str) -> str:
@@ -58,7 +60,10 @@ def parse_amount(x: str) -> str:
 
 def parse_date(x: str) -> str:
     t = ustrip(x)
-    parts = [f"try_strptime({t}, '{fmt}')" for fmt in DATE_FORMATS]
+    parts = [
+        f"CASE WHEN substr({t}, {SHAPES[shape][0]}, 1) = '{SHAPES[shape][1]}' THEN try_strptime({t}, '{fmt}') END"
+        for fmt, shape in DATE_FORMATS
+    ]
     quarter = (
         f"CASE WHEN regexp_matches({t}, '{QUARTER_RE}') THEN make_timestamp("
         f"CAST(regexp_extract({t}, '{QUARTER_RE}', 1) AS BIGINT), "
