@@ -424,6 +424,32 @@ DASHBOARD_TITLE = "Дашборд расходов IT-департамента"
 DASHBOARD_CURRENCY = "RUB"
 DETAIL_PAGE_SIZE = 10
 
+# Insight titles and texts.
+TITLE_TOP_CATEGORY = "Крупнейшая категория расходов"
+TITLE_YOY = "Рост расходов год к году"
+TITLE_BOTTLENECK = "Статусные узкие места"
+TITLE_VENDOR = "Концентрация на поставщиках"
+TITLE_UNPAID = "Крупные неоплаченные позиции"
+TITLE_UNCATEGORIZED = "Доля неклассифицированных расходов"
+TITLE_ANOMALY = "Потенциальные аномалии"
+EMPTY_INSIGHT_TEXT = "Недостаточно данных для формирования управленческого вывода."
+BOTTLENECK_EMPTY_TEXT = "Существенных зависших сумм в статусах согласования и ожидания оплаты не выявлено."
+UNPAID_EMPTY_TEXT = "Крупные неоплаченные позиции не обнаружены."
+ANOMALY_EMPTY_TEXT = "Выраженных аномалий по суммам внутри категорий не выявлено."
+ZERO_THOUSANDS = "0,00 тыс. руб."
+NEW_CATEGORY_TEXT = "новая категория расходов"
+# Thresholds of the insight severities.
+TOP_CATEGORY_WARNING_SHARE = 0.35
+YOY_CRITICAL_GROWTH = 0.5
+VENDOR_CRITICAL_SHARE = 0.5
+VENDOR_WARNING_SHARE = 0.3
+UNPAID_CRITICAL_MEDIAN_FACTOR = 2.0
+UNCATEGORIZED_CRITICAL_SHARE = 0.2
+UNCATEGORIZED_WARNING_SHARE = 0.1
+ANOMALY_MIN_ROWS = 4
+ANOMALY_IQR_FACTOR = 1.5
+INSIGHT_LIMIT = 5
+
 # ---------------------------------------------------------------------------
 # end of FIXED VALUES
 # ---------------------------------------------------------------------------

@@ -294,3 +294,15 @@ def exact_sum(col: str) -> str:
 
 
 AMOUNT_AND_COUNT = f"{exact_sum('amount')} AS total_amount, count(DISTINCT payment_id) AS payments_count"
+
+
+def fmt_k(x: str) -> str:
+    """Thousands format: '1 234,57 тыс. руб.'"""
+    return (
+        f"(replace(replace(replace(format('{{:,.2f}}', ({x}) / {dbl(1000.0)}), ',', '#'), '.', ','), '#', ' ') "
+        "|| ' тыс. руб.')"
+    )
+
+
+def pct(x: str) -> str:
+    return f"(format('{{:.1f}}', ({x}) * {dbl(100.0)}) || '%')"

@@ -20,7 +20,7 @@ from ledgerlens.operators import marts as E
 from ledgerlens.plans import stages
 from ledgerlens.sources.adapter import ADAPTER_YEARS, RAW_COLUMNS
 from ledgerlens.sources.ingest import ROW_SEQ
-from ledgerlens.functions.text import tokenize
+from ledgerlens.functions.text import tokenize, ustrip
 
 QueryFn = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, QueryFn] = {}
@@ -413,3 +413,308 @@ _RECONCILE_SETS = {
 )
 def q_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.reconcile_totals(stages.fact(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- 2.6 insights
+
+from ledgerlens.operators import insights as INS  # noqa: E402
+from ledgerlens.operators import quality as QA  # noqa: E402
+
+INSIGHT_OUT = ["title", "metric", "explanation", "severity", "filters_json", "value", "share"]
+EMPTY_T = O.q(cfg.EMPTY_INSIGHT_TEXT)
+
+
+def _insight_frame(df: DataFrame) -> DataFrame:
+    return df.select(
+        "title", "metric", "explanation", "severity",
+        F.to_json("supporting_filters").alias("filters_json"), "value", "share",
+    )
+
+
+def _insight_sql(title: str, has: str, metric: str, expl: str, sev: str, filters: str, value: str, share: str,
+                 source: str, empty_metric: str = "'0'", empty_text: str = EMPTY_T, empty_filters: str = "'{}'") -> str:
+    return (
+        f"SELECT {O.q(title)} AS title, CASE WHEN {has} THEN {metric} ELSE {empty_metric} END AS metric, "
+        f"CASE WHEN {has} THEN {expl} ELSE {empty_text} END AS explanation, "
+        f"CASE WHEN {has} THEN {sev} ELSE 'info' END AS severity, "
+        f"CASE WHEN {has} THEN to_json({filters}) ELSE {empty_filters} END AS filters_json, "
+        f"CASE WHEN {has} THEN CAST({value} AS DOUBLE) END AS value, "
+        f"CASE WHEN {has} THEN CAST({share} AS DOUBLE) END AS share FROM ({source})"
+    )
+
+
+def _top_sql(key: str) -> str:
+    return (
+        f"SELECT first(k ORDER BY t DESC, k) AS k, first(t ORDER BY t DESC, k) AS t, "
+        f"CAST(sum(CAST(t AS DECIMAL(28,6))) AS DOUBLE) AS grand, count(*) AS groups FROM "
+        f"(SELECT {key} AS k, {O.exact_sum('amount')} AS t FROM fact WHERE {key} IS NOT NULL GROUP BY 1)"
+    )
+
+
+F1_SQL = _insight_sql(
+    cfg.TITLE_TOP_CATEGORY, "groups > 0",
+    f"k || ': ' || {O.fmt_k('t')} || ' (' || {O.pct('sh')} || ')'",
+    f"'Наибольшая доля затрат приходится на категорию «' || k || '». Ее удельный вес составляет ' || {O.pct('sh')} "
+    "|| ' от общего объема расходов.'",
+    f"CASE WHEN sh >= {O.dbl(cfg.TOP_CATEGORY_WARNING_SHARE)} THEN 'warning' ELSE 'info' END",
+    "MAP {'l1_category': [k]}", "t", "sh",
+    f"SELECT *, CASE WHEN grand <> 0 THEN t / grand ELSE {O.dbl(0.0)} END AS sh FROM ({_top_sql('l1_category')})",
+)
+
+Y1, Y2 = YEARS
+F2_SQL = _insight_sql(
+    cfg.TITLE_YOY, "has_a AND has_b",
+    f"k || ': ' || {O.fmt_k('d')} || ' (' || CASE WHEN isinf(g) THEN {O.q(cfg.NEW_CATEGORY_TEXT)} ELSE {O.pct('g')} END || ')'",
+    f"'По сравнению с {Y1} годом максимальный прирост в {Y2} году наблюдается в категории «' || k || "
+    f"'». Абсолютное изменение составляет ' || {O.fmt_k('d')} || '.'",
+    f"CASE WHEN d > 0 AND (isinf(g) OR g >= {O.dbl(cfg.YOY_CRITICAL_GROWTH)}) THEN 'critical' ELSE 'warning' END",
+    f"MAP {{'l1_category': [k], 'year': ['{Y1}', '{Y2}']}}", "d", "g",
+    "SELECT first(l1_category ORDER BY delta DESC, growth DESC, l1_category) AS k, "
+    "first(delta ORDER BY delta DESC, growth DESC, l1_category) AS d, "
+    "first(growth ORDER BY delta DESC, growth DESC, l1_category) AS g, "
+    "coalesce(bool_or(has_a), false) AS has_a, coalesce(bool_or(has_b), false) AS has_b FROM ("
+    f"SELECT l1_category, b - a AS delta, CASE WHEN a > 0 THEN b / a - {O.dbl(1.0)} WHEN b > 0 THEN "
+    f"CAST('inf' AS DOUBLE) ELSE {O.dbl(0.0)} END AS growth, has_a, has_b FROM ("
+    f"SELECT l1_category, CAST(coalesce(sum(CASE WHEN year = {Y1} THEN CAST(amount AS DECIMAL(28,6)) END), 0) AS DOUBLE) AS a, "
+    f"CAST(coalesce(sum(CASE WHEN year = {Y2} THEN CAST(amount AS DECIMAL(28,6)) END), 0) AS DOUBLE) AS b, "
+    f"bool_or(year = {Y1}) AS has_a, bool_or(year = {Y2}) AS has_b "
+    f"FROM fact WHERE year IN ({Y1}, {Y2}) AND l1_category IS NOT NULL GROUP BY l1_category))",
+)
+
+UNPAID_IN = "('approved_not_paid', 'in_approval')"
+F3_SQL = _insight_sql(
+    cfg.TITLE_BOTTLENECK, "groups > 0",
+    f"k || ': ' || {O.fmt_k('t')}",
+    f"'Наибольший объем зависших расходов находится в статусе «' || k || '». В этом статусе сосредоточено ' "
+    f"|| CAST(c AS VARCHAR) || ' операций на сумму ' || {O.fmt_k('t')} || '.'",
+    "CASE WHEN k = 'approved_not_paid' THEN 'critical' ELSE 'warning' END",
+    "MAP {'status_group': [k]}", "t", "NULL",
+    "SELECT first(k ORDER BY t DESC, k) AS k, first(t ORDER BY t DESC, k) AS t, first(c ORDER BY t DESC, k) AS c, "
+    f"count(*) AS groups FROM (SELECT status_group AS k, {O.exact_sum('amount')} AS t, count(DISTINCT payment_id) AS c "
+    f"FROM fact WHERE status_group IN {UNPAID_IN} GROUP BY 1)",
+    empty_metric=O.q(cfg.ZERO_THOUSANDS), empty_text=O.q(cfg.BOTTLENECK_EMPTY_TEXT),
+    empty_filters="to_json(MAP {'status_group': ['approved_not_paid', 'in_approval']})",
+)
+
+F4_SQL = _insight_sql(
+    cfg.TITLE_VENDOR, "groups > 0",
+    f"k || ': ' || {O.pct('sh')}",
+    f"'На одного поставщика приходится ' || {O.pct('sh')} || ' всех расходов. Крупнейший контрагент «' || k || "
+    f"'» формирует затраты на сумму ' || {O.fmt_k('t')} || '.'",
+    f"CASE WHEN sh >= {O.dbl(cfg.VENDOR_CRITICAL_SHARE)} THEN 'critical' WHEN sh >= {O.dbl(cfg.VENDOR_WARNING_SHARE)} "
+    "THEN 'warning' ELSE 'info' END",
+    "MAP {'vendor_name': [k]}", "t", "sh",
+    f"SELECT *, CASE WHEN grand <> 0 THEN t / grand ELSE {O.dbl(0.0)} END AS sh FROM ({_top_sql('vendor_name')})",
+)
+
+F5_SQL = _insight_sql(
+    cfg.TITLE_UNPAID, "n > 0",
+    O.fmt_k("a"),
+    f"'Крупнейшая зависшая сумма составляет ' || {O.fmt_k('a')} || '. Операция относится к категории «' || l1 || "
+    "' / ' || l2 || '» и контрагенту «' || v || '».'",
+    f"CASE WHEN a >= med * {O.dbl(cfg.UNPAID_CRITICAL_MEDIAN_FACTOR)} THEN 'critical' ELSE 'warning' END",
+    "MAP {'payment_id': [pid], 'status_group': [s], 'vendor_name': [v]}", "a", "med",
+    "SELECT first(amount ORDER BY amount DESC, payment_id) AS a, first(l1_category ORDER BY amount DESC, payment_id) AS l1, "
+    "first(l2_category ORDER BY amount DESC, payment_id) AS l2, first(vendor_name ORDER BY amount DESC, payment_id) AS v, "
+    "first(payment_id ORDER BY amount DESC, payment_id) AS pid, first(status_group ORDER BY amount DESC, payment_id) AS s, "
+    f"quantile_cont(amount, 0.5) AS med, count(*) AS n FROM fact WHERE status_group IN {UNPAID_IN}",
+    empty_metric=O.q(cfg.ZERO_THOUSANDS), empty_text=O.q(cfg.UNPAID_EMPTY_TEXT),
+    empty_filters="to_json(MAP {'status_group': ['approved_not_paid', 'in_approval']})",
+)
+
+F6_SQL = _insight_sql(
+    cfg.TITLE_UNCATEGORIZED, "true",
+    f"CAST(c AS VARCHAR) || ' записей (' || {O.pct('sh')} || ')'",
+    f"'Доля расходов, требующих ручной проверки или уточнения категории, составляет ' || {O.pct('sh')} || "
+    "'. Высокое значение этого показателя снижает качество управленческой отчетности.'",
+    f"CASE WHEN sh >= {O.dbl(cfg.UNCATEGORIZED_CRITICAL_SHARE)} THEN 'critical' WHEN sh >= "
+    f"{O.dbl(cfg.UNCATEGORIZED_WARNING_SHARE)} THEN 'warning' ELSE 'info' END",
+    "MAP {'review_required': ['true']}", "c", "sh",
+    f"SELECT c, CASE WHEN n > 0 THEN c / n ELSE {O.dbl(0.0)} END AS sh FROM (SELECT count(*) AS n, "
+    "count(*) FILTER (WHERE coalesce(l1_category = 'other_it' OR classification_confidence IN ('low', 'unclassified'), false)) AS c FROM fact)",
+)
+
+ANOMALY_ROWS_SQL = (
+    "SELECT f.* FROM fact f JOIN (SELECT l1_category, q3 + "
+    f"{O.dbl(cfg.ANOMALY_IQR_FACTOR)} * (q3 - q1) AS upper_bound FROM (SELECT l1_category, "
+    "quantile_cont(amount, 0.25) AS q1, quantile_cont(amount, 0.75) AS q3, count(amount) AS n FROM fact "
+    f"WHERE l1_category IS NOT NULL GROUP BY 1) WHERE n >= {cfg.ANOMALY_MIN_ROWS}) b USING (l1_category) "
+    "WHERE f.amount > b.upper_bound"
+)
+F7_SQL = _insight_sql(
+    cfg.TITLE_ANOMALY, "cnt > 0",
+    "CAST(cnt AS VARCHAR) || ' кандидатов'",
+    "'Обнаружены операции с нетипично высокой суммой относительно своей категории. Максимальное отклонение "
+    f"наблюдается по записи на ' || {O.fmt_k('a')} || ' в категории «' || l1 || '».'",
+    "'warning'",
+    "MAP {'l1_category': [l1], 'payment_id': [pid]}", "cnt", "a",
+    "SELECT count(*) AS cnt, first(amount ORDER BY amount DESC, payment_id) AS a, "
+    "first(l1_category ORDER BY amount DESC, payment_id) AS l1, first(payment_id ORDER BY amount DESC, payment_id) AS pid, "
+    f"(SELECT count(*) FROM fact) AS fact_rows FROM ({ANOMALY_ROWS_SQL})",
+    empty_text=f"CASE WHEN fact_rows > 0 THEN {O.q(cfg.ANOMALY_EMPTY_TEXT)} ELSE {EMPTY_T} END",
+)
+
+
+@register("top_spend_category", F1_SQL)
+def q_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _insight_frame(INS.top_spend_category(stages.fact(spark, sf_dir)))
+
+
+@register("yoy_growth", F2_SQL)
+def q_f2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _insight_frame(INS.yoy_growth(stages.fact(spark, sf_dir), YEARS))
+
+
+@register("status_bottleneck", F3_SQL)
+def q_f3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _insight_frame(INS.status_bottleneck(stages.fact(spark, sf_dir)))
+
+
+@register("vendor_concentration", F4_SQL)
+def q_f4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _insight_frame(INS.vendor_concentration(stages.fact(spark, sf_dir)))
+
+
+@register("large_unpaid_item", F5_SQL)
+def q_f5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _insight_frame(INS.large_unpaid_item(stages.fact(spark, sf_dir)))
+
+
+@register("uncategorized_share", F6_SQL)
+def q_f6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _insight_frame(INS.uncategorized_share(stages.fact(spark, sf_dir)))
+
+
+@register("anomaly_candidates", F7_SQL)
+def q_f7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _insight_frame(INS.anomaly_candidates(stages.fact(spark, sf_dir)))
+
+
+@register(
+    "anomaly_rows",
+    "SELECT _row_seq, payment_id, l1_category, amount FROM (" + ANOMALY_ROWS_SQL + ")",
+)
+def q_anomaly_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return INS.anomaly_rows(stages.fact(spark, sf_dir)).select(ROW_SEQ, "payment_id", "l1_category", "amount")
+
+
+RANK_SQL = (
+    "SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 ELSE 99 END "
+    "AS severity_rank FROM (" + " UNION ALL ".join(f"({s})" for s in [F1_SQL, F2_SQL, F3_SQL, F4_SQL, F5_SQL, F6_SQL, F7_SQL])
+    + f") ORDER BY severity_rank, title LIMIT {cfg.INSIGHT_LIMIT}"
+)
+
+
+@register("rank_insights", RANK_SQL)
+def q_f8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = INS.rank_insights(stages.fact(spark, sf_dir), YEARS)
+    return ranked.select(
+        "title", "metric", "explanation", "severity", F.to_json("supporting_filters").alias("filters_json"),
+        "value", "share", "severity_rank",
+    )
+
+
+@register(
+    "format_amount_thousands",
+    f"SELECT l1_category, total_amount, {O.fmt_k('total_amount')} AS total_text FROM "
+    f"(SELECT l1_category, {O.exact_sum('amount')} AS total_amount FROM fact GROUP BY 1)",
+)
+def q_f9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.functions.formatting import amount_thousands
+
+    agg = stages.fact(spark, sf_dir).groupBy("l1_category").agg(E.exact_sum(F.col("amount")).alias("total_amount"))
+    return agg.withColumn("total_text", amount_thousands(F.col("total_amount")))
+
+
+# ---------------------------------------------------------------- 2.7 quality
+
+QA_YEARS = YEARS
+
+
+def _qa_sql() -> str:
+    RAW_ST = O.ustrip("coalesce(status_raw, '')")
+    fields = cfg.QA_REQUIRED_FACT_FIELDS
+    null_shares = ", ".join(f"avg(CASE WHEN {f} IS NULL THEN 1.0 ELSE 0.0 END) AS s_{f}" for f in fields)
+    cat = " + ".join(f"CASE WHEN s_{f} > {O.dbl(cfg.QA_MAX_NULL_SHARE)} THEN 1 ELSE 0 END" for f in fields)
+    allowed = ", ".join(str(y) for y in QA_YEARS)
+    return (
+        "SELECT check_id, passed, severity, CAST(metric AS DOUBLE) AS metric, CAST(threshold AS DOUBLE) AS threshold FROM ("
+        f"SELECT 'required_fields_nulls' AS check_id, ({cat}) = 0 AS passed, CASE WHEN ({cat}) = 0 THEN 'info' ELSE "
+        f"'critical' END AS severity, ({cat}) AS metric, {O.dbl(cfg.QA_MAX_NULL_SHARE)} AS threshold FROM "
+        f"(SELECT {null_shares} FROM fact) "
+        "UNION ALL "
+        f"SELECT 'amounts_parsed', rate >= {O.dbl(cfg.QA_MIN_PARSE_RATE)}, CASE WHEN rate < {O.dbl(cfg.QA_MIN_PARSE_RATE)} "
+        f"THEN 'critical' ELSE 'info' END, round(rate, 4), {O.dbl(cfg.QA_MIN_PARSE_RATE)} FROM "
+        "(SELECT count(amount) / count(*) AS rate FROM fact) "
+        "UNION ALL "
+        f"SELECT 'year_bounds', n = 0, CASE WHEN n = 0 THEN 'info' ELSE 'warning' END, n, {O.dbl(0.0)} FROM "
+        f"(SELECT count(DISTINCT year) FILTER (WHERE year IS NOT NULL AND year NOT IN ({allowed})) AS n FROM fact) "
+        "UNION ALL "
+        f"SELECT 'status_mapping_coverage', cov >= {O.dbl(cfg.QA_MIN_STATUS_COVERAGE)}, CASE WHEN cov < "
+        f"{O.dbl(cfg.QA_MIN_STATUS_COVERAGE)} THEN 'warning' ELSE 'info' END, round(cov, 4), "
+        f"{O.dbl(cfg.QA_MIN_STATUS_COVERAGE)} FROM (SELECT CASE WHEN e > 0 THEN c / e ELSE {O.dbl(1.0)} END AS cov FROM "
+        f"(SELECT count(*) FILTER (WHERE {RAW_ST} <> '') AS e, count(*) FILTER (WHERE "
+        f"{RAW_ST} <> '' AND coalesce(status_group, '') NOT IN ('', 'other')) AS c FROM fact)) "
+        "UNION ALL "
+        f"SELECT 'classification_coverage', cov >= {O.dbl(cfg.QA_MIN_CLASSIFICATION_COVERAGE)}, CASE WHEN cov < "
+        f"{O.dbl(cfg.QA_MIN_CLASSIFICATION_COVERAGE)} THEN 'warning' ELSE 'info' END, round(cov, 4), "
+        f"{O.dbl(cfg.QA_MIN_CLASSIFICATION_COVERAGE)} FROM (SELECT CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE "
+        f"coalesce(l1_category, 'other_it') NOT IN ('', 'other_it')) / count(*) ELSE {O.dbl(0.0)} END AS cov FROM fact))"
+    )
+
+
+@register("qa_report", _qa_sql())
+def q_qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QA.qa_checks(stages.fact(spark, sf_dir), allowed_years=QA_YEARS).select(
+        "check_id", "passed", "severity", "metric", "threshold"
+    )
+
+
+@register(
+    "qa_required_nulls",
+    "SELECT field, null_share, null_share > " + O.dbl(cfg.QA_MAX_NULL_SHARE) + " AS catastrophic FROM (UNPIVOT (SELECT "
+    + ", ".join(f"avg(CASE WHEN {f} IS NULL THEN 1.0 ELSE 0.0 END) AS {f}" for f in cfg.QA_REQUIRED_FACT_FIELDS)
+    + " FROM fact) ON COLUMNS(*) INTO NAME field VALUE null_share)",
+)
+def q_qa_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QA.required_null_shares(stages.fact(spark, sf_dir))
+
+
+@register(
+    "qa_amounts_parsed",
+    "SELECT round(CASE WHEN den > 0 THEN num / den ELSE 1.0 END, 4) AS parse_rate, den AS eligible_rows, num AS parsed_rows "
+    f"FROM (SELECT count(*) FILTER (WHERE summa IS NOT NULL AND {O.ustrip('summa')} <> '') AS den, "
+    f"count(*) FILTER (WHERE summa IS NOT NULL AND {O.ustrip('summa')} <> '' AND ({O.parse_amount('summa')}) IS NOT NULL) AS num FROM seq)",
+)
+def q_qa_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G2 on the raw export: share of non-blank raw amounts that parse."""
+    from ledgerlens.functions.amounts import parse_amount
+
+    raw = stages.ingested(spark, sf_dir).withColumn("amount_parsed", parse_amount(F.col("summa")))
+    checks = QA.qa_checks(raw, amount_column="amount_parsed", raw_amount_column="summa")
+    one = raw.agg(
+        F.count_if(F.col("summa").isNotNull() & (ustrip(F.col("summa")) != "")).alias("eligible_rows"),
+        F.count_if(F.col("summa").isNotNull() & (ustrip(F.col("summa")) != "") & F.col("amount_parsed").isNotNull()).alias("parsed_rows"),
+    )
+    rate = checks.where(F.col("check_id") == "amounts_parsed").select(F.col("metric").alias("parse_rate"))
+    return rate.withColumn("__k", F.lit(1)).join(one.withColumn("__k", F.lit(1)), "__k").drop("__k")
+
+
+@register(
+    "qa_year_bounds",
+    "SELECT year FROM (SELECT DISTINCT year FROM fact WHERE year IS NOT NULL) WHERE year NOT IN ("
+    + ", ".join(str(y) for y in QA_YEARS) + ")",
+)
+def q_qa_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checks = QA.qa_checks(stages.fact(spark, sf_dir), allowed_years=QA_YEARS).where(F.col("check_id") == "year_bounds")
+    parsed = checks.select(F.from_json("details", "struct<unexpected_years:array<int>>").alias("d"))
+    return parsed.select(F.explode("d.unexpected_years").alias("year"))
+
+
+@register(
+    "qa_confidence_distribution",
+    "SELECT coalesce(classification_confidence, 'unclassified') AS classification_confidence, "
+    "round(count(*) / (SELECT count(*) FROM fact), 4) AS share FROM fact GROUP BY 1",
+)
+def q_qa_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return QA.confidence_distribution(stages.fact(spark, sf_dir))
