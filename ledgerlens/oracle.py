@@ -306,3 +306,26 @@ def fmt_k(x: str) -> str:
 
 def pct(x: str) -> str:
     return f"(format('{{:.1f}}', ({x}) * {dbl(100.0)}) || '%')"
+
+
+def slug(x: str) -> str:
+    """Slug in DuckDB for ASCII / Cyrillic labels."""
+    from ledgerlens.config import CYRILLIC_TO_LATIN
+
+    expr = f"lower({ustrip(f'coalesce({x}, {q(str())})')})"
+    for src, dst in CYRILLIC_TO_LATIN.items():
+        expr = f"replace({expr}, {q(src)}, {q(dst)})"
+    s = f"trim(regexp_replace({expr}, '[^0-9a-zA-Z]+', '_', 'g'), '_')"
+    return f"(CASE WHEN {s} = '' THEN 'unknown' ELSE {s} END)"
+
+
+def ser_double(x: str) -> str:
+    return f"coalesce(CAST({x} AS VARCHAR), '')"
+
+
+def ser_ts(x: str) -> str:
+    return f"coalesce(strftime({x}, '%Y-%m-%dT%H:%M:%S'), '')"
+
+
+def ser_str(x: str) -> str:
+    return f"coalesce(CAST({x} AS VARCHAR), '')"

@@ -718,3 +718,436 @@ def q_qa_years(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_qa_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
     return QA.confidence_distribution(stages.fact(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- 2.8 dashboard
+
+from ledgerlens.operators import audit as AUD  # noqa: E402
+from ledgerlens.operators import dashboard as H  # noqa: E402
+from ledgerlens.operators import drill as I  # noqa: E402
+
+
+def _status_label_sql(x: str) -> str:
+    cases = " ".join(f"WHEN {O.q(k)} THEN {O.q(v)}" for k, v in cfg.STATUS_LABELS.items())
+    return f"(CASE {x} {cases} ELSE {x} END)"
+
+
+@register(
+    "payload_metadata",
+    f"SELECT {O.q(cfg.DASHBOARD_TITLE)} AS title, {O.q(cfg.DASHBOARD_CURRENCY)} AS currency, count(*) AS detail_rows_count, "
+    "array_to_string(list_sort(list(DISTINCT year) FILTER (WHERE year IS NOT NULL)), ',') AS available_years FROM fact",
+)
+def q_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.payload_metadata(stages.fact(spark, sf_dir))
+
+
+_FILTER_PAIRS = [
+    ("years", "year"), ("months", "month"), ("statuses", "status_group"), ("categories_l1", "l1_category"),
+    ("categories_l2", "l2_category"), ("categories_l3", "l3_category"), ("organizations", "organization_name"),
+    ("vendors", "vendor_name"),
+]
+
+
+@register(
+    "filter_options",
+    "SELECT filter, CASE WHEN filter IN ('months', 'statuses') THEN label ELSE " + O.slug("label") + " END AS id, "
+    "CASE WHEN filter = 'months' THEN lpad(label, 2, '0') WHEN filter = 'statuses' THEN " + _status_label_sql("label")
+    + " ELSE label END AS label FROM (SELECT DISTINCT filter, label FROM ("
+    + " UNION ALL ".join(f"SELECT '{n}' AS filter, CAST({c} AS VARCHAR) AS label FROM fact" for n, c in _FILTER_PAIRS)
+    + ") WHERE label IS NOT NULL AND label <> '')",
+)
+def q_h2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.filter_options(stages.fact(spark, sf_dir))
+
+
+@register(
+    "kpis",
+    "SELECT id, label, CAST(value AS DOUBLE) AS value, display FROM (SELECT unnest([ "
+    "{'id': 'total_amount', 'label': 'Общая сумма расходов', 'value': round(total, 2), 'display': CAST(round(total, 2) AS VARCHAR)}, "
+    "{'id': 'payments_count', 'label': 'Количество операций', 'value': CAST(cnt AS DOUBLE), 'display': CAST(cnt AS VARCHAR)}, "
+    "{'id': 'paid_amount', 'label': 'Оплаченные расходы', 'value': round(paid, 2), 'display': CAST(round(paid, 2) AS VARCHAR)}, "
+    "{'id': 'unpaid_amount', 'label': 'Неоплаченные и в согласовании', 'value': round(unpaid, 2), 'display': CAST(round(unpaid, 2) AS VARCHAR)}, "
+    "{'id': 'review_share', 'label': 'Доля записей на проверку', 'value': sh, 'display': " + O.pct("sh") + "}], recursive := true) FROM ("
+    "SELECT CAST(coalesce(sum(CAST(amount AS DECIMAL(28,6))), 0) AS DOUBLE) AS total, count(DISTINCT payment_id) AS cnt, "
+    "CAST(coalesce(sum(CAST(amount AS DECIMAL(28,6))) FILTER (WHERE status_group = 'paid'), 0) AS DOUBLE) AS paid, "
+    f"CAST(coalesce(sum(CAST(amount AS DECIMAL(28,6))) FILTER (WHERE status_group IN {UNPAID_IN}), 0) AS DOUBLE) AS unpaid, "
+    "CASE WHEN count(*) > 0 THEN count(*) FILTER (WHERE coalesce(l1_category = 'other_it' OR classification_confidence "
+    f"IN ('low', 'unclassified'), false)) / count(*) ELSE {O.dbl(0.0)} END AS sh FROM fact))",
+)
+def q_h3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.kpis(stages.fact(spark, sf_dir))
+
+
+TREE_SQL = (
+    "SELECT CASE g WHEN 3 THEN 'l1' WHEN 1 THEN 'l2' ELSE 'l3' END AS level, l1_category, "
+    "CASE WHEN g <= 1 THEN l2_category END AS l2_category, CASE WHEN g = 0 THEN l3_category END AS l3_category, "
+    "lbl AS label, " + O.slug("lbl") + " AS id, total_amount, payments_count FROM (SELECT *, coalesce(CAST(CASE g WHEN 3 "
+    "THEN l1_category WHEN 1 THEN l2_category ELSE l3_category END AS VARCHAR), '') AS lbl FROM (SELECT l1_category, "
+    f"l2_category, l3_category, {O.AMOUNT_AND_COUNT}, grouping(l1_category, l2_category, l3_category) AS g FROM fact "
+    "GROUP BY ROLLUP (l1_category, l2_category, l3_category)) WHERE g <> 7)"
+)
+
+
+@register("categories_tree", TREE_SQL)
+def q_h4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.categories_tree(stages.fact(spark, sf_dir))
+
+
+@register(
+    "status_breakdown",
+    f"SELECT status_group AS status_id, {_status_label_sql('status_group')} AS status_label, {O.AMOUNT_AND_COUNT} "
+    "FROM fact GROUP BY status_group",
+)
+def q_h5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.status_breakdown(stages.fact(spark, sf_dir))
+
+
+def _entity_sql(col: str) -> str:
+    return (
+        f"SELECT {O.slug('label')} AS id, label, total_amount, payments_count FROM (SELECT coalesce({col}, '') AS label, "
+        f"{O.AMOUNT_AND_COUNT} FROM fact GROUP BY {col})"
+    )
+
+
+@register("vendors_payload", _entity_sql("vendor_name"))
+def q_h6v(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.entity_aggregate(stages.fact(spark, sf_dir), "vendor_name")
+
+
+@register("organizations_payload", _entity_sql("organization_name"))
+def q_h6o(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.entity_aggregate(stages.fact(spark, sf_dir), "organization_name")
+
+
+def _tlog_sql() -> str:
+    """Transformation log in DuckDB: one UNION ALL branch per logged field."""
+    branches = []
+    pos = 0
+    raw_cols = set(RAW_COLUMNS)
+    for fields, rule_id, label in AUD.FIELD_GROUPS:
+        for field in fields:
+            if field not in raw_cols:
+                continue
+            if field in cfg.AMOUNT_COLUMNS:
+                after = O.ser_double(f"c.{field}")
+            elif field in cfg.DATE_COLUMNS:
+                after = O.ser_ts(f"c.{field}")
+            else:
+                after = O.ser_str(f"c.{field}")
+            before = O.ser_str(f"r.{field}")
+            branches.append(
+                f"SELECT c._row_seq, {pos} AS base, {O.q(rule_id)} AS rule_id, {O.q(label)} AS rule_label, "
+                f"{O.q(field)} AS field, {before} AS before, {after} AS after FROM seq r JOIN classified c USING (_row_seq) "
+                f"WHERE {before} <> {after}"
+            )
+            pos += 1
+    rs, mp = O.ser_str("r.registrator_status_name"), O.ser_str("c.business_status")
+    branches.append(
+        f"SELECT c._row_seq, {pos} AS base, {O.q(AUD.STATUS_RULE[0])}, {O.q(AUD.STATUS_RULE[1])}, 'business_status', "
+        f"{rs}, {mp} FROM seq r JOIN classified c USING (_row_seq) WHERE {mp} <> '' AND {rs} <> {mp}"
+    )
+    pos += 1
+    for field in AUD.DERIVED_FIELDS:
+        v = O.ser_str(f"c.{field}")
+        branches.append(
+            f"SELECT c._row_seq, {pos} AS base, {O.q(AUD.DERIVED_RULE[0])}, {O.q(AUD.DERIVED_RULE[1])}, {O.q(field)}, "
+            f"'', {v} FROM classified c WHERE {v} <> ''"
+        )
+        pos += 1
+    return (
+        "SELECT 'row_' || CAST(_row_seq AS VARCHAR) AS detail_row_id, CAST(row_number() OVER (PARTITION BY _row_seq "
+        "ORDER BY base) - 1 AS INTEGER) AS pos, rule_id, rule_label, field, before, after FROM ("
+        + " UNION ALL ".join(branches) + ")"
+    )
+
+
+TLOG_SQL = _tlog_sql()
+
+
+@register("transformation_log", TLOG_SQL)
+def q_h10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AUD.transformation_rows(AUD.audit_trail(stages.ingested(spark, sf_dir)))
+
+
+@register(
+    "audit_join",
+    "SELECT 'row_' || CAST(_row_seq AS VARCHAR) AS detail_row_id, CAST(count(t.pos) AS INTEGER) AS n_transformations "
+    f"FROM seq LEFT JOIN ({TLOG_SQL}) t ON t.detail_row_id = 'row_' || CAST(seq._row_seq AS VARCHAR) GROUP BY _row_seq",
+)
+def q_h9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Join form over the two separately built tables (raw and classified)."""
+    joined = AUD.audit_join(stages.ingested(spark, sf_dir), stages.classified(spark, sf_dir))
+    return joined.select("detail_row_id", F.size("transformations").alias("n_transformations"))
+
+
+@register(
+    "row_raw_attributes",
+    "SELECT 'row_' || CAST(_row_seq AS VARCHAR) AS detail_row_id, attribute, value FROM (UNPIVOT (SELECT _row_seq, "
+    + ", ".join(f"coalesce({c}, '') AS {c}" for c in RAW_COLUMNS)
+    + " FROM seq) ON " + ", ".join(RAW_COLUMNS) + " INTO NAME attribute VALUE value) WHERE value <> ''",
+)
+def q_h11r(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AUD.attribute_rows(AUD.audit_trail(stages.ingested(spark, sf_dir)), "raw_attributes")
+
+
+def _pipeline_attr_sql() -> str:
+    parts = []
+    for f in AUD.PIPELINE_FIELDS:
+        expr = O.ser_double(f) if f == "classification_confidence_score" else O.ser_str(f)
+        parts.append(f"{expr} AS {f}")
+    return (
+        "SELECT 'row_' || CAST(_row_seq AS VARCHAR) AS detail_row_id, attribute, value FROM (UNPIVOT (SELECT _row_seq, "
+        + ", ".join(parts) + " FROM classified) ON " + ", ".join(AUD.PIPELINE_FIELDS)
+        + " INTO NAME attribute VALUE value) WHERE value <> ''"
+    )
+
+
+@register("row_pipeline_attributes", _pipeline_attr_sql())
+def q_h11p(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return AUD.attribute_rows(AUD.audit_trail(stages.ingested(spark, sf_dir)), "pipeline_attributes")
+
+
+def _details_sql() -> str:
+    es = (
+        f"CASE WHEN {O.ustrip('contract_name')} <> '' AND {O.ustrip('article_name')} <> '' AND "
+        f"lower({O.ustrip('contract_name')}) <> lower({O.ustrip('article_name')}) THEN {O.ustrip('contract_name')} || ' / ' || "
+        f"{O.ustrip('article_name')} WHEN {O.ustrip('contract_name')} <> '' THEN {O.ustrip('contract_name')} "
+        f"ELSE {O.ustrip('article_name')} END"
+    )
+    return (
+        "SELECT 'row_' || CAST(_row_seq AS VARCHAR) AS detail_row_id, _row_seq, payment_id, "
+        "coalesce(strftime(period_date, '%Y-%m-%d'), '') AS period_date, year, month, quarter, amount, status_group, "
+        f"article_name, article_code, contract_name, {es} AS expense_subject, {O.slug('vendor_name')} AS vendor_id, "
+        f"vendor_name AS vendor_label, {O.slug('organization_name')} AS organization_id, organization_name AS "
+        "organization_label, project_name, department_name, "
+        f"{O.slug('l1_category')} AS l1_category_id, l1_category AS l1_category_label, {O.slug('l2_category')} AS "
+        f"l2_category_id, l2_category AS l2_category_label, {O.slug('l3_category')} AS l3_category_id, l3_category AS "
+        "l3_category_label, classification_confidence, matched_rule_id, matched_keywords, matched_vendor_pattern, "
+        "matched_article_pattern, classification_reason_human, "
+        f"('row_' || CAST(_row_seq AS VARCHAR)) IN (SELECT detail_row_id FROM ({TLOG_SQL})) AS has_transformations FROM fact"
+    )
+
+
+DETAILS_SQL = _details_sql()
+
+
+def details_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = stages.ingested(spark, sf_dir)
+    audit = AUD.audit_trail(raw)
+    return H.detail_rows(stages.fact(spark, sf_dir), AUD.has_transformations(audit))
+
+
+@register("detail_rows", DETAILS_SQL)
+def q_h7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return details_frame(spark, sf_dir)
+
+
+@register(
+    "detail_row_index",
+    "SELECT DISTINCT key, detail_row_id, _row_seq FROM (SELECT unnest([" + ", ".join(
+        f"'{p}:' || coalesce(CAST({c} AS VARCHAR), 'None')"
+        for p, c in [("year", "year"), ("month", "month"), ("status", "status_group"), ("organization", "organization_id"),
+                     ("vendor", "vendor_id"), ("l1", "l1_category_id"), ("l2", "l2_category_id"), ("l3", "l3_category_id")]
+    ) + f"]) AS key, detail_row_id, _row_seq FROM ({DETAILS_SQL}))",
+)
+def q_h8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.detail_row_index(H.detail_rows(stages.fact(spark, sf_dir)))
+
+
+@register(
+    "slugify",
+    "SELECT label, " + O.slug("label") + " AS slug FROM (SELECT DISTINCT coalesce(vendor_name, '') AS label FROM fact "
+    "UNION SELECT DISTINCT coalesce(organization_name, '') FROM fact UNION SELECT DISTINCT coalesce(article_name, '') FROM fact)",
+)
+def q_h12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlens.functions.slug import slug_table
+
+    return slug_table(stages.fact(spark, sf_dir), ["vendor_name", "organization_name", "article_name"])
+
+
+@register(
+    "expense_subject",
+    "SELECT _row_seq, expense_subject FROM (" + DETAILS_SQL.replace(
+        f"('row_' || CAST(_row_seq AS VARCHAR)) IN (SELECT detail_row_id FROM ({TLOG_SQL})) AS has_transformations", "1 AS x"
+    ) + ")",
+)
+def q_h13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = stages.fact(spark, sf_dir)
+    return f.select(ROW_SEQ, H.expense_subject(F.col("contract_name"), F.col("article_name")).alias("expense_subject"))
+
+
+# ---------------------------------------------------------------- 2.9 drill-down
+
+DRILL_YEAR = YEARS[0]
+DET = f"({DETAILS_SQL.replace(chr(39) + 'row_' + chr(39), chr(39) + 'row_' + chr(39))})"
+
+
+def _details_light(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.detail_rows(stages.fact(spark, sf_dir))
+
+
+DET_LIGHT = "(" + DETAILS_SQL.replace(
+    f"('row_' || CAST(_row_seq AS VARCHAR)) IN (SELECT detail_row_id FROM ({TLOG_SQL})) AS has_transformations",
+    "false AS has_transformations",
+) + ")"
+
+
+@register(
+    "detail_filter",
+    f"SELECT detail_row_id, amount, vendor_id, l1_category_id FROM {DET_LIGHT} WHERE CAST(year AS VARCHAR) = '{DRILL_YEAR}' "
+    "AND status_group = 'paid' AND l1_category_id = 'infrastructure'",
+)
+def q_i1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = I.detail_filter(_details_light(spark, sf_dir), year=DRILL_YEAR, status_group="paid", l1_category_id="infrastructure")
+    return d.select("detail_row_id", "amount", "vendor_id", "l1_category_id")
+
+
+@register(
+    "detail_search",
+    "SELECT detail_row_id, amount FROM " + DET_LIGHT + " WHERE contains(lower(concat_ws(' ', "
+    + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in I.SEARCH_FIELDS) + ")), 'kaspersky')",
+)
+def q_i2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.detail_search(_details_light(spark, sf_dir), "Kaspersky").select("detail_row_id", "amount")
+
+
+@register(
+    "detail_sort_page",
+    f"SELECT detail_row_id, amount FROM {DET_LIGHT} ORDER BY amount DESC, _row_seq LIMIT 10 OFFSET 10",
+)
+def q_i3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I3 + I4: default sort (amount desc), page 2 of 10 rows."""
+    ordered = I.detail_sort(_details_light(spark, sf_dir), "amount")
+    return I.detail_page(ordered, 2, total_rows=10**12).select("detail_row_id", "amount")
+
+
+@register(
+    "detail_export",
+    "SELECT coalesce(period_date, '') AS period_date, coalesce(vendor_label, '') AS vendor_label, coalesce(organization_label, '') "
+    "AS organization_label, coalesce(expense_subject, '') AS expense_subject, coalesce(project_name, '') AS project_name, "
+    "coalesce(classification_confidence, '') AS classification_confidence, coalesce(classification_reason_human, '') AS "
+    f"classification_reason_human, {_status_label_sql('status_group')} AS status_group, {O.fmt_k('amount')} AS amount FROM "
+    f"{DET_LIGHT} WHERE l1_category_id = 'communications'",
+)
+def q_i5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = I.detail_filter(_details_light(spark, sf_dir), l1_category_id="communications")
+    return I.export_frame(d)
+
+
+@register(
+    "category_ranking",
+    f"SELECT id, label, total_amount FROM ({TREE_SQL}) WHERE level = 'l1' ORDER BY total_amount DESC, label LIMIT 8",
+)
+def q_i6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.category_ranking(H.categories_tree(stages.fact(spark, sf_dir)))
+
+
+YOY_SQL = (
+    "SELECT label, id, left_year, right_year, previous_amount, current_amount, current_amount - previous_amount AS "
+    "delta_amount, CASE WHEN previous_amount <> 0 THEN (current_amount - previous_amount) / previous_amount ELSE "
+    f"{O.dbl(1.0)} END AS delta_share FROM (SELECT label, first(l1_category_id ORDER BY _row_seq) AS id, any_value(ly) AS "
+    "left_year, any_value(ry) AS right_year, CAST(coalesce(sum(CAST(amount AS DECIMAL(28,6))) FILTER (WHERE year = ly), 0) "
+    "AS DOUBLE) AS previous_amount, CAST(coalesce(sum(CAST(amount AS DECIMAL(28,6))) FILTER (WHERE year = ry), 0) AS DOUBLE) "
+    "AS current_amount FROM (SELECT CASE WHEN coalesce(l1_category_label, '') = '' THEN 'Прочее' ELSE l1_category_label END "
+    f"AS label, l1_category_id, year, amount, _row_seq, (SELECT min(year) FROM {DET_LIGHT}) AS ly, (SELECT max(year) FROM "
+    f"{DET_LIGHT}) AS ry FROM {DET_LIGHT}) GROUP BY label)"
+)
+
+
+@register("category_yoy", f"SELECT * FROM ({YOY_SQL}) ORDER BY abs(delta_amount) DESC, label LIMIT 8")
+def q_i7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.category_yoy(_details_light(spark, sf_dir))
+
+
+@register("growth_leader", f"SELECT * FROM ({YOY_SQL}) WHERE delta_amount > 0 ORDER BY delta_amount DESC, label LIMIT 1")
+def q_i8(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.growth_leader(_details_light(spark, sf_dir))
+
+
+@register(
+    "stuck_amount",
+    f"SELECT CAST(coalesce(sum(CAST(amount AS DECIMAL(28,6))) FILTER (WHERE status_group IN {UNPAID_IN}), 0) AS DOUBLE) "
+    "AS stuck_amount FROM fact",
+)
+def q_i9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.stuck_amount(stages.fact(spark, sf_dir))
+
+
+@register(
+    "group_amounts",
+    f"SELECT vendor_name AS key, {O.exact_sum('amount')} AS total_amount FROM fact WHERE coalesce(vendor_name, '') <> '' "
+    "GROUP BY 1",
+)
+def q_i10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.group_amounts(stages.fact(spark, sf_dir), "vendor_name")
+
+
+@register(
+    "top_departments",
+    "SELECT label, total_amount FROM (SELECT CASE WHEN coalesce(department_name, '') = '' THEN 'unknown' ELSE "
+    f"department_name END AS label, {O.exact_sum('amount')} AS total_amount FROM fact GROUP BY 1) "
+    "ORDER BY total_amount DESC, label LIMIT 10",
+)
+def q_i11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.top_departments(stages.fact(spark, sf_dir))
+
+
+@register(
+    "entity_top10",
+    f"SELECT * FROM ({_entity_sql('vendor_name')}) ORDER BY label LIMIT 10",
+)
+def q_i12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.entity_top10(H.entity_aggregate(stages.fact(spark, sf_dir), "vendor_name"))
+
+
+@register(
+    "treemap_flatten",
+    "SELECT CASE level WHEN 'l1' THEN p1 WHEN 'l2' THEN p2 ELSE p2 || '|l3:' || id || ':' || label END AS path, "
+    "CASE level WHEN 'l1' THEN '' WHEN 'l2' THEN p1 ELSE p2 END AS parent, label, total_amount AS value FROM ("
+    "SELECT t.*, 'l1:' || a.id || ':' || a.label AS p1, 'l1:' || a.id || ':' || a.label || '|l2:' || b.id || ':' || b.label "
+    f"AS p2 FROM ({TREE_SQL}) t LEFT JOIN (SELECT * FROM ({TREE_SQL}) WHERE level = 'l1') a ON t.l1_category = a.l1_category "
+    f"LEFT JOIN (SELECT * FROM ({TREE_SQL}) WHERE level = 'l2') b ON t.l1_category = b.l1_category AND t.l2_category = "
+    "b.l2_category)",
+)
+def q_i13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return H.treemap_paths(H.categories_tree(stages.fact(spark, sf_dir)))
+
+
+@register(
+    "insight_drill",
+    f"SELECT d.detail_row_id, d.amount FROM {DET_LIGHT} d JOIN ({F1_SQL}) i ON d.l1_category_id = "
+    + O.slug("json_extract_string(i.filters_json, '$.l1_category[0]')"),
+)
+def q_i14(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """I14 driven by the top-category insight's filters (one small action
+    reads the one-row insight, as the UI does on click)."""
+    fact = stages.fact(spark, sf_dir)
+    top = INS.top_spend_category(fact).select("supporting_filters").first()
+    filters = dict(top["supporting_filters"] or {}) if top else {}
+    return I.insight_drill(_details_light(spark, sf_dir), filters).select("detail_row_id", "amount")
+
+
+@register(
+    "kpi_drill",
+    f"SELECT detail_row_id, amount FROM {DET_LIGHT} WHERE status_group = 'approved_not_paid'",
+)
+def q_i15(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.kpi_drill(_details_light(spark, sf_dir), "unpaid_amount").select("detail_row_id", "amount")
+
+
+@register(
+    "row_detail",
+    f"SELECT detail_row_id, pos, rule_id, rule_label, field, before, after FROM ({TLOG_SQL}) WHERE detail_row_id = 'row_42'",
+)
+def q_i16(spark: SparkSession, sf_dir: str) -> DataFrame:
+    audit = AUD.audit_trail(stages.ingested(spark, sf_dir))
+    return AUD.transformation_rows(I.row_detail(audit, "row_42"))
+
+
+@register(
+    "monthly_series",
+    f"SELECT year, month, total_amount / {O.dbl(1000.0)} AS amount_thousands, payments_count FROM "
+    f"(SELECT year, month, {O.AMOUNT_AND_COUNT} FROM fact GROUP BY year, month)",
+)
+def q_i17(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.monthly_series(E.build_agg_kpi_year_month(stages.fact(spark, sf_dir)))
