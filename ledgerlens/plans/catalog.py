@@ -1151,3 +1151,51 @@ def q_i16(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def q_i17(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.monthly_series(E.build_agg_kpi_year_month(stages.fact(spark, sf_dir)))
+
+
+# ---------------------------------------------------------------- D19 labels -> rules
+
+from ledgerlens.operators.labels import labels_to_rules  # noqa: E402
+
+_MAX_PRIORITY = max([int(r["priority"]) for r in cfg.CLASSIFICATION_RULES] + [190])
+_EXISTING_IDS = ", ".join(O.q(r["rule_id"]) for r in cfg.CLASSIFICATION_RULES)
+_CLEAN = lambda c: (
+    f"CASE WHEN {O.ustrip(f'coalesce({c}, {O.q(str())})')} <> '' AND lower({O.ustrip(f'coalesce({c}, {O.q(str())})')}) <> 'nan' "
+    f"THEN lower({O.ustrip(f'coalesce({c}, {O.q(str())})')}) ELSE '' END"
+)
+
+
+def _labels_sql() -> str:
+    rid = (
+        "trim(regexp_replace(concat_ws('_', " + ", ".join(
+            f"CASE WHEN {O.ustrip(f'coalesce(suggested_{x}, {O.q(str())})')} <> '' THEN lower({O.ustrip(f'suggested_{x}')}) END"
+            for x in ("l1", "l2", "l3")
+        ) + "), '[^0-9a-z_]+', '_', 'g'), '_')"
+    )
+    conds = (
+        "list_filter([" + ", ".join(
+            f"CASE WHEN {_CLEAN(src)} <> '' THEN {{'column': '{col}', 'match_type': 'contains_any', 'values': [{_CLEAN(src)}]}} END"
+            for src, col in [("raw_article", "bit_stati_oborotov_naimenovanie"), ("raw_description", "naznachenie_platezha"),
+                             ("raw_vendor", "kontragenti_naimenovanie")]
+        ) + "], lambda x: x IS NOT NULL)"
+    )
+    return (
+        f"SELECT rule_id, CAST({_MAX_PRIORITY + 10} + 10 * (row_number() OVER (ORDER BY n) - 1) AS INTEGER) AS priority, "
+        "confidence, l1, l2, l3, to_json(conditions) AS conditions, " + O.dbl(0.75) + " AS review_required_below FROM ("
+        "SELECT rule_id, min(n) AS n, arg_min(confidence, n) AS confidence, arg_min(l1, n) AS l1, arg_min(l2, n) AS l2, "
+        "arg_min(l3, n) AS l3, arg_min(conditions, n) AS conditions FROM ("
+        f"SELECT CASE WHEN {rid} <> '' THEN {rid} ELSE 'manual_review_rule_' || CAST(n AS VARCHAR) END AS rule_id, n, "
+        f"{O.dbl(0.82)} AS confidence, {O.ustrip('suggested_l1')} AS l1, {O.ustrip('suggested_l2')} AS l2, "
+        f"{O.ustrip('suggested_l3')} AS l3, CASE WHEN len({conds}) > 0 THEN {conds} ELSE "
+        "[{'column': 'bit_stati_oborotov_naimenovanie', 'match_type': 'contains_any', 'values': ['*']}] END AS conditions "
+        f"FROM (SELECT *, row_number() OVER (ORDER BY _row_seq) AS n FROM ({REVIEW_SQL})) "
+        f"WHERE {O.ustrip(f'coalesce(suggested_l1, {O.q(str())})')} <> '' AND {O.ustrip(f'coalesce(suggested_l2, {O.q(str())})')} <> '' "
+        f"AND {O.ustrip(f'coalesce(suggested_l3, {O.q(str())})')} <> '') WHERE rule_id NOT IN ({_EXISTING_IDS}) GROUP BY rule_id)"
+    )
+
+
+@register("labels_to_rules", _labels_sql())
+def q_d19(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queue = D.build_review_queue(stages.classified(spark, sf_dir))
+    rules = labels_to_rules(queue, cfg.CLASSIFICATION_RULES)
+    return rules.withColumn("conditions", F.to_json("conditions"))
