@@ -187,6 +187,93 @@ def _features(df: DataFrame) -> dict[str, Column]:
     return features
 
 
+def sql_str(value: str) -> str:
+    """Spark SQL string literal (backslash escapes, control and space chars as \\uXXXX)."""
+    out = []
+    for ch in str(value):
+        if ch == "\\":
+            out.append("\\\\")
+        elif ch == "'":
+            out.append("\\'")
+        elif ord(ch) < 32 or (ch.isspace() and ch != " "):
+            out.append(f"\\u{ord(ch):04x}")
+        else:
+            out.append(ch)
+    return "'" + "".join(out) + "'"
+
+
+def _dbl(value: float) -> str:
+    return f"{float(value)!r}D"
+
+
+def _sql_or(parts: list[str]) -> str:
+    return "(" + " OR ".join(parts) + ")" if parts else "false"
+
+
+class _SqlCompiler:
+    """Distinct substring tests as named boolean columns (SQL text form)."""
+
+    def __init__(self) -> None:
+        self.tests: dict[tuple[str, str], str] = {}
+
+    def hit(self, feature: str, text: str) -> str:
+        key = (feature, text)
+        if key not in self.tests:
+            self.tests[key] = f"__h{len(self.tests)}"
+        return self.tests[key]
+
+
+def _sql_tier(comp: _SqlCompiler, rule: dict[str, Any], columns: list[str]) -> str:
+    parts = []
+    for cond in rule["conditions"]:
+        if cond["column"] not in columns:
+            continue
+        values = [str(v) for v in cond["values"]]
+        if "*" in values:
+            return "true"
+        parts.extend(comp.hit(cond["column"], v.lower()) for v in values)
+    return _sql_or(parts)
+
+
+def _sql_first_pattern(comp: _SqlCompiler, rule: dict[str, Any], columns: list[str]) -> str:
+    branches = []
+    for cond in rule["conditions"]:
+        if cond["column"] not in columns:
+            continue
+        for v in cond["values"]:
+            v = str(v)
+            normalized = _norm_text(v)
+            if normalized == "*":
+                branches.append(("true", v))
+                break
+            branches.append((comp.hit(cond["column"], normalized), v))
+    if not branches:
+        return "CAST(NULL AS STRING)"
+    return "CASE " + " ".join(f"WHEN {c} THEN {sql_str(v)}" for c, v in branches) + " END"
+
+
+def _sql_keywords(comp: _SqlCompiler, rule: dict[str, Any]) -> tuple[str, str]:
+    kws = _keywords(rule)
+    if not kws:
+        return "CAST(array() AS ARRAY<STRING>)", "0.0D"
+    per_field = {col: [comp.hit(col, k) for k in kws] for col in cfg.KEYWORD_COLUMNS}
+    matched = [
+        f"CASE WHEN {_sql_or([per_field[col][i] for col in cfg.KEYWORD_COLUMNS])} THEN {sql_str(k)} END"
+        for i, k in enumerate(kws)
+    ]
+    array = f"array_compact(array({', '.join(matched)}))"
+    score = "0.0D"
+    for col in cfg.KEYWORD_COLUMNS:
+        score = f"({score} + CASE WHEN {_sql_or(per_field[col])} THEN {_dbl(cfg.KEYWORD_WEIGHTS[col])} ELSE 0.0D END)"
+    return array, f"least({score}, 1.0D)"
+
+
+def _sql_pick(values: list[str], index: str = "__w") -> str:
+    if not values:
+        return "NULL"
+    return f"CASE {index} " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
 def classify_payments(
     df: DataFrame,
     rules: list[dict[str, Any]] | None = None,
@@ -200,138 +287,112 @@ def classify_payments(
     CASE branches, so it runs for the winning rule only.  The one-row
     ``inline`` keeps later filters on the outputs (review queue, unmatched
     rows) above the classifier instead of letting the optimizer copy the
-    whole rule expression into the filter.
+    whole rule expression into the filter.  The expressions are generated
+    as SQL text (a few parser calls instead of thousands of Column calls).
     """
+    from ledgerlens.functions.text import WHITESPACE_CHARS
+
     rules = cfg.CLASSIFICATION_RULES if rules is None else rules
     ordered = active_rules(rules)
-    comp = _Compiler()
+    comp = _SqlCompiler()
     original = df.columns
-    staged = df.withColumns(_features(df))
+    ws = sql_str(WHITESPACE_CHARS)
+    features = []
+    for column in cfg.FEATURE_COLUMNS:
+        raw = f"CAST(`{column}` AS STRING)" if column in original else "CAST(NULL AS STRING)"
+        features.append(f"lower(trim(BOTH {ws} FROM coalesce({raw}, ''))) AS {_feature_name(column)}")
+    staged = df.selectExpr("*", *features)
 
     art, ven, kw_arrays, kw_scores, vpat, apat = [], [], [], [], [], []
     for rule in ordered:
-        art.append(_tier_match(comp, rule, cfg.ARTICLE_COLUMNS))
-        ven.append(_tier_match(comp, rule, cfg.VENDOR_COLUMNS))
-        arr, score = _keyword_parts(comp, rule)
+        art.append(_sql_tier(comp, rule, cfg.ARTICLE_COLUMNS))
+        ven.append(_sql_tier(comp, rule, cfg.VENDOR_COLUMNS))
+        arr, score = _sql_keywords(comp, rule)
         kw_arrays.append(arr)
         kw_scores.append(score)
-        vpat.append(_first_pattern(comp, rule, cfg.VENDOR_COLUMNS))
-        apat.append(_first_pattern(comp, rule, cfg.ARTICLE_COLUMNS))
+        vpat.append(_sql_first_pattern(comp, rule, cfg.VENDOR_COLUMNS))
+        apat.append(_sql_first_pattern(comp, rule, cfg.ARTICLE_COLUMNS))
 
-    staged = staged.withColumns(
-        {
-            name: F.contains(F.col(_feature_name(feature)), F.lit(text))
-            for (feature, text), name in comp.tests.items()
-        }
+    staged = staged.selectExpr(
+        "*", *[f"contains({_feature_name(f)}, {sql_str(t)}) AS {name}" for (f, t), name in comp.tests.items()]
     )
     n = len(ordered)
-    staged = staged.withColumns(
-        {
-            **{f"__art{i}": art[i] for i in range(n)},
-            **{f"__ven{i}": ven[i] for i in range(n)},
-            **{f"__kwsc{i}": kw_scores[i] for i in range(n)},
-        }
+    staged = staged.selectExpr(
+        "*",
+        *[f"{art[i]} AS __art{i}" for i in range(n)],
+        *[f"{ven[i]} AS __ven{i}" for i in range(n)],
+        *[f"{kw_scores[i]} AS __kwsc{i}" for i in range(n)],
     )
-    art_c = [F.col(f"__art{i}") for i in range(n)]
-    ven_c = [F.col(f"__ven{i}") for i in range(n)]
-    score_c = [F.col(f"__kwsc{i}") for i in range(n)]
-    if n:
-        best_kw = F.array_min(
-            F.array(*[F.when(score_c[i] > 0, F.struct((-score_c[i]).alias("s"), F.lit(i).alias("i"))) for i in range(n)])
-        ).getField("i")
-    else:
-        best_kw = F.lit(None).cast("int")
-    staged = staged.withColumns({"__wa": _first_true(art_c), "__wv": _first_true(ven_c), "__wk": best_kw})
-    staged = staged.withColumns(
-        {
-            "__w": F.coalesce(F.col("__wa"), F.col("__wv"), F.col("__wk")),
-            "__tier": F.when(F.col("__wa").isNotNull(), 1).when(F.col("__wv").isNotNull(), 2)
-            .when(F.col("__wk").isNotNull(), 3),
-        }
+    first_art = "CASE " + " ".join(f"WHEN __art{i} THEN {i}" for i in range(n)) + " END" if n else "CAST(NULL AS INT)"
+    first_ven = "CASE " + " ".join(f"WHEN __ven{i} THEN {i}" for i in range(n)) + " END" if n else "CAST(NULL AS INT)"
+    best_kw = (
+        "array_min(array(" + ", ".join(
+            f"CASE WHEN __kwsc{i} > 0 THEN named_struct('s', -__kwsc{i}, 'i', {i}) END" for i in range(n)
+        ) + ")).i"
+        if n else "CAST(NULL AS INT)"
     )
-    w = F.col("__w")
-    am = F.coalesce(F.col("__tier") == 1, F.lit(False))
-    vm = F.coalesce((F.col("__tier") == 2) | ((F.col("__tier") == 1) & _pick(ven_c, w)), F.lit(False))
-    staged = staged.withColumns(
-        {
-            "__am": am,
-            "__vm": vm,
-            "__kwl": _pick(kw_arrays, w),
-            "__ks": _pick(score_c, w),
-            "__rid": _pick([F.lit(r["rule_id"]) for r in ordered], w),
-            "__l1": _pick([F.lit(r["target"]["l1"]) for r in ordered], w),
-            "__l2": _pick([F.lit(r["target"]["l2"]) for r in ordered], w),
-            "__l3": _pick([F.lit(r["target"]["l3"]) for r in ordered], w),
-            "__base": _pick([F.lit(float(r["confidence"])) for r in ordered], w),
-            "__rrb": _pick(
-                [F.lit(float(r.get("review_required_below", cfg.DEFAULT_REVIEW_REQUIRED_BELOW))) for r in ordered], w
-            ),
-        }
+    staged = staged.selectExpr("*", f"{first_art} AS __wa", f"{first_ven} AS __wv", f"{best_kw} AS __wk")
+    staged = staged.selectExpr(
+        "*",
+        "coalesce(__wa, __wv, __wk) AS __w",
+        "CASE WHEN __wa IS NOT NULL THEN 1 WHEN __wv IS NOT NULL THEN 2 WHEN __wk IS NOT NULL THEN 3 END AS __tier",
     )
-    staged = staged.withColumns(
-        {
-            "__vp": F.when(F.col("__vm"), _pick(vpat, w)),
-            "__ap": F.when(F.col("__am"), _pick(apat, w)),
-            "__num": F.greatest(
-                F.lit(0.0),
-                F.least(
-                    F.col("__base")
-                    + F.when(F.col("__am"), F.lit(cfg.ARTICLE_BONUS)).otherwise(F.lit(0.0))
-                    + F.when(F.col("__vm"), F.lit(cfg.VENDOR_BONUS)).otherwise(F.lit(0.0))
-                    + F.col("__ks") * F.lit(cfg.KEYWORD_FACTOR),
-                    F.lit(1.0),
-                ),
-            ),
-        }
+    rrb = [_dbl(r.get("review_required_below", cfg.DEFAULT_REVIEW_REQUIRED_BELOW)) for r in ordered]
+    staged = staged.selectExpr(
+        "*",
+        "coalesce(__tier = 1, false) AS __am",
+        f"coalesce(__tier = 2 OR (__tier = 1 AND {_sql_pick([f'__ven{i}' for i in range(n)])}), false) AS __vm",
+        f"{_sql_pick(kw_arrays)} AS __kwl",
+        f"{_sql_pick([f'__kwsc{i}' for i in range(n)])} AS __ks",
+        f"{_sql_pick([sql_str(r['rule_id']) for r in ordered])} AS __rid",
+        f"{_sql_pick([sql_str(r['target']['l1']) for r in ordered])} AS __l1",
+        f"{_sql_pick([sql_str(r['target']['l2']) for r in ordered])} AS __l2",
+        f"{_sql_pick([sql_str(r['target']['l3']) for r in ordered])} AS __l3",
+        f"{_sql_pick([_dbl(r['confidence']) for r in ordered])} AS __base",
+        f"{_sql_pick(rrb)} AS __rrb",
     )
-    num = F.col("__num")
-    bucket = (
-        F.when(num >= cfg.BUCKET_HIGH, "high")
-        .when(num >= cfg.BUCKET_MEDIUM, "medium")
-        .when(num > 0.0, "low")
-        .otherwise("unclassified")
+    staged = staged.selectExpr(
+        "*",
+        f"CASE WHEN __vm THEN {_sql_pick(vpat)} END AS __vp",
+        f"CASE WHEN __am THEN {_sql_pick(apat)} END AS __ap",
+        f"greatest(0.0D, least(__base + CASE WHEN __am THEN {_dbl(cfg.ARTICLE_BONUS)} ELSE 0.0D END "
+        f"+ CASE WHEN __vm THEN {_dbl(cfg.VENDOR_BONUS)} ELSE 0.0D END + __ks * {_dbl(cfg.KEYWORD_FACTOR)}, 1.0D)) AS __num",
     )
-    evidence = F.concat_ws(
-        ", ",
-        F.when(F.col("__am"), F.lit("article")),
-        F.when(F.col("__vm"), F.lit("vendor")),
-        F.when(F.col("__ks") > 0, F.concat(F.lit("keywords="), F.format_number(F.col("__ks"), 2))),
+    bucket = (
+        f"CASE WHEN __num >= {_dbl(cfg.BUCKET_HIGH)} THEN 'high' WHEN __num >= {_dbl(cfg.BUCKET_MEDIUM)} THEN 'medium' "
+        "WHEN __num > 0.0D THEN 'low' ELSE 'unclassified' END"
     )
-    reason = F.concat(
-        F.lit("Matched rule '"), F.col("__rid"), F.lit("' using "),
-        F.when(evidence == "", F.lit("rule fallback")).otherwise(evidence), F.lit("."),
+    evidence = (
+        "concat_ws(', ', CASE WHEN __am THEN 'article' END, CASE WHEN __vm THEN 'vendor' END, "
+        "CASE WHEN __ks > 0 THEN concat('keywords=', format_number(__ks, 2)) END)"
     )
-    human = F.concat_ws(
-        " ",
-        F.concat(F.lit("Применено правило "), F.col("__rid"), F.lit(".")),
-        F.when(F.col("__ap").isNotNull() & (F.col("__ap") != ""),
-               F.concat(F.lit("Совпала статья или код с шаблоном '"), F.col("__ap"), F.lit("'."))),
-        F.when(F.col("__vp").isNotNull() & (F.col("__vp") != ""),
-               F.concat(F.lit("Совпал поставщик или договор с шаблоном '"), F.col("__vp"), F.lit("'."))),
-        F.when(F.size(F.col("__kwl")) > 0,
-               F.concat(F.lit("Дополнительно сработали ключевые слова: "), F.array_join(F.col("__kwl"), ", "), F.lit("."))),
-        F.concat(F.lit("Запись отнесена в категорию "), F.col("__l1"), F.lit(" / "), F.col("__l2"),
-                 F.lit(" / "), F.col("__l3"), F.lit(".")),
+    reason = f"concat('Matched rule \\'', __rid, '\\' using ', CASE WHEN {evidence} = '' THEN 'rule fallback' ELSE {evidence} END, '.')"
+    human = (
+        "concat_ws(' ', concat('Применено правило ', __rid, '.'), "
+        "CASE WHEN __ap IS NOT NULL AND __ap <> '' THEN concat('Совпала статья или код с шаблоном \\'', __ap, '\\'.') END, "
+        "CASE WHEN __vp IS NOT NULL AND __vp <> '' THEN concat('Совпал поставщик или договор с шаблоном \\'', __vp, '\\'.') END, "
+        "CASE WHEN size(__kwl) > 0 THEN concat('Дополнительно сработали ключевые слова: ', array_join(__kwl, ', '), '.') END, "
+        "concat('Запись отнесена в категорию ', __l1, ' / ', __l2, ' / ', __l3, '.'))"
     )
-    matched = w.isNotNull()
-    outputs = [
-        F.when(matched, F.col("__l1")).otherwise(F.lit(cfg.FACT_DEFAULT_L1)).alias("l1_category"),
-        F.when(matched, F.col("__l2")).otherwise(F.lit(cfg.FACT_DEFAULT_L2)).alias("l2_category"),
-        F.when(matched, F.col("__l3")).otherwise(F.lit(cfg.FACT_DEFAULT_L3)).alias("l3_category"),
-        F.when(matched, reason).otherwise(F.lit(cfg.UNMATCHED_REASON)).alias("classification_reason"),
-        F.when(matched, human).otherwise(F.lit(cfg.UNMATCHED_REASON_HUMAN)).alias("classification_reason_human"),
-        F.when(matched, bucket).otherwise(F.lit("unclassified")).alias("classification_confidence"),
-        F.when(matched, F.round(num, 4)).otherwise(F.lit(0.0)).alias("classification_confidence_score"),
-        F.when(matched, F.col("__rid")).alias("classification_rule_id"),
-        F.when(matched, F.col("__rid")).alias("matched_rule_id"),
-        F.when(matched, F.array_join(F.col("__kwl"), ", ")).otherwise(F.lit("")).alias("matched_keywords"),
-        F.when(matched, F.col("__vp")).alias("matched_vendor_pattern"),
-        F.when(matched, F.col("__ap")).alias("matched_article_pattern"),
-        F.when(matched, bucket.isin("low", "unclassified") | (num < F.col("__rrb")))
-        .otherwise(F.lit(True)).alias("review_required"),
+    m = "__w IS NOT NULL"
+    fields = [
+        ("l1_category", f"CASE WHEN {m} THEN __l1 ELSE {sql_str(cfg.FACT_DEFAULT_L1)} END"),
+        ("l2_category", f"CASE WHEN {m} THEN __l2 ELSE {sql_str(cfg.FACT_DEFAULT_L2)} END"),
+        ("l3_category", f"CASE WHEN {m} THEN __l3 ELSE {sql_str(cfg.FACT_DEFAULT_L3)} END"),
+        ("classification_reason", f"CASE WHEN {m} THEN {reason} ELSE {sql_str(cfg.UNMATCHED_REASON)} END"),
+        ("classification_reason_human", f"CASE WHEN {m} THEN {human} ELSE {sql_str(cfg.UNMATCHED_REASON_HUMAN)} END"),
+        ("classification_confidence", f"CASE WHEN {m} THEN {bucket} ELSE 'unclassified' END"),
+        ("classification_confidence_score", f"CASE WHEN {m} THEN round(__num, 4) ELSE 0.0D END"),
+        ("classification_rule_id", f"CASE WHEN {m} THEN __rid END"),
+        ("matched_rule_id", f"CASE WHEN {m} THEN __rid END"),
+        ("matched_keywords", f"CASE WHEN {m} THEN array_join(__kwl, ', ') ELSE '' END"),
+        ("matched_vendor_pattern", f"CASE WHEN {m} THEN __vp END"),
+        ("matched_article_pattern", f"CASE WHEN {m} THEN __ap END"),
+        ("review_required", f"CASE WHEN {m} THEN ({bucket} IN ('low', 'unclassified') OR __num < __rrb) ELSE true END"),
     ]
-    keep = [F.col(f"`{c}`") for c in original if c not in CLASSIFICATION_OUTPUT_COLUMNS]
-    return staged.select(*keep, F.inline(F.array(F.struct(*outputs))))
+    struct = "named_struct(" + ", ".join(f"'{name}', {expr}" for name, expr in fields) + ")"
+    keep = [f"`{c}`" for c in original if c not in CLASSIFICATION_OUTPUT_COLUMNS]
+    return staged.selectExpr(*keep, f"inline(array({struct}))")
 
 
 def rule_evidence(df: DataFrame, rules: list[dict[str, Any]] | None = None) -> DataFrame:
