@@ -458,3 +458,163 @@ def classify_with_queue(df: DataFrame, rules: list[dict[str, Any]] | None = None
     classified = classify_payments(df, rules)
     queue = build_review_queue(classified)
     return classified, queue.withColumn("review_reason", F.col("reason"))
+
+
+# --------------------------------------------------------------------------
+# join form (large rule sets)
+# --------------------------------------------------------------------------
+
+PATTERN_SCHEMA = (
+    "rule_idx int, kind string, column string, cond_ord int, val_ord int, raw string, lower_pat string, "
+    "norm_pat string, star boolean, is_kw boolean"
+)
+
+
+def pattern_rows(ordered: list[dict[str, Any]]) -> list[tuple]:
+    """One row per (active rule, condition value); bounded by the config."""
+    rows = []
+    for idx, rule in enumerate(ordered):
+        for c_ord, cond in enumerate(rule["conditions"]):
+            column = cond["column"]
+            values = [str(v) for v in cond["values"]]
+            star = "*" in values
+            kind = "A" if column in cfg.ARTICLE_COLUMNS else "V" if column in cfg.VENDOR_COLUMNS else "O"
+            for v_ord, v in enumerate(values):
+                norm = _norm_text(v)
+                is_kw = column in cfg.KEYWORD_COLUMNS and norm not in ("", "*")
+                rows.append((idx, kind, column, c_ord, v_ord, v, v.lower(), norm, star, is_kw))
+    return rows
+
+
+def classify_payments_join(df: DataFrame, rules: list[dict[str, Any]] | None = None) -> DataFrame:
+    """D17, join form: same result as ``classify_payments`` for any rule count.
+
+    1. distinct normalized feature tuples (rows sharing features are
+       classified once; a hot vendor costs one tuple, not a third of the data);
+    2. theta join of tuples with the broadcast pattern table (bounded by the
+       configuration) on the substring conditions - only hitting pairs are kept;
+    3. per (tuple, rule): evidence, keyword list/score, first patterns;
+    4. per tuple: winner by (tier, -score for keyword tier, priority order);
+    5. outputs joined back to the rows on the feature values.
+    """
+    rules = cfg.CLASSIFICATION_RULES if rules is None else rules
+    ordered = active_rules(rules)
+    spark = df.sparkSession
+    feats = _features(df)
+    names = list(feats)
+    staged = df.withColumns(feats)
+    tuples = staged.select(*names).distinct()
+    pats = F.broadcast(spark.createDataFrame(pattern_rows(ordered) or [], PATTERN_SCHEMA))
+    value = F.lit("")
+    for column in cfg.FEATURE_COLUMNS:
+        value = F.when(pats["column"] == column, F.col(_feature_name(column))).otherwise(value)
+    f_art, f_pur, f_con = (F.col(_feature_name(c)) for c in cfg.KEYWORD_COLUMNS)
+    matcher = pats["star"] | F.contains(value, pats["lower_pat"])
+    finder = (pats["norm_pat"] == "*") | F.contains(value, pats["norm_pat"])
+    in_a, in_p, in_c = (F.contains(f, pats["norm_pat"]) for f in (f_art, f_pur, f_con))
+    kw_hit = pats["is_kw"] & (in_a | in_p | in_c)
+    pairs = tuples.join(pats, ((pats["kind"] != "O") & (matcher | finder)) | kw_hit).select(
+        *names, "rule_idx", "kind", "cond_ord", "val_ord", "raw", "norm_pat", "is_kw",
+        matcher.alias("m"), finder.alias("fh"), (pats["is_kw"] & in_a).alias("ka"),
+        (pats["is_kw"] & in_p).alias("kp"), (pats["is_kw"] & in_c).alias("kc"),
+    )
+    pos = F.col("cond_ord") * 100000 + F.col("val_ord")
+    ev = pairs.groupBy(*names, "rule_idx").agg(
+        F.bool_or((F.col("kind") == "A") & F.col("m")).alias("art"),
+        F.bool_or((F.col("kind") == "V") & F.col("m")).alias("ven"),
+        F.least(
+            F.lit(0.0)
+            + F.when(F.bool_or(F.col("ka")), F.lit(cfg.KEYWORD_WEIGHTS[cfg.KEYWORD_COLUMNS[0]])).otherwise(F.lit(0.0))
+            + F.when(F.bool_or(F.col("kp")), F.lit(cfg.KEYWORD_WEIGHTS[cfg.KEYWORD_COLUMNS[1]])).otherwise(F.lit(0.0))
+            + F.when(F.bool_or(F.col("kc")), F.lit(cfg.KEYWORD_WEIGHTS[cfg.KEYWORD_COLUMNS[2]])).otherwise(F.lit(0.0)),
+            F.lit(1.0),
+        ).alias("score"),
+        F.array_sort(F.collect_list(F.when(F.col("is_kw") & (F.col("ka") | F.col("kp") | F.col("kc")),
+                                           F.struct(pos.alias("p"), F.col("norm_pat").alias("k"))))).alias("kws"),
+        F.min_by(F.when((F.col("kind") == "V") & F.col("fh"), F.col("raw")), F.when((F.col("kind") == "V") & F.col("fh"), pos)).alias("vpat"),
+        F.min_by(F.when((F.col("kind") == "A") & F.col("fh"), F.col("raw")), F.when((F.col("kind") == "A") & F.col("fh"), pos)).alias("apat"),
+    )
+    tier = F.when(F.col("art"), 1).when(F.col("ven"), 2).when(F.col("score") > 0, 3)
+    ranked = ev.withColumn("tier", tier).where(F.col("tier").isNotNull())
+    key = F.struct(F.col("tier"), F.when(F.col("tier") == 3, -F.col("score")).otherwise(F.lit(0.0)), F.col("rule_idx"))
+    win = ranked.groupBy(*names).agg(
+        F.min_by(F.struct("rule_idx", "tier", "ven", "score", "kws", "vpat", "apat"), key).alias("w")
+    )
+    lit_arr = lambda vals: F.array(*[F.lit(v) for v in vals])
+    idx = F.col("w.rule_idx") + 1
+    am = F.coalesce(F.col("w.tier") == 1, F.lit(False))
+    vm = F.coalesce((F.col("w.tier") == 2) | ((F.col("w.tier") == 1) & F.col("w.ven")), F.lit(False))
+    kwl = F.array_distinct(F.transform(F.col("w.kws"), lambda x: x["k"]))
+    winners = win.select(
+        *names,
+        F.col("w.rule_idx").alias("__w"),
+        am.alias("__am"), vm.alias("__vm"), kwl.alias("__kwl"), F.col("w.score").alias("__ks"),
+        F.element_at(lit_arr([r["rule_id"] for r in ordered]), idx).alias("__rid"),
+        F.element_at(lit_arr([r["target"]["l1"] for r in ordered]), idx).alias("__l1"),
+        F.element_at(lit_arr([r["target"]["l2"] for r in ordered]), idx).alias("__l2"),
+        F.element_at(lit_arr([r["target"]["l3"] for r in ordered]), idx).alias("__l3"),
+        F.element_at(lit_arr([float(r["confidence"]) for r in ordered]), idx).alias("__base"),
+        F.element_at(lit_arr([float(r.get("review_required_below", cfg.DEFAULT_REVIEW_REQUIRED_BELOW)) for r in ordered]), idx).alias("__rrb"),
+        F.when(vm, F.col("w.vpat")).alias("__vp"),
+        F.when(am, F.col("w.apat")).alias("__ap"),
+    )
+    num = F.greatest(F.lit(0.0), F.least(
+        F.col("__base") + F.when(F.col("__am"), F.lit(cfg.ARTICLE_BONUS)).otherwise(F.lit(0.0))
+        + F.when(F.col("__vm"), F.lit(cfg.VENDOR_BONUS)).otherwise(F.lit(0.0)) + F.col("__ks") * F.lit(cfg.KEYWORD_FACTOR),
+        F.lit(1.0)))
+    winners = winners.withColumn("__num", num)
+    joined = staged.join(winners, names, "left")
+    out_cols = _final_outputs_sql()
+    original = df.columns
+    keep = [f"`{c}`" for c in original if c not in CLASSIFICATION_OUTPUT_COLUMNS]
+    return joined.selectExpr(*keep, *out_cols)
+
+
+def _final_outputs_sql() -> list[str]:
+    """The 13 outputs from winner fields __w, __am, __vm, __kwl, __ks, __rid,
+    __l1..__l3, __rrb, __vp, __ap, __num (shared text with the expression form)."""
+    bucket = (
+        f"CASE WHEN __num >= {_dbl(cfg.BUCKET_HIGH)} THEN 'high' WHEN __num >= {_dbl(cfg.BUCKET_MEDIUM)} THEN 'medium' "
+        "WHEN __num > 0.0D THEN 'low' ELSE 'unclassified' END"
+    )
+    evidence = (
+        "concat_ws(', ', CASE WHEN __am THEN 'article' END, CASE WHEN __vm THEN 'vendor' END, "
+        "CASE WHEN __ks > 0 THEN concat('keywords=', format_number(__ks, 2)) END)"
+    )
+    reason = f"concat('Matched rule \\'', __rid, '\\' using ', CASE WHEN {evidence} = '' THEN 'rule fallback' ELSE {evidence} END, '.')"
+    human = (
+        "concat_ws(' ', concat('Применено правило ', __rid, '.'), "
+        "CASE WHEN __ap IS NOT NULL AND __ap <> '' THEN concat('Совпала статья или код с шаблоном \\'', __ap, '\\'.') END, "
+        "CASE WHEN __vp IS NOT NULL AND __vp <> '' THEN concat('Совпал поставщик или договор с шаблоном \\'', __vp, '\\'.') END, "
+        "CASE WHEN size(__kwl) > 0 THEN concat('Дополнительно сработали ключевые слова: ', array_join(__kwl, ', '), '.') END, "
+        "concat('Запись отнесена в категорию ', __l1, ' / ', __l2, ' / ', __l3, '.'))"
+    )
+    m = "__w IS NOT NULL"
+    return [
+        f"CASE WHEN {m} THEN __l1 ELSE {sql_str(cfg.FACT_DEFAULT_L1)} END AS l1_category",
+        f"CASE WHEN {m} THEN __l2 ELSE {sql_str(cfg.FACT_DEFAULT_L2)} END AS l2_category",
+        f"CASE WHEN {m} THEN __l3 ELSE {sql_str(cfg.FACT_DEFAULT_L3)} END AS l3_category",
+        f"CASE WHEN {m} THEN {reason} ELSE {sql_str(cfg.UNMATCHED_REASON)} END AS classification_reason",
+        f"CASE WHEN {m} THEN {human} ELSE {sql_str(cfg.UNMATCHED_REASON_HUMAN)} END AS classification_reason_human",
+        f"CASE WHEN {m} THEN {bucket} ELSE 'unclassified' END AS classification_confidence",
+        f"CASE WHEN {m} THEN round(__num, 4) ELSE 0.0D END AS classification_confidence_score",
+        f"CASE WHEN {m} THEN __rid END AS classification_rule_id",
+        f"CASE WHEN {m} THEN __rid END AS matched_rule_id",
+        f"CASE WHEN {m} THEN array_join(__kwl, ', ') ELSE '' END AS matched_keywords",
+        f"CASE WHEN {m} THEN __vp END AS matched_vendor_pattern",
+        f"CASE WHEN {m} THEN __ap END AS matched_article_pattern",
+        f"CASE WHEN {m} THEN ({bucket} IN ('low', 'unclassified') OR __num < __rrb) ELSE true END AS review_required",
+    ]
+
+
+EXPRESSION_FORM_MAX_RULES = 400
+
+
+def classify(df: DataFrame, rules: list[dict[str, Any]] | None = None, form: str = "auto") -> DataFrame:
+    """One entry point for both plans: the expression form for config-sized
+    rule sets, the join form above ``EXPRESSION_FORM_MAX_RULES`` rules (where
+    generated expressions would grow past codegen limits)."""
+    rules = cfg.CLASSIFICATION_RULES if rules is None else rules
+    if form == "join" or (form == "auto" and len(rules) > EXPRESSION_FORM_MAX_RULES):
+        return classify_payments_join(df, rules)
+    return classify_payments(df, rules)

@@ -1199,3 +1199,9 @@ def q_d19(spark: SparkSession, sf_dir: str) -> DataFrame:
     queue = D.build_review_queue(stages.classified(spark, sf_dir))
     rules = labels_to_rules(queue, cfg.CLASSIFICATION_RULES)
     return rules.withColumn("conditions", F.to_json("conditions"))
+
+
+@register("classify_payments_join", f"SELECT _row_seq, {CLASS_COLS} FROM classified")
+def q_classify_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D17 through the join form (distinct feature tuples x broadcast patterns)."""
+    return D.classify_payments_join(stages.cleaned(spark, sf_dir)).select(ROW_SEQ, *D.CLASSIFICATION_OUTPUT_COLUMNS)

@@ -92,3 +92,23 @@ def test_expression_is_config_independent_of_input_order(spark):
     rules = copy.deepcopy(cfg.CLASSIFICATION_RULES)[::-1]  # reversed list; priority decides
     r = classify_one(spark, rules, bit_stati_oborotov_naimenovanie="hosting services", kontragenti_naimenovanie="kaspersky")
     assert r["matched_rule_id"] == "infra_cloud_hosting"
+
+
+def test_join_form_equals_expression_form(spark):
+    from ledgerlens.operators.classify import CLASSIFICATION_OUTPUT_COLUMNS, classify_payments_join
+
+    rows = [
+        record(bit_stati_oborotov_naimenovanie="hosting services", kontragenti_naimenovanie="kaspersky"),
+        record(bit_stati_oborotov_naimenovanie="security subscription", kontragenti_naimenovanie="kaspersky lab"),
+        record(bit_stati_oborotov_naimenovanie="misc payment", kontragenti_naimenovanie="unknown vendor"),
+        record(naznachenie_platezha="crm implementation support services",
+               dogovori_kontragentov_naimenovanie="implementation support contract"),
+        record(bit_stati_oborotov_naimenovanie="  Microsoft 365 ", dogovori_kontragentov_naimenovanie="1-urgent license"),
+        record(bit_stati_oborotov_naimenovanie="оплата доменов", kontragenti_naimenovanie="рег.ру mts"),
+        record(),
+    ]
+    df = spark.createDataFrame(rows, SCHEMA)
+    cols = ["bit_stati_oborotov_naimenovanie", "kontragenti_naimenovanie", "naznachenie_platezha"] + CLASSIFICATION_OUTPUT_COLUMNS
+    a = sorted(tuple(r) for r in classify_payments(df).select(*cols).collect())
+    b = sorted(tuple(r) for r in classify_payments_join(df).select(*cols).collect())
+    assert a == b
