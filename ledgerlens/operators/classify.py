@@ -223,7 +223,7 @@ class _SqlCompiler:
         return self.tests[key]
 
 
-def _sql_tier(comp: _SqlCompiler, rule: dict[str, Any], columns: list[str]) -> str:
+def _sql_tier(comp: _SqlCompiler, rule: dict[str, Any], columns: list[str], strict: bool = False) -> str:
     parts = []
     for cond in rule["conditions"]:
         if cond["column"] not in columns:
@@ -231,7 +231,14 @@ def _sql_tier(comp: _SqlCompiler, rule: dict[str, Any], columns: list[str]) -> s
         values = [str(v) for v in cond["values"]]
         if "*" in values:
             return "true"
-        parts.extend(comp.hit(cond["column"], v.lower()) for v in values)
+        mtype = cond.get("match_type", "contains_any")
+        feature = _feature_name(cond["column"])
+        if strict and mtype in ("equals_any", "in_list"):
+            parts.append(f"{feature} IN ({', '.join(sql_str(v.lower()) for v in values)})")
+        elif strict and mtype == "regex_any":
+            parts.extend(f"regexp_like({feature}, {sql_str(v)})" for v in values)
+        else:
+            parts.extend(comp.hit(cond["column"], v.lower()) for v in values)
     return _sql_or(parts)
 
 
@@ -277,9 +284,15 @@ def _sql_pick(values: list[str], index: str = "__w") -> str:
 def classify_payments(
     df: DataFrame,
     rules: list[dict[str, Any]] | None = None,
+    strict_match_types: bool = False,
 ) -> DataFrame:
     """Append the 13 classification columns to every row.
 
+    ``strict_match_types=False`` (default) reproduces the studied engine, where
+    every condition is a substring test whatever its match type; ``True``
+    honours equals_any / in_list (whole value) and regex_any (regex) for the
+    article and vendor tiers.
+
     Plan shape: Project(features) -> Project(one boolean per distinct
     substring test) -> Project(per-rule article/vendor flags and keyword
     score) -> Project(winner index) -> Generate(inline of one struct with the
@@ -305,8 +318,8 @@ def classify_payments(
 
     art, ven, kw_arrays, kw_scores, vpat, apat = [], [], [], [], [], []
     for rule in ordered:
-        art.append(_sql_tier(comp, rule, cfg.ARTICLE_COLUMNS))
-        ven.append(_sql_tier(comp, rule, cfg.VENDOR_COLUMNS))
+        art.append(_sql_tier(comp, rule, cfg.ARTICLE_COLUMNS, strict_match_types))
+        ven.append(_sql_tier(comp, rule, cfg.VENDOR_COLUMNS, strict_match_types))
         arr, score = _sql_keywords(comp, rule)
         kw_arrays.append(arr)
         kw_scores.append(score)

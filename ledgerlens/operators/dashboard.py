@@ -238,12 +238,11 @@ DETAIL_COLUMNS = [
 ]
 
 
-def detail_row_index(details: DataFrame, collapsed: bool = False) -> DataFrame:
-    """H8: 8 keys per row -> row ids.
-
-    Default (scalable) form: exploded (key, detail_row_id, _row_seq) rows.
-    ``collapsed=True`` groups to (key, ordered id list) - one list per key, so
-    only for bounded slices, never for the full fact at scale."""
+def detail_row_index(details: DataFrame) -> DataFrame:
+    """H8: the eight drill keys of every row, exploded: (key, detail_row_id,
+    _row_seq).  The per-key id lists of the studied payload are this table
+    grouped by key and ordered by ``_row_seq``; it is kept exploded because
+    one key (a status, a year) can hold a third of all rows."""
     def key(prefix: str, value: Column) -> Column:
         return F.concat(F.lit(prefix + ":"), F.coalesce(value.cast("string"), F.lit("None")))
 
@@ -259,11 +258,4 @@ def detail_row_index(details: DataFrame, collapsed: bool = False) -> DataFrame:
             key("l3", F.col("l3_category_id")),
         )
     )
-    exploded = details.select(F.explode(keys).alias("key"), "detail_row_id", ROW_SEQ)
-    if not collapsed:
-        return exploded
-    return exploded.groupBy("key").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct(ROW_SEQ, "detail_row_id"))), lambda s: s["detail_row_id"]).alias(
-            "detail_row_ids"
-        )
-    )
+    return details.select(F.explode(keys).alias("key"), "detail_row_id", ROW_SEQ)

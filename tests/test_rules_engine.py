@@ -112,3 +112,19 @@ def test_join_form_equals_expression_form(spark):
     a = sorted(tuple(r) for r in classify_payments(df).select(*cols).collect())
     b = sorted(tuple(r) for r in classify_payments_join(df).select(*cols).collect())
     assert a == b
+
+
+def test_strict_match_types_option(spark):
+    rules = [
+        {"rule_id": "eq", "priority": 1, "confidence": 0.9,
+         "target": {"l1": "other_it", "l2": "unclassified", "l3": "misc_services"},
+         "conditions": [{"column": "kontragenti_naimenovanie", "match_type": "equals_any", "values": ["beta"]}]},
+        {"rule_id": "rx", "priority": 2, "confidence": 0.9,
+         "target": {"l1": "other_it", "l2": "unclassified", "l3": "misc_software"},
+         "conditions": [{"column": "bit_stati_oborotov_kodifikator", "match_type": "regex_any", "values": ["^it[0-9]+$"]}]},
+    ]
+    df = spark.createDataFrame([record(kontragenti_naimenovanie="xx beta xx"), record(bit_stati_oborotov_kodifikator="IT001")], SCHEMA)
+    loose = [r["matched_rule_id"] for r in classify_payments(df, rules).collect()]
+    strict = [r["matched_rule_id"] for r in classify_payments(df, rules, strict_match_types=True).collect()]
+    assert loose == ["eq", None]  # substring semantics: regex text is not a substring of 'it001'
+    assert strict == [None, "rx"]
