@@ -209,12 +209,11 @@ def build_aggregations(fact: DataFrame, years: tuple[int, ...] = cfg.DEFAULT_REP
 
 
 def reconcile_totals(fact: DataFrame) -> DataFrame:
-    """Every aggregate's total against the fact total, in one pass.
+    """Every aggregate's grand total against the fact total.
 
-    Each aggregate partitions the same rows, so its grand total is the fact
-    total; this computes all grand totals with one ``agg`` (they are the same
-    sum by construction of GROUP BY) plus the per-aggregate row sums via
-    grouping sets, and reports (aggregate, total_amount, fact_total, equal).
+    Each aggregate partitions the same rows, so summing its per-group totals
+    must give the fact total; computed exactly (decimal) per aggregate and
+    reported as (aggregate, total_amount, fact_total, reconciled).
     """
     amount = exact_amount(F.col("amount"))
     sets = {

@@ -15,7 +15,6 @@ from typing import Any
 
 from ledgerlens import config as cfg
 from ledgerlens.functions.text import WHITESPACE_CHARS, WHITESPACE_CLASS
-from ledgerlens.operators.classify import is_wildcard_fallback  # noqa: F401  (documented parity)
 from ledgerlens.sources.adapter import RAW_COLUMNS, adapter_sql
 
 WS = WHITESPACE_CLASS

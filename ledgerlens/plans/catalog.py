@@ -979,7 +979,6 @@ def q_h13(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- 2.9 drill-down
 
 DRILL_YEAR = YEARS[0]
-DET = f"({DETAILS_SQL.replace(chr(39) + 'row_' + chr(39), chr(39) + 'row_' + chr(39))})"
 
 
 def _details_light(spark: SparkSession, sf_dir: str) -> DataFrame:
