@@ -479,7 +479,7 @@ def classify_with_queue(df: DataFrame, rules: list[dict[str, Any]] | None = None
 
 PATTERN_SCHEMA = (
     "rule_idx int, kind string, column string, cond_ord int, val_ord int, raw string, lower_pat string, "
-    "norm_pat string, star boolean, is_kw boolean"
+    "norm_pat string, star boolean, is_kw boolean, match_type string"
 )
 
 
@@ -495,11 +495,14 @@ def pattern_rows(ordered: list[dict[str, Any]]) -> list[tuple]:
             for v_ord, v in enumerate(values):
                 norm = _norm_text(v)
                 is_kw = column in cfg.KEYWORD_COLUMNS and norm not in ("", "*")
-                rows.append((idx, kind, column, c_ord, v_ord, v, v.lower(), norm, star, is_kw))
+                rows.append((idx, kind, column, c_ord, v_ord, v, v.lower(), norm, star, is_kw,
+                             str(cond.get("match_type", "contains_any"))))
     return rows
 
 
-def classify_payments_join(df: DataFrame, rules: list[dict[str, Any]] | None = None) -> DataFrame:
+def classify_payments_join(
+    df: DataFrame, rules: list[dict[str, Any]] | None = None, strict_match_types: bool = False
+) -> DataFrame:
     """D17, join form: same result as ``classify_payments`` for any rule count.
 
     1. distinct normalized feature tuples (rows sharing features are
@@ -523,6 +526,12 @@ def classify_payments_join(df: DataFrame, rules: list[dict[str, Any]] | None = N
         value = F.when(pats["column"] == column, F.col(_feature_name(column))).otherwise(value)
     f_art, f_pur, f_con = (F.col(_feature_name(c)) for c in cfg.KEYWORD_COLUMNS)
     matcher = pats["star"] | F.contains(value, pats["lower_pat"])
+    if strict_match_types:
+        matcher = pats["star"] | (
+            F.when(pats["match_type"].isin("equals_any", "in_list"), value == pats["lower_pat"])
+            .when(pats["match_type"] == "regex_any", F.regexp_like(value, pats["raw"]))
+            .otherwise(F.contains(value, pats["lower_pat"]))
+        )
     finder = (pats["norm_pat"] == "*") | F.contains(value, pats["norm_pat"])
     in_a, in_p, in_c = (F.contains(f, pats["norm_pat"]) for f in (f_art, f_pur, f_con))
     kw_hit = pats["is_kw"] & (in_a | in_p | in_c)
@@ -623,11 +632,13 @@ def _final_outputs_sql() -> list[str]:
 EXPRESSION_FORM_MAX_RULES = 400
 
 
-def classify(df: DataFrame, rules: list[dict[str, Any]] | None = None, form: str = "auto") -> DataFrame:
+def classify(
+    df: DataFrame, rules: list[dict[str, Any]] | None = None, form: str = "auto", strict_match_types: bool = False
+) -> DataFrame:
     """One entry point for both plans: the expression form for config-sized
     rule sets, the join form above ``EXPRESSION_FORM_MAX_RULES`` rules (where
     generated expressions would grow past codegen limits)."""
     rules = cfg.CLASSIFICATION_RULES if rules is None else rules
     if form == "join" or (form == "auto" and len(rules) > EXPRESSION_FORM_MAX_RULES):
-        return classify_payments_join(df, rules)
-    return classify_payments(df, rules)
+        return classify_payments_join(df, rules, strict_match_types)
+    return classify_payments(df, rules, strict_match_types)

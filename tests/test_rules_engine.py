@@ -128,3 +128,24 @@ def test_strict_match_types_option(spark):
     strict = [r["matched_rule_id"] for r in classify_payments(df, rules, strict_match_types=True).collect()]
     assert loose == ["eq", None]  # substring semantics: regex text is not a substring of 'it001'
     assert strict == [None, "rx"]
+
+
+def test_strict_match_types_join_form_agrees(spark):
+    from ledgerlens.operators.classify import classify
+
+    rules = [
+        {"rule_id": "eq", "priority": 1, "confidence": 0.9,
+         "target": {"l1": "other_it", "l2": "unclassified", "l3": "misc_services"},
+         "conditions": [{"column": "kontragenti_naimenovanie", "match_type": "equals_any", "values": ["beta"]}]},
+        {"rule_id": "rx", "priority": 2, "confidence": 0.9,
+         "target": {"l1": "other_it", "l2": "unclassified", "l3": "misc_software"},
+         "conditions": [{"column": "bit_stati_oborotov_kodifikator", "match_type": "regex_any", "values": ["^it[0-9]+$"]}]},
+    ]
+    df = spark.createDataFrame([record(kontragenti_naimenovanie="xx beta xx"), record(kontragenti_naimenovanie="beta"),
+                                record(bit_stati_oborotov_kodifikator="IT001")], SCHEMA)
+    for strict in (False, True):
+        expr = sorted((r["kontragenti_naimenovanie"], r["matched_rule_id"] or "") for r in
+                      classify(df, rules, form="expression", strict_match_types=strict).collect())
+        join = sorted((r["kontragenti_naimenovanie"], r["matched_rule_id"] or "") for r in
+                      classify(df, rules, form="join", strict_match_types=strict).collect())
+        assert expr == join
