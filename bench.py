@@ -12,6 +12,7 @@ Stages (each timed separately, wall clock, warm JVM after a small warm-up):
   insights          seven insights ranked (F1-F8)
   quality           five QA checks, one pass (G1-G6)
   audit             raw vs processed audit log (join form, noop sink)
+  audit_narrow      the same log computed row-locally next to the cleaning (pipeline form)
   detail_index      detail rows + exploded row index (noop sink)
 """
 
@@ -99,6 +100,7 @@ def main() -> None:
     classify.classify_payments(clean.clean_payments(ingested)).write.parquet(classified_path)
     classified = spark.read.parquet(classified_path)
     timed("audit", lambda: noop(audit.audit_join(ingested, classified)))
+    timed("audit_narrow", lambda: noop(audit.audit_trail(ingested)))
     timed("detail_index", lambda: noop(dashboard.detail_row_index(dashboard.detail_rows(fact))))
     fact.unpersist()
 
