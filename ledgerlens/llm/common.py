@@ -99,7 +99,16 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words of UTF-8 texts (A-Z lower-cased), and the
-    offset of each text's first word, with the total as last offset.
+    offset of each text's first word, with the total as last offset."""
+    return word_places(texts)[:2]
+
+
+def word_places(
+    texts: list[bytes], prefixes: tuple[int, ...] = ()
+) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As word_hashes, with each word's begin and end among the bytes of all
+    texts, one byte between texts.  With ``prefixes`` the hashes are a matrix:
+    the word, then its first so many bytes (the whole word if it is shorter).
 
     A word's hash is a polynomial of its bytes, read off a running sum over
     the whole buffer, so there is no Python work per word.
@@ -113,8 +122,11 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     total = np.zeros(len(buffer) + 1, np.uint64)
     np.cumsum(_LETTERS[buffer] * up[: len(buffer)], out=total[1:])
     hashes = mixed((total[end] - total[begin]) * down[begin])
+    if prefixes:
+        parts = [mixed((total[np.minimum(begin + n, end)] - total[begin]) * down[begin]) for n in prefixes]
+        hashes = np.column_stack([hashes, *parts])
     offsets = np.concatenate(([0], np.searchsorted(begin, ends_of))).astype(np.int64)
-    return hashes, offsets
+    return hashes, offsets, begin, end
 
 
 def as_bytes(value: object) -> bytes:
