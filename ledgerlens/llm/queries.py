@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import table
+from ledgerlens.llm.katz import katz_scores, seventh_held_out
 from ledgerlens.llm.near_dup import near_duplicates
+from ledgerlens.llm.secrets import digest, find_secrets, train_ratio
+from ledgerlens.llm.toxicity import THRESHOLD, fit_toxicity, quarter_held_out, score_toxicity
 
 
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,8 +19,35 @@ def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
 
 
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of all whole documents; a seventh is held out of training."""
+    docs = table(spark, sf_dir, "documents")
+    return katz_scores(docs, seventh_held_out(docs))
+
+
+def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all whole documents: named patterns and random-looking tokens."""
+    docs = table(spark, sf_dir, "documents")
+    return digest(find_secrets(docs, train_ratio(docs)))
+
+
+def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of all whole documents, learnt from the labels not held out."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = fit_toxicity(docs, labels, ~quarter_held_out(F.col("doc_id")))
+    return score_toxicity(docs, model).select(
+        "doc_id",
+        quarter_held_out(F.col("doc_id")).alias("held_out"),
+        "score",
+        (F.col("score") >= THRESHOLD).cast("int").alias("predicted"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_minhash_forest": op4_minhash_forest,
+    "op5_katz_backoff": op5_katz_backoff,
+    "op8_markov_secrets": op8_markov_secrets,
+    "op10_toxic_segments": op10_toxic_segments,
 }
 
 ORACLES: dict[str, str] = {}
