@@ -8,10 +8,11 @@ whole texts.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,3 +169,23 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
         else:
             out.append(np.empty(0, np.uint64))
     return out
+
+
+def rows_where(docs: DataFrame, keep: Callable[[list[bytes]], list[bool]]) -> DataFrame:
+    """Rows of ``docs`` whose text passes ``keep``, every column untouched."""
+    at = docs.columns.index("text")
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.encode("utf-8", "surrogatepass") if t is not None else b"" for t in batch.column(at).to_pylist()]
+            mask, start, size = [], 0, 0
+            for i, t in enumerate(texts):
+                size += len(t)
+                if size >= CHUNK_BYTES:
+                    mask += keep(texts[start : i + 1])
+                    start, size = i + 1, 0
+            if start < len(texts):
+                mask += keep(texts[start:])
+            yield batch.filter(pa.array(mask, pa.bool_()))
+
+    return docs.mapInArrow(filtered, docs.schema)
