@@ -8,12 +8,31 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import table
+from ledgerlens.llm.decontaminate import benchmark_hits
+from ledgerlens.llm.extract import extract_text
+from ledgerlens.llm import chat, line_dedup, mixing
 from ledgerlens.llm.katz import katz_scores, seventh_held_out
 from ledgerlens.llm.near_dup import near_duplicates
+from ledgerlens.llm.quality import quality_verdicts
 from ledgerlens.llm.secrets import digest, find_secrets, train_ratio
 from ledgerlens.llm.toxicity import THRESHOLD, fit_toxicity, quarter_held_out, score_toxicity
 
 
+def op1_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page from its whole html."""
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op2_pigeonhole_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark items found in all whole documents within their error budgets."""
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All messages without quotes, linked to what they reply to."""
+    return chat.link_quotations(table(spark, sf_dir, "conversations"))
+
+
 def op4_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate classes of all documents: two-word shingles, similarity 0.8."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=2, percent=80)
@@ -25,6 +44,17 @@ def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz_scores(docs, seventh_held_out(docs))
 
 
+def op6_site_relative_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines frequent on their source."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_dedup.drop_boilerplate_lines(docs)
+
+
+def op7_robust_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality verdicts on all whole documents by robust distances."""
+    return quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op8_markov_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all whole documents: named patterns and random-looking tokens."""
     docs = table(spark, sf_dir, "documents")
@@ -43,11 +73,28 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's probability and draw under raked source, language and topic targets."""
+    mixed = mixing.mix_to_targets(table(spark, sf_dir, "documents"))
+    rounded = F.round("probability", 6).alias("probability")
+    return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", rounded, "picked")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_wrapper_induction": op1_wrapper_induction,
+    "op2_pigeonhole_decontamination": op2_pigeonhole_decontamination,
+    "op3_quotation_linking": op3_quotation_linking,
     "op4_minhash_forest": op4_minhash_forest,
     "op5_katz_backoff": op5_katz_backoff,
+    "op6_site_relative_lines": op6_site_relative_lines,
+    "op7_robust_outliers": op7_robust_outliers,
     "op8_markov_secrets": op8_markov_secrets,
+    "op9_raked_mixture": op9_raked_mixture,
     "op10_toxic_segments": op10_toxic_segments,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op3_quotation_linking": chat.ORACLE,
+    "op6_site_relative_lines": line_dedup.ORACLE,
+    "op9_raked_mixture": mixing.ORACLE,
+}

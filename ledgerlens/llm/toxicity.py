@@ -12,7 +12,7 @@ the word scores.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -273,5 +273,15 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     return id_and_bytes(docs).mapInPandas(scored, schema).withColumn("doc_id", id_back(F.col("doc_id")))
 
 
+def is_below(model: ToxicityModel, threshold: float) -> Callable[[list[bytes]], list[bool]]:
+    """A test of texts: does the model score them under ``threshold``."""
+
+    def test(texts: list[bytes]) -> list[bool]:
+        found = _scan(model, texts)
+        return [model.probability(model.evidence(segments, len(scores))) < threshold for segments, scores, _, _ in found]
+
+    return test
+
+
 def quarter_held_out(doc_id: Column) -> Column:
     return id_remainder(doc_id, 4) == 2
