@@ -31,7 +31,7 @@ ASSIGN_LEAST, ACCESS_LEAST = 8, 16
 KINDS = ("assign", "access", "hex", "markov")
 
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-LEAST_PER_CHARACTER = 2.0
+LEAST_PER_CHARACTER = 1.5
 LEAST_TOTAL = 20.0
 _NAMES = (b"passw", b"secret", b"token", b"apikey", b"api_key")
 _DIGIT = re.compile(rb"[0-9]")
@@ -103,8 +103,9 @@ def _value_pairs(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def train_ratio(docs: DataFrame) -> np.ndarray:
     """Log-likelihood ratio (random over ordinary) of each symbol after each other.
 
-    The random chain has a flat prior of one count per pair, so without any
-    sample all symbols are alike; the ordinary chain has the same prior.
+    Both chains have a flat prior of one count per pair.  The random chain is
+    mixed half and half with the flat one, since samples of one alphabet say
+    little about random strings over another.
     """
     trained = written(
         id_and_bytes(docs).select("text").mapInPandas(_training_rows, "pair long, count long, value string"), "symbols"
@@ -120,8 +121,8 @@ def train_ratio(docs: DataFrame) -> np.ndarray:
     counts = {True: np.ones(_N * _N), False: np.ones(_N * _N)}
     for row in both.collect():
         counts[row["random"]][row["pair"]] += row["count"]
-    chain = {k: np.log(v.reshape(_N, _N) / v.reshape(_N, _N).sum(axis=1, keepdims=True)) for k, v in counts.items()}
-    return chain[True] - chain[False]
+    chain = {k: v.reshape(_N, _N) / v.reshape(_N, _N).sum(axis=1, keepdims=True) for k, v in counts.items()}
+    return np.log((chain[True] + 1.0 / _N) / 2) - np.log(chain[False])
 
 
 def markov_spans(text: str, ratio: np.ndarray, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
