@@ -30,11 +30,18 @@ def parse_amount(col: Column) -> Column:
     )
 
 
-def exact_amount(col: Column) -> Column:
-    """Amount as decimal so that sums do not depend on summation order."""
-    return col.cast("decimal(28,6)")
-
-
 def exact_sum(col: Column) -> Column:
-    """Order-independent sum of a double amount, returned as double (0.0 if empty)."""
-    return F.coalesce(F.sum(exact_amount(col)).cast("double"), F.lit(0.0))
+    """Sum of a double amount, returned as double (0.0 if empty).
+
+    The part of each amount that fits decimal(38,10) is summed exactly, so the
+    order of rows does not show; what it cuts off (digits beyond the tenth,
+    amounts of 1e28 and more, infinities) is summed as double.  Should the
+    exact part overflow, the plain double sum takes its place.
+    """
+    value = col.cast("double")
+    exact = value.try_cast("decimal(38,10)")
+    rest = F.when(exact.isNull(), value).otherwise(value - exact.cast("double"))
+    whole = F.try_sum(exact).cast("double")
+    count = F.count(exact)
+    total = F.when(count == 0, F.lit(0.0)).otherwise(F.coalesce(whole, F.sum(F.when(exact.isNotNull(), value))))
+    return total + F.coalesce(F.sum(rest), F.lit(0.0))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.functions.text import ustrip
+from ledgerlens.session import written
 
 
 def with_dense_index(
@@ -16,38 +17,36 @@ def with_dense_index(
 ) -> DataFrame:
     """Attach a dense 0..n-1 (or ``start``-based) index without a one-task window.
 
-    ``row_number()`` over an unpartitioned window moves every row into one
-    task.  Instead: optionally range-sort (a distributed sort), tag each row
-    with its partition id and in-partition position, count rows per partition
-    (one row per partition, so the offsets table is bounded by the partition
-    count and safe to broadcast), turn the counts into running offsets and
-    add them back.  Both uses of ``tagged`` share one shuffle (exchange
-    reuse), so partition contents agree.
+    The frame, range-sorted if ``order_cols`` are given, is written once to
+    the shared folder with each row's partition and place in it.  Counts per
+    partition and positions both come from that table, so they always agree;
+    the offsets (one row per partition) are broadcast.  Without
+    ``order_cols`` numbers follow the frame's partitions: one file's rows in
+    their order, but several files in the order Spark packs them.  Runs the
+    write when called.
     """
     base = df.orderBy(*order_cols) if order_cols else df
-    tagged = base.withColumn("__pid", F.spark_partition_id()).withColumn(
-        "__mid", F.monotonically_increasing_id()
-    )
-    counts = tagged.groupBy("__pid").agg(F.count(F.lit(1)).alias("__n"))
-    running = Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        "__pid", F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__off")
-    )
-    local_pos = F.col("__mid") - F.shiftleft(F.col("__pid").cast("long"), 33)
+    placed = written(base.withColumn("__place", F.monotonically_increasing_id()), "placed")
+    part = F.shiftright("__place", 33)
+    counts = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    running = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("__part", F.coalesce(F.sum("__n").over(running), F.lit(0)).alias("__off"))
+    within = F.col("__place").bitwiseAND((1 << 33) - 1)
     return (
-        tagged.join(F.broadcast(offsets), "__pid")
-        .withColumn(name, (F.col("__off") + local_pos + F.lit(start)).cast("long"))
-        .drop("__pid", "__mid", "__off")
+        placed.withColumn("__part", part)
+        .join(F.broadcast(offsets), "__part")
+        .withColumn(name, (F.col("__off") + within + F.lit(start)).cast("long"))
+        .drop("__place", "__part", "__off")
     )
 
 
 def stable_key_text(col: Column, kind: str) -> Column:
     """Value -> key fragment: NULL -> '', timestamps as 'yyyy-MM-dd HH:mm:ss',
-    amounts as 2-decimal text, strings stripped."""
+    amounts as the full text of the double, strings stripped."""
     if kind == "timestamp":
         text = F.date_format(col, "yyyy-MM-dd HH:mm:ss")
     elif kind == "amount":
-        text = col.try_cast("decimal(18,2)").cast("string")
+        text = F.when(~F.isnan(col.cast("double")), col.cast("double").cast("string"))
     else:
         text = ustrip(col.cast("string"))
     return F.coalesce(text, F.lit(""))

@@ -540,7 +540,7 @@ def classify_payments_join(
         matcher.alias("m"), finder.alias("fh"), (pats["is_kw"] & in_a).alias("ka"),
         (pats["is_kw"] & in_p).alias("kp"), (pats["is_kw"] & in_c).alias("kc"),
     )
-    pos = F.col("cond_ord") * 100000 + F.col("val_ord")
+    pos = F.struct("cond_ord", "val_ord")
     ev = pairs.groupBy(*names, "rule_idx").agg(
         F.bool_or((F.col("kind") == "A") & F.col("m")).alias("art"),
         F.bool_or((F.col("kind") == "V") & F.col("m")).alias("ven"),
@@ -629,16 +629,10 @@ def _final_outputs_sql() -> list[str]:
     ]
 
 
-EXPRESSION_FORM_MAX_RULES = 400
-
-
 def classify(
-    df: DataFrame, rules: list[dict[str, Any]] | None = None, form: str = "auto", strict_match_types: bool = False
+    df: DataFrame, rules: list[dict[str, Any]] | None = None, form: str = "expression", strict_match_types: bool = False
 ) -> DataFrame:
-    """One entry point for both plans: the expression form for config-sized
-    rule sets, the join form above ``EXPRESSION_FORM_MAX_RULES`` rules (where
-    generated expressions would grow past codegen limits)."""
-    rules = cfg.CLASSIFICATION_RULES if rules is None else rules
-    if form == "join" or (form == "auto" and len(rules) > EXPRESSION_FORM_MAX_RULES):
-        return classify_payments_join(df, rules, strict_match_types)
-    return classify_payments(df, rules, strict_match_types)
+    """One entry point for both plans, by name: the narrow "expression" form,
+    or the "join" form for rule sets whose expressions outgrow codegen."""
+    build = {"expression": classify_payments, "join": classify_payments_join}[form]
+    return build(df, cfg.CLASSIFICATION_RULES if rules is None else rules, strict_match_types)

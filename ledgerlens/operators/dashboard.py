@@ -11,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import config as cfg
-from ledgerlens.functions.amounts import exact_amount, exact_sum
+from ledgerlens.functions.amounts import exact_sum
 from ledgerlens.functions.dates import iso_date_text
 from ledgerlens.functions.formatting import percent1
 from ledgerlens.functions.slug import attach_slugs
 from ledgerlens.functions.text import ustrip
 from ledgerlens.operators import marts
+from ledgerlens.operators.marts import HAS_TRANSFORMATIONS
 from ledgerlens.sources.ingest import ROW_SEQ
 
 
@@ -76,14 +77,14 @@ def kpis(fact: DataFrame) -> DataFrame:
     """H3: headline KPIs in one aggregation: (id, label, value, display)."""
     from ledgerlens.operators.audit import py_float_text
 
-    amount = exact_amount(F.col("amount"))
+    amount = F.col("amount")
     review = (F.col("l1_category") == cfg.FACT_DEFAULT_L1) | F.col("classification_confidence").isin("low", "unclassified")
     one = fact.agg(
         F.count(F.lit(1)).alias("n"),
-        F.coalesce(F.sum(amount), F.lit(0)).cast("double").alias("total"),
+        exact_sum(amount).alias("total"),
         F.countDistinct("payment_id").alias("cnt"),
-        F.coalesce(F.sum(F.when(F.col("status_group") == "paid", amount)), F.lit(0)).cast("double").alias("paid"),
-        F.coalesce(F.sum(F.when(F.col("status_group").isin(*cfg.UNPAID_STATUSES), amount)), F.lit(0)).cast("double").alias("unpaid"),
+        exact_sum(F.when(F.col("status_group") == "paid", amount)).alias("paid"),
+        exact_sum(F.when(F.col("status_group").isin(*cfg.UNPAID_STATUSES), amount)).alias("unpaid"),
         F.count_if(F.coalesce(review, F.lit(False))).alias("review"),
     )
     share = F.when(F.col("n") > 0, F.col("review") / F.col("n")).otherwise(F.lit(0.0))
@@ -184,12 +185,12 @@ def expense_subject(contract: Column, article: Column) -> Column:
     return F.when(both, F.concat(c, F.lit(" / "), a)).when(c != "", c).otherwise(a)
 
 
-def detail_rows(fact: DataFrame, transformed: DataFrame | None = None) -> DataFrame:
+def detail_rows(fact: DataFrame) -> DataFrame:
     """H7: one row per fact row with ids, labels, slugs and formatted date.
 
-    ``transformed`` (detail_row_id, has_transformations) comes from the audit
-    trail when the raw rows are available; otherwise the flag is false, as in
-    the reference without interim files."""
+    ``has_transformations`` is the fact's own column when it was built next to
+    the raw rows; otherwise false, as in the reference without interim files."""
+    flag = F.col(HAS_TRANSFORMATIONS) if HAS_TRANSFORMATIONS in fact.columns else F.lit(False)
     base = fact.select(
         F.concat(F.lit("row_"), F.col(ROW_SEQ).cast("string")).alias("detail_row_id"),
         ROW_SEQ,
@@ -208,7 +209,7 @@ def detail_rows(fact: DataFrame, transformed: DataFrame | None = None) -> DataFr
         F.col("l2_category").alias("l2_category_label"),
         F.col("l3_category").alias("l3_category_label"),
         "classification_confidence", "matched_rule_id", "matched_keywords", "matched_vendor_pattern",
-        "matched_article_pattern", "classification_reason_human",
+        "matched_article_pattern", "classification_reason_human", flag.alias(HAS_TRANSFORMATIONS),
     )
     slugged = attach_slugs(
         base,
@@ -220,11 +221,6 @@ def detail_rows(fact: DataFrame, transformed: DataFrame | None = None) -> DataFr
             ("l3_category_label", "l3_category_id"),
         ],
     )
-    if transformed is not None:
-        slugged = slugged.join(transformed.withColumnRenamed("has_transformations", "__ht"), "detail_row_id", "left")
-        slugged = slugged.withColumn("has_transformations", F.coalesce(F.col("__ht"), F.lit(False))).drop("__ht")
-    else:
-        slugged = slugged.withColumn("has_transformations", F.lit(False))
     return slugged.select(*DETAIL_COLUMNS)
 
 

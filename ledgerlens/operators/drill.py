@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import config as cfg
-from ledgerlens.functions.amounts import exact_amount, exact_sum
+from ledgerlens.functions.amounts import exact_sum
 from ledgerlens.functions.formatting import amount_thousands
 from ledgerlens.functions.slug import slugify_text
 from ledgerlens.operators.dashboard import status_label
@@ -138,13 +138,13 @@ def category_yoy(details: DataFrame, top: int | None = 8) -> DataFrame:
     )
     rows = details.select(label.alias("label"), "l1_category_id", "year", "amount", ROW_SEQ).withColumn("__k", F.lit(1))
     joined = rows.join(F.broadcast(years), "__k")
-    amount = exact_amount(F.col("amount"))
+    amount = F.col("amount")
     grouped = joined.groupBy("label").agg(
         F.min_by("l1_category_id", ROW_SEQ).alias("id"),
         F.first("left_year").alias("left_year"),
         F.first("right_year").alias("right_year"),
-        F.coalesce(F.sum(F.when(F.col("year") == F.col("left_year"), amount)), F.lit(0)).cast("double").alias("previous_amount"),
-        F.coalesce(F.sum(F.when(F.col("year") == F.col("right_year"), amount)), F.lit(0)).cast("double").alias("current_amount"),
+        exact_sum(F.when(F.col("year") == F.col("left_year"), amount)).alias("previous_amount"),
+        exact_sum(F.when(F.col("year") == F.col("right_year"), amount)).alias("current_amount"),
     )
     out = grouped.withColumn("delta_amount", F.col("current_amount") - F.col("previous_amount")).withColumn(
         "delta_share",
@@ -167,9 +167,7 @@ def growth_leader(details: DataFrame) -> DataFrame:
 def stuck_amount(details: DataFrame) -> DataFrame:
     """Approved-not-paid plus in-approval total."""
     return details.agg(
-        F.coalesce(
-            F.sum(F.when(F.col("status_group").isin(*cfg.UNPAID_STATUSES), exact_amount(F.col("amount")))), F.lit(0)
-        ).cast("double").alias("stuck_amount")
+        exact_sum(F.when(F.col("status_group").isin(*cfg.UNPAID_STATUSES), F.col("amount"))).alias("stuck_amount")
     )
 
 

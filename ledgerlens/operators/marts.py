@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import config as cfg
-from ledgerlens.functions.amounts import NUMBER_PATTERN, exact_amount, exact_sum
+from ledgerlens.functions.amounts import NUMBER_PATTERN, exact_sum
 from ledgerlens.functions.dates import as_timestamp
 from ledgerlens.functions.ids import payment_id, stable_key_text, with_dense_index
 from ledgerlens.sources.ingest import ROW_SEQ
 
+HAS_TRANSFORMATIONS = "has_transformations"
 _NUMERIC = ("double", "float", "int", "bigint", "smallint", "tinyint")
 
 
@@ -89,8 +92,7 @@ def build_payments_fact(df: DataFrame) -> DataFrame:
         "classification_reason_human": _string_or_default(df, "classification_reason_human"),
     }
     selected = [cols[name].alias(name) for name in cfg.FACT_COLUMNS]
-    if ROW_SEQ in df.columns:
-        selected.append(F.col(ROW_SEQ))
+    selected += [F.col(c) for c in (ROW_SEQ, HAS_TRANSFORMATIONS) if c in df.columns]
     return df.select(*selected)
 
 
@@ -208,33 +210,31 @@ def build_aggregations(fact: DataFrame, years: tuple[int, ...] = cfg.DEFAULT_REP
     }
 
 
-def reconcile_totals(fact: DataFrame) -> DataFrame:
+def reconcile_totals(fact: DataFrame, aggregates: dict[str, DataFrame] | None = None) -> DataFrame:
     """Every aggregate's grand total against the fact total.
 
-    Each aggregate partitions the same rows, so summing its per-group totals
-    must give the fact total; computed exactly (decimal) per aggregate and
-    reported as (aggregate, total_amount, fact_total, reconciled).
+    Each aggregate partitions the same rows, so its ``total_amount`` column
+    must add up to the fact total.  ``aggregates`` are the stored tables by
+    name; one that is not given is computed from the fact.  Result:
+    (aggregate, total_amount, fact_total, reconciled), equal to half a cent.
     """
-    amount = exact_amount(F.col("amount"))
-    sets = {
-        "agg_kpi_year_month": ["year", "month"],
-        "agg_status": ["status_group"],
-        "agg_categories": ["l1_category", "l2_category", "l3_category"],
-        "agg_vendors": ["vendor_name"],
-        "agg_orgs": ["organization_name"],
-        "agg_department": ["department_name"],
-    }
     parts = []
-    for name, dims in sets.items():
-        per_group = fact.groupBy(*dims).agg(F.sum(amount).alias("__s"))
-        parts.append(per_group.agg(F.sum("__s").alias("total")).select(F.lit(name).alias("aggregate"), "total"))
-    union = parts[0]
-    for p in parts[1:]:
-        union = union.unionByName(p)
-    fact_total = fact.agg(F.sum(amount).alias("fact_total")).withColumn("__k", F.lit(1))
-    return union.withColumn("__k", F.lit(1)).join(F.broadcast(fact_total), "__k").select(
-        "aggregate",
-        F.coalesce(F.col("total").cast("double"), F.lit(0.0)).alias("total_amount"),
-        F.coalesce(F.col("fact_total").cast("double"), F.lit(0.0)).alias("fact_total"),
-        (F.coalesce(F.col("total"), F.lit(0)) == F.coalesce(F.col("fact_total"), F.lit(0))).alias("reconciled"),
-    )
+    for name, dims in RECONCILED.items():
+        stored = (aggregates or {}).get(name)
+        if stored is None:
+            stored = fact.groupBy(*dims).agg(exact_sum(F.col("amount")).alias("total_amount"))
+        total = exact_sum(F.col("total_amount")).alias("total_amount")
+        parts.append(stored.agg(total).select(F.lit(name).alias("aggregate"), "total_amount"))
+    fact_total = fact.agg(exact_sum(F.col("amount")).alias("fact_total"))
+    joined = reduce(DataFrame.unionByName, parts).join(F.broadcast(fact_total))  # one row
+    return joined.withColumn("reconciled", F.abs(F.col("total_amount") - F.col("fact_total")) < 0.005)
+
+
+RECONCILED = {
+    "agg_kpi_year_month": ["year", "month"],
+    "agg_status": ["status_group"],
+    "agg_categories": ["l1_category", "l2_category", "l3_category"],
+    "agg_vendors": ["vendor_name"],
+    "agg_orgs": ["organization_name"],
+    "agg_department": ["department_name"],
+}

@@ -189,14 +189,14 @@ def base_ctes(rules: list[dict[str, Any]] | None = None) -> dict[str, str]:
         f"+ CASE WHEN bool_or(is_kw AND in_a) THEN {dbl(0.5)} ELSE {dbl(0.0)} END "
         f"+ CASE WHEN bool_or(is_kw AND in_p) THEN {dbl(0.3)} ELSE {dbl(0.0)} END "
         f"+ CASE WHEN bool_or(is_kw AND in_c) THEN {dbl(0.2)} ELSE {dbl(0.0)} END) AS score, "
-        f"arg_min(val, cond_ord * 100000 + val_ord) FILTER (WHERE col IN {VENDOR_SET} "
+        f"arg_min(val, (cond_ord, val_ord)) FILTER (WHERE col IN {VENDOR_SET} "
         "AND (nval = '*' OR contains(v, nval))) AS vpat, "
-        f"arg_min(val, cond_ord * 100000 + val_ord) FILTER (WHERE col IN {ARTICLE_SET} "
+        f"arg_min(val, (cond_ord, val_ord)) FILTER (WHERE col IN {ARTICLE_SET} "
         "AND (nval = '*' OR contains(v, nval))) AS apat "
         "FROM pairs GROUP BY _row_seq, rule_ord"
     )
     ctes["kwfirst"] = (
-        "SELECT _row_seq, rule_ord, nval AS kw, min(cond_ord * 100000 + val_ord) AS pos FROM pairs "
+        "SELECT _row_seq, rule_ord, nval AS kw, min((cond_ord, val_ord)) AS pos FROM pairs "
         "WHERE is_kw AND (in_a OR in_p OR in_c) GROUP BY _row_seq, rule_ord, nval"
     )
     ctes["kwl"] = (
@@ -258,7 +258,7 @@ def base_ctes(rules: list[dict[str, Any]] | None = None) -> dict[str, str]:
     )
     key_parts = [
         "coalesce(strftime(period, '%Y-%m-%d %H:%M:%S'), '')",
-        "coalesce(CAST(try_cast(summa AS DECIMAL(18,2)) AS VARCHAR), '')",
+        "coalesce(CAST(CAST(summa AS DOUBLE) AS VARCHAR), '')",
     ] + [f"coalesce({ustrip(c)}, '')" for c in cfg.PAYMENT_ID_COLUMNS[2:]]
     ctes["fact"] = (
         f"SELECT md5(concat_ws('|', {', '.join(key_parts)})) AS payment_id, period AS period_date, "

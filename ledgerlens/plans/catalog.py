@@ -351,32 +351,32 @@ def _agg_sql(dims: list[str], where: str = "") -> str:
     f"{O.AMOUNT_AND_COUNT} FROM fact GROUP BY year, month",
 )
 def q_agg_kpi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.build_agg_kpi_year_month(stages.fact(spark, sf_dir))
+    return E.build_agg_kpi_year_month(stages.plain_fact(spark, sf_dir))
 
 
 @register("agg_status", _agg_sql(["status_group"]))
 def q_agg_status(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.build_agg_status(stages.fact(spark, sf_dir))
+    return E.build_agg_status(stages.plain_fact(spark, sf_dir))
 
 
 @register("agg_categories", _agg_sql(["l1_category", "l2_category", "l3_category"]))
 def q_agg_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.build_agg_categories(stages.fact(spark, sf_dir))
+    return E.build_agg_categories(stages.plain_fact(spark, sf_dir))
 
 
 @register("agg_vendors", _agg_sql(["vendor_name"]))
 def q_agg_vendors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.build_agg_vendors(stages.fact(spark, sf_dir))
+    return E.build_agg_vendors(stages.plain_fact(spark, sf_dir))
 
 
 @register("agg_orgs", _agg_sql(["organization_name"]))
 def q_agg_orgs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.build_agg_orgs(stages.fact(spark, sf_dir))
+    return E.build_agg_orgs(stages.plain_fact(spark, sf_dir))
 
 
 @register("agg_department", _agg_sql(["department_name"]))
 def q_agg_department(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.build_agg_department(stages.fact(spark, sf_dir))
+    return E.build_agg_department(stages.plain_fact(spark, sf_dir))
 
 
 @register(
@@ -384,7 +384,7 @@ def q_agg_department(spark: SparkSession, sf_dir: str) -> DataFrame:
     _agg_sql(["year"], f"WHERE year IN ({', '.join(str(y) for y in YEARS)})"),
 )
 def q_agg_year_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.build_agg_year_compare(stages.fact(spark, sf_dir), YEARS)
+    return E.build_agg_year_compare(stages.plain_fact(spark, sf_dir), YEARS)
 
 
 _RECONCILE_SETS = {
@@ -412,7 +412,7 @@ _RECONCILE_SETS = {
     + ") JOIN (SELECT sum(CAST(amount AS DECIMAL(28,6))) AS ft FROM fact) ON TRUE",
 )
 def q_reconcile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.reconcile_totals(stages.fact(spark, sf_dir))
+    return E.reconcile_totals(stages.plain_fact(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- 2.6 insights
@@ -557,37 +557,37 @@ F7_SQL = _insight_sql(
 
 @register("top_spend_category", F1_SQL)
 def q_f1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _insight_frame(INS.top_spend_category(stages.fact(spark, sf_dir)))
+    return _insight_frame(INS.top_spend_category(stages.plain_fact(spark, sf_dir)))
 
 
 @register("yoy_growth", F2_SQL)
 def q_f2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _insight_frame(INS.yoy_growth(stages.fact(spark, sf_dir), YEARS))
+    return _insight_frame(INS.yoy_growth(stages.plain_fact(spark, sf_dir), YEARS))
 
 
 @register("status_bottleneck", F3_SQL)
 def q_f3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _insight_frame(INS.status_bottleneck(stages.fact(spark, sf_dir)))
+    return _insight_frame(INS.status_bottleneck(stages.plain_fact(spark, sf_dir)))
 
 
 @register("vendor_concentration", F4_SQL)
 def q_f4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _insight_frame(INS.vendor_concentration(stages.fact(spark, sf_dir)))
+    return _insight_frame(INS.vendor_concentration(stages.plain_fact(spark, sf_dir)))
 
 
 @register("large_unpaid_item", F5_SQL)
 def q_f5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _insight_frame(INS.large_unpaid_item(stages.fact(spark, sf_dir)))
+    return _insight_frame(INS.large_unpaid_item(stages.plain_fact(spark, sf_dir)))
 
 
 @register("uncategorized_share", F6_SQL)
 def q_f6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _insight_frame(INS.uncategorized_share(stages.fact(spark, sf_dir)))
+    return _insight_frame(INS.uncategorized_share(stages.plain_fact(spark, sf_dir)))
 
 
 @register("anomaly_candidates", F7_SQL)
 def q_f7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _insight_frame(INS.anomaly_candidates(stages.fact(spark, sf_dir)))
+    return _insight_frame(INS.anomaly_candidates(stages.plain_fact(spark, sf_dir)))
 
 
 @register(
@@ -607,7 +607,7 @@ RANK_SQL = (
 
 @register("rank_insights", RANK_SQL)
 def q_f8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = INS.rank_insights(stages.fact(spark, sf_dir), YEARS)
+    ranked = INS.rank_insights(stages.plain_fact(spark, sf_dir), YEARS)
     return ranked.select(
         "title", "metric", "explanation", "severity", F.to_json("supporting_filters").alias("filters_json"),
         "value", "share", "severity_rank",
@@ -622,7 +622,7 @@ def q_f8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_f9(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.functions.formatting import amount_thousands
 
-    agg = stages.fact(spark, sf_dir).groupBy("l1_category").agg(E.exact_sum(F.col("amount")).alias("total_amount"))
+    agg = stages.plain_fact(spark, sf_dir).groupBy("l1_category").agg(E.exact_sum(F.col("amount")).alias("total_amount"))
     return agg.withColumn("total_text", amount_thousands(F.col("total_amount")))
 
 
@@ -665,7 +665,7 @@ def _qa_sql() -> str:
 
 @register("qa_report", _qa_sql())
 def q_qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QA.qa_checks(stages.fact(spark, sf_dir), allowed_years=QA_YEARS).select(
+    return QA.qa_checks(stages.plain_fact(spark, sf_dir), allowed_years=QA_YEARS).select(
         "check_id", "passed", "severity", "metric", "threshold"
     )
 
@@ -677,7 +677,7 @@ def q_qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " FROM fact) ON COLUMNS(*) INTO NAME field VALUE null_share)",
 )
 def q_qa_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QA.required_null_shares(stages.fact(spark, sf_dir))
+    return QA.required_null_shares(stages.plain_fact(spark, sf_dir))
 
 
 @register(
@@ -706,7 +706,7 @@ def q_qa_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     + ", ".join(str(y) for y in QA_YEARS) + ")",
 )
 def q_qa_years(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checks = QA.qa_checks(stages.fact(spark, sf_dir), allowed_years=QA_YEARS).where(F.col("check_id") == "year_bounds")
+    checks = QA.qa_checks(stages.plain_fact(spark, sf_dir), allowed_years=QA_YEARS).where(F.col("check_id") == "year_bounds")
     parsed = checks.select(F.from_json("details", "struct<unexpected_years:array<int>>").alias("d"))
     return parsed.select(F.explode("d.unexpected_years").alias("year"))
 
@@ -717,7 +717,7 @@ def q_qa_years(spark: SparkSession, sf_dir: str) -> DataFrame:
     "round(count(*) / (SELECT count(*) FROM fact), 4) AS share FROM fact GROUP BY 1",
 )
 def q_qa_dist(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QA.confidence_distribution(stages.fact(spark, sf_dir))
+    return QA.confidence_distribution(stages.plain_fact(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- 2.8 dashboard
@@ -738,7 +738,7 @@ def _status_label_sql(x: str) -> str:
     "array_to_string(list_sort(list(DISTINCT year) FILTER (WHERE year IS NOT NULL)), ',') AS available_years FROM fact",
 )
 def q_h1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.payload_metadata(stages.fact(spark, sf_dir))
+    return H.payload_metadata(stages.plain_fact(spark, sf_dir))
 
 
 _FILTER_PAIRS = [
@@ -757,7 +757,7 @@ _FILTER_PAIRS = [
     + ") WHERE label IS NOT NULL AND label <> '')",
 )
 def q_h2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.filter_options(stages.fact(spark, sf_dir))
+    return H.filter_options(stages.plain_fact(spark, sf_dir))
 
 
 @register(
@@ -775,7 +775,7 @@ def q_h2(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"IN ('low', 'unclassified'), false)) / count(*) ELSE {O.dbl(0.0)} END AS sh FROM fact))",
 )
 def q_h3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.kpis(stages.fact(spark, sf_dir))
+    return H.kpis(stages.plain_fact(spark, sf_dir))
 
 
 TREE_SQL = (
@@ -790,7 +790,7 @@ TREE_SQL = (
 
 @register("categories_tree", TREE_SQL)
 def q_h4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.categories_tree(stages.fact(spark, sf_dir))
+    return H.categories_tree(stages.plain_fact(spark, sf_dir))
 
 
 @register(
@@ -799,7 +799,7 @@ def q_h4(spark: SparkSession, sf_dir: str) -> DataFrame:
     "FROM fact GROUP BY status_group",
 )
 def q_h5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.status_breakdown(stages.fact(spark, sf_dir))
+    return H.status_breakdown(stages.plain_fact(spark, sf_dir))
 
 
 def _entity_sql(col: str) -> str:
@@ -811,12 +811,12 @@ def _entity_sql(col: str) -> str:
 
 @register("vendors_payload", _entity_sql("vendor_name"))
 def q_h6v(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.entity_aggregate(stages.fact(spark, sf_dir), "vendor_name")
+    return H.entity_aggregate(stages.plain_fact(spark, sf_dir), "vendor_name")
 
 
 @register("organizations_payload", _entity_sql("organization_name"))
 def q_h6o(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.entity_aggregate(stages.fact(spark, sf_dir), "organization_name")
+    return H.entity_aggregate(stages.plain_fact(spark, sf_dir), "organization_name")
 
 
 def _tlog_sql() -> str:
@@ -924,17 +924,30 @@ def _details_sql() -> str:
         f"l2_category_id, l2_category AS l2_category_label, {O.slug('l3_category')} AS l3_category_id, l3_category AS "
         "l3_category_label, classification_confidence, matched_rule_id, matched_keywords, matched_vendor_pattern, "
         "matched_article_pattern, classification_reason_human, "
-        f"('row_' || CAST(_row_seq AS VARCHAR)) IN (SELECT detail_row_id FROM ({TLOG_SQL})) AS has_transformations FROM fact"
+        f"{HAS_SQL} AS has_transformations FROM fact JOIN ({CHANGED_SQL}) USING (_row_seq)"
     )
 
 
+def _changed_sql() -> str:
+    """One pass over raw and processed rows: did any logged field change."""
+    tests = []
+    for fields, _, _ in AUD.FIELD_GROUPS:
+        for field in set(fields) & set(RAW_COLUMNS):
+            serial = O.ser_double if field in cfg.AMOUNT_COLUMNS else O.ser_ts if field in cfg.DATE_COLUMNS else O.ser_str
+            tests.append(f"{O.ser_str(f'r.{field}')} <> {serial(f'c.{field}')}")
+    raw_status, status = O.ser_str("r.registrator_status_name"), O.ser_str("c.business_status")
+    tests.append(f"({status} <> '' AND {raw_status} <> {status})")
+    tests += [f"{O.ser_str(f'c.{field}')} <> ''" for field in AUD.DERIVED_FIELDS]
+    return "SELECT _row_seq, " + " OR ".join(sorted(tests)) + " AS changed FROM seq r JOIN classified c USING (_row_seq)"
+
+
+HAS_SQL, CHANGED_SQL = "changed", _changed_sql()
 DETAILS_SQL = _details_sql()
 
 
 def details_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = stages.ingested(spark, sf_dir)
-    audit = AUD.audit_trail(raw)
-    return H.detail_rows(stages.fact(spark, sf_dir), AUD.has_transformations(audit))
+    staged = AUD.processed_with_raw(stages.ingested(spark, sf_dir))
+    return H.detail_rows(E.build_payments_fact(AUD.without_raw(staged)))
 
 
 @register("detail_rows", DETAILS_SQL)
@@ -962,13 +975,13 @@ def q_h8(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_h12(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlens.functions.slug import slug_table
 
-    return slug_table(stages.fact(spark, sf_dir), ["vendor_name", "organization_name", "article_name"])
+    return slug_table(stages.plain_fact(spark, sf_dir), ["vendor_name", "organization_name", "article_name"])
 
 
 @register(
     "expense_subject",
     "SELECT _row_seq, expense_subject FROM (" + DETAILS_SQL.replace(
-        f"('row_' || CAST(_row_seq AS VARCHAR)) IN (SELECT detail_row_id FROM ({TLOG_SQL})) AS has_transformations", "1 AS x"
+        f"{HAS_SQL} AS has_transformations FROM fact JOIN ({CHANGED_SQL}) USING (_row_seq)", "1 AS x FROM fact"
     ) + ")",
 )
 def q_h13(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -986,8 +999,8 @@ def _details_light(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DET_LIGHT = "(" + DETAILS_SQL.replace(
-    f"('row_' || CAST(_row_seq AS VARCHAR)) IN (SELECT detail_row_id FROM ({TLOG_SQL})) AS has_transformations",
-    "false AS has_transformations",
+    f"{HAS_SQL} AS has_transformations FROM fact JOIN ({CHANGED_SQL}) USING (_row_seq)",
+    "false AS has_transformations FROM fact",
 ) + ")"
 
 
@@ -1017,7 +1030,7 @@ def q_i2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_i3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """I3 + I4: default sort (amount desc), page 2 of 10 rows."""
     ordered = I.detail_sort(_details_light(spark, sf_dir), "amount")
-    return I.detail_page(ordered, 2, total_rows=10**12).select("detail_row_id", "amount")
+    return I.detail_page(ordered, 2).select("detail_row_id", "amount")
 
 
 @register(
@@ -1038,7 +1051,7 @@ def q_i5(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT id, label, total_amount FROM ({TREE_SQL}) WHERE level = 'l1' ORDER BY total_amount DESC, label LIMIT 8",
 )
 def q_i6(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.category_ranking(H.categories_tree(stages.fact(spark, sf_dir)))
+    return I.category_ranking(H.categories_tree(stages.plain_fact(spark, sf_dir)))
 
 
 YOY_SQL = (
@@ -1069,7 +1082,7 @@ def q_i8(spark: SparkSession, sf_dir: str) -> DataFrame:
     "AS stuck_amount FROM fact",
 )
 def q_i9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.stuck_amount(stages.fact(spark, sf_dir))
+    return I.stuck_amount(stages.plain_fact(spark, sf_dir))
 
 
 @register(
@@ -1078,7 +1091,7 @@ def q_i9(spark: SparkSession, sf_dir: str) -> DataFrame:
     "GROUP BY 1",
 )
 def q_i10(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.group_amounts(stages.fact(spark, sf_dir), "vendor_name")
+    return I.group_amounts(stages.plain_fact(spark, sf_dir), "vendor_name")
 
 
 @register(
@@ -1088,7 +1101,7 @@ def q_i10(spark: SparkSession, sf_dir: str) -> DataFrame:
     "ORDER BY total_amount DESC, label LIMIT 10",
 )
 def q_i11(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.top_departments(stages.fact(spark, sf_dir))
+    return I.top_departments(stages.plain_fact(spark, sf_dir))
 
 
 @register(
@@ -1096,7 +1109,7 @@ def q_i11(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"SELECT * FROM ({_entity_sql('vendor_name')}) ORDER BY label LIMIT 10",
 )
 def q_i12(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.entity_top10(H.entity_aggregate(stages.fact(spark, sf_dir), "vendor_name"))
+    return I.entity_top10(H.entity_aggregate(stages.plain_fact(spark, sf_dir), "vendor_name"))
 
 
 @register(
@@ -1109,7 +1122,7 @@ def q_i12(spark: SparkSession, sf_dir: str) -> DataFrame:
     "b.l2_category)",
 )
 def q_i13(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return H.treemap_paths(H.categories_tree(stages.fact(spark, sf_dir)))
+    return H.treemap_paths(H.categories_tree(stages.plain_fact(spark, sf_dir)))
 
 
 @register(
@@ -1149,7 +1162,7 @@ def q_i16(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"(SELECT year, month, {O.AMOUNT_AND_COUNT} FROM fact GROUP BY year, month)",
 )
 def q_i17(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return I.monthly_series(E.build_agg_kpi_year_month(stages.fact(spark, sf_dir)))
+    return I.monthly_series(E.build_agg_kpi_year_month(stages.plain_fact(spark, sf_dir)))
 
 
 # ---------------------------------------------------------------- D19 labels -> rules

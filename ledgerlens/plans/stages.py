@@ -1,6 +1,6 @@
 """Shared stage builders used by the query catalog, the bench and the job.
 
-Each returns a lazy DataFrame; nothing here runs an action.
+Numbered frames run the write of the numbering; the others are lazy.
 """
 
 from __future__ import annotations
@@ -15,18 +15,31 @@ from ledgerlens.sources.adapter import RAW_COLUMNS, raw_payments
 from ledgerlens.sources.ingest import with_row_seq
 
 
-def ingested(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw export rows with the positional ``_row_seq``."""
-    return with_row_seq(raw_payments(spark, sf_dir), RAW_COLUMNS)
+def ingested(spark: SparkSession, sf_dir: str, numbered: bool = True) -> DataFrame:
+    """Raw export rows; ``numbered`` adds the positional ``_row_seq`` (a sort
+    and a written table), for callers that read it."""
+    raw = raw_payments(spark, sf_dir)
+    return with_row_seq(raw, RAW_COLUMNS) if numbered else raw
 
 
-def cleaned(spark: SparkSession, sf_dir: str, conf: cfg.EngineConfig = cfg.DEFAULT_CONFIG) -> DataFrame:
-    return clean_payments(ingested(spark, sf_dir), conf.statuses)
+def cleaned(
+    spark: SparkSession, sf_dir: str, conf: cfg.EngineConfig = cfg.DEFAULT_CONFIG, numbered: bool = True
+) -> DataFrame:
+    return clean_payments(ingested(spark, sf_dir, numbered), conf.statuses)
 
 
-def classified(spark: SparkSession, sf_dir: str, conf: cfg.EngineConfig = cfg.DEFAULT_CONFIG) -> DataFrame:
-    return classify_payments(cleaned(spark, sf_dir, conf), conf.rules)
+def classified(
+    spark: SparkSession, sf_dir: str, conf: cfg.EngineConfig = cfg.DEFAULT_CONFIG, numbered: bool = True
+) -> DataFrame:
+    return classify_payments(cleaned(spark, sf_dir, conf, numbered), conf.rules)
 
 
-def fact(spark: SparkSession, sf_dir: str, conf: cfg.EngineConfig = cfg.DEFAULT_CONFIG) -> DataFrame:
-    return build_payments_fact(classified(spark, sf_dir, conf))
+def fact(
+    spark: SparkSession, sf_dir: str, conf: cfg.EngineConfig = cfg.DEFAULT_CONFIG, numbered: bool = True
+) -> DataFrame:
+    return build_payments_fact(classified(spark, sf_dir, conf, numbered))
+
+
+def plain_fact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fact without row numbers, for aggregates."""
+    return fact(spark, sf_dir, numbered=False)

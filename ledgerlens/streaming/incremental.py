@@ -2,9 +2,9 @@
 
 The reference is batch only; every cleaning and classification operator is
 row-local, so the same expressions run unchanged on a streaming frame.  Rows
-are appended to the fact table per micro-batch (``foreachBatch``), with the
-stream's progress kept in a checkpoint location on shared storage.  Payment
-ids are content hashes, so a replayed batch produces the same ids.
+go to the fact table per micro-batch (``foreachBatch``), with the stream's
+progress kept in a checkpoint location on shared storage.  Each batch owns its
+``batch_id`` partition, so a replayed batch overwrites what it wrote before.
 """
 
 from __future__ import annotations
@@ -34,13 +34,14 @@ def start_fact_append(
     options: dict[str, str] | None = None,
 ):
     """Watch ``source_dir`` for new export files and append classified fact
-    rows to ``fact_path`` (partitioned by year).  Returns the StreamingQuery."""
+    rows to ``fact_path`` (partitioned by batch and year).  Returns the StreamingQuery."""
     reader = spark.readStream.schema(schema).format(fmt)
     for k, v in (options or {}).items():
         reader = reader.option(k, v)
     facts = classify_stream(reader.load(source_dir), conf).withColumn("ingested_at", F.current_timestamp())
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("append").partitionBy("year").parquet(fact_path)
+        out = batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+        out.option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "year").parquet(fact_path)
 
     return facts.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint).start()
