@@ -51,3 +51,29 @@ def test_dense_row_seq(spark):
     df = spark.range(0, 1000, 1, 7).selectExpr("cast(id % 13 as string) as k", "id")
     seq = with_row_seq(df, ["k", "id"]).select("_row_seq").collect()
     assert sorted(r[0] for r in seq) == list(range(1000))
+
+
+def test_folder_of_mixed_delimiters_and_encodings(spark, tmp_path):
+    """Each file by its own delimiter and encoding, rows numbered in file order."""
+    from ledgerlens.config import REQUIRED_COLUMNS
+    from ledgerlens.sources.csv_source import file_formats, read_payments_csv
+    from ledgerlens.sources.ingest import ingest_exports
+
+    header = list(REQUIRED_COLUMNS)
+
+    def rows(file, n):
+        return [[f"{file}-{i}-{c}" if c != "summa" else f"{i}" for c in header] for i in range(n)]
+
+    files = {"a.csv": (";", "utf-8", rows("Тест", 40)), "b.csv": (",", "cp1251", rows("Оплата", 3)), "c.csv": ("|", "utf-8-sig", rows("x", 5))}
+    for name, (sep, encoding, body) in files.items():
+        text = "\n".join(sep.join(r) for r in [header, *body]) + "\n"
+        (tmp_path / name).write_bytes(text.encode(encoding))
+    before = dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.legacy.javaCharsets", None)
+    formats = {r["file"].rsplit("/", 1)[1]: (r["delimiter"], r["encoding"]) for r in file_formats(spark, str(tmp_path)).collect()}
+    assert formats == {"a.csv": (";", "UTF-8"), "b.csv": (",", "windows-1251"), "c.csv": ("|", "UTF-8")}
+    assert read_payments_csv(spark, str(tmp_path)).count() == 48
+    out = ingest_exports(spark, str(tmp_path)).orderBy("_row_seq").collect()
+    expected = [r for name in sorted(files) for r in files[name][2]]
+    assert [[r[c] for c in header] for r in out] == expected
+    assert [r["_row_seq"] for r in out] == list(range(48))
+    assert before == (dict(spark.sparkContext.getConf().getAll()), spark.conf.get("spark.sql.legacy.javaCharsets", None))
