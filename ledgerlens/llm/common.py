@@ -7,7 +7,6 @@ whole texts.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -16,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.session import shared_dir
+from ledgerlens.session import written  # noqa: F401  (used from here by the operators)
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -24,14 +23,6 @@ WHITE_SPACE = " \t\n\x0b\x0c\r"
 CHUNK_BYTES = 1 << 20
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends there."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

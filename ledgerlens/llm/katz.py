@@ -40,7 +40,7 @@ from ledgerlens.llm.common import (
 RELIABLE = 5
 TAIL_DISCOUNT = 0.05
 PLAIN_DISCOUNT = 0.5
-CHUNK_TOKENS = 2_500_000
+CHUNK_TOKENS = 400_000
 BUCKET_TOKENS = 500_000
 END, START = np.uint64(0x1F0E3DAD99908345), np.uint64(0x6C8E9CF570932BD5)
 
@@ -224,8 +224,8 @@ def good_turing(numbers: list[int]) -> np.ndarray:
     entry what larger counts lose.
 
     ``numbers[r - 1]`` keys were counted r times.  The limit starts at
-    RELIABLE and falls while some r* would leave (0, r); at 0 all counts lose
-    PLAIN_DISCOUNT.
+    RELIABLE and falls while some r* would leave (0, r) or not exceed the one
+    before; at 0 all counts lose PLAIN_DISCOUNT.
     """
     n = np.array([0, *numbers], float)
     for limit in range(RELIABLE, 0, -1):
@@ -235,7 +235,7 @@ def good_turing(numbers: list[int]) -> np.ndarray:
             raw = (r + 1) * n[r + 1] / n[r]
             with np.errstate(divide="ignore", invalid="ignore"):
                 value = r * (raw / r - share) / (1 - share)
-            if np.isfinite(value).all() and (value > 0).all() and (value < r).all():
+            if np.isfinite(value).all() and (value < r).all() and (np.diff(value, prepend=0.0) > 0).all():
                 filled = np.concatenate(([0.0], value, np.arange(limit + 1, RELIABLE + 1) - TAIL_DISCOUNT))
                 return np.append(filled, TAIL_DISCOUNT)
     return np.concatenate(([0.0], np.arange(1, RELIABLE + 1) - PLAIN_DISCOUNT, [PLAIN_DISCOUNT]))
@@ -356,7 +356,8 @@ def katz_scores(docs: DataFrame, held_out: object, name: str = "katz") -> DataFr
                     pack(np.bincount(c.doc, base, docs_here)), pack(score),
                     pack(events_doc.astype(np.int32)), pack(number[events_word].astype(np.int32)),
                 ]
-                yield pd.DataFrame({**parts, "state": [None] * len(parts["bucket"])})
+                if parts["bucket"]:
+                    yield pd.DataFrame({**parts, "state": [None] * len(parts["bucket"])})
                 yield pd.DataFrame({"bucket": [-1], "chunk": [c.id], "keys": [None], "sums": [None], "state": [state]})
 
     _unigram_mass = _total_mass(word_replies, n, word_numbers, word_table)
