@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: str = "*", shuffle_partitions: int = 8, app: str = "ledgerlens") -> SparkSession:
@@ -54,3 +55,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = f"{shared_dir(spark).rstrip('/')}/tables/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def broadcast_if_small(df: DataFrame, rows: int = 50_000) -> DataFrame:
+    """A written table, marked for broadcast when its counted rows are few."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
