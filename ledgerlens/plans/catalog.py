@@ -7,6 +7,7 @@ the whole pipeline up to the operator it exercises, over all rows.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from ledgerlens.operators import classify as D
 from ledgerlens.operators import clean as C
 from ledgerlens.operators import marts as E
 from ledgerlens.plans import stages
+from ledgerlens.session import shared_dir
+from ledgerlens.sources import sinks
 from ledgerlens.sources.adapter import ADAPTER_YEARS, RAW_COLUMNS
 from ledgerlens.sources.ingest import ROW_SEQ
 from ledgerlens.functions.text import tokenize, ustrip
@@ -598,6 +601,20 @@ def q_anomaly_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return INS.anomaly_rows(stages.fact(spark, sf_dir)).select(ROW_SEQ, "payment_id", "l1_category", "amount")
 
 
+# a lower factor than the reference's, under which these tables do have outliers
+SENSITIVE_FACTOR = 0.25
+
+
+@register(
+    "anomaly_rows_sensitive",
+    "SELECT _row_seq, payment_id, l1_category, amount FROM ("
+    + ANOMALY_ROWS_SQL.replace(O.dbl(cfg.ANOMALY_IQR_FACTOR), O.dbl(SENSITIVE_FACTOR)) + ")",
+)
+def q_anomaly_rows_sensitive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = INS.anomaly_rows(stages.fact(spark, sf_dir), SENSITIVE_FACTOR)
+    return rows.select(ROW_SEQ, "payment_id", "l1_category", "amount")
+
+
 RANK_SQL = (
     "SELECT *, CASE severity WHEN 'critical' THEN 0 WHEN 'warning' THEN 1 WHEN 'info' THEN 2 ELSE 99 END "
     "AS severity_rank FROM (" + " UNION ALL ".join(f"({s})" for s in [F1_SQL, F2_SQL, F3_SQL, F4_SQL, F5_SQL, F6_SQL, F7_SQL])
@@ -670,6 +687,17 @@ def q_qa_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register(
+    "qa_report_totals",
+    "SELECT check_id, passed, CAST(count(*) OVER () AS BIGINT) AS total_checks, CAST(count(*) FILTER (WHERE passed) OVER () "
+    f"AS BIGINT) AS passed_checks, CAST(count(*) FILTER (WHERE NOT passed) OVER () AS BIGINT) AS failed_checks FROM ({_qa_sql()})",
+)
+def q_qa_report_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G6 with its totals."""
+    columns = ["check_id", "passed", "total_checks", "passed_checks", "failed_checks"]
+    return QA.qa_report(stages.plain_fact(spark, sf_dir), allowed_years=QA_YEARS).select(*columns)
+
+
 @register(
     "qa_required_nulls",
     "SELECT field, null_share, null_share > " + O.dbl(cfg.QA_MAX_NULL_SHARE) + " AS catastrophic FROM (UNPIVOT (SELECT "
@@ -1217,3 +1245,36 @@ def q_d19(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_classify_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D17 through the join form (distinct feature tuples x broadcast patterns)."""
     return D.classify_payments_join(stages.cleaned(spark, sf_dir)).select(ROW_SEQ, *D.CLASSIFICATION_OUTPUT_COLUMNS)
+
+
+# the same rules with lower confidences, so that every confidence bucket occurs
+LOWER_RULES = [{**rule, "confidence": (0.9, 0.6, 0.3)[i % 3]} for i, rule in enumerate(cfg.CLASSIFICATION_RULES)]
+
+
+@register("classify_payments_lower")
+def q_classify_lower(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D4-D18 under rules that give high, medium and low confidences."""
+    return D.classify_payments(stages.cleaned(spark, sf_dir), LOWER_RULES).select(ROW_SEQ, *D.CLASSIFICATION_OUTPUT_COLUMNS)
+
+
+ORACLES["classify_payments_lower"] = O.with_ctes(f"SELECT _row_seq, {CLASS_COLS} FROM classified", LOWER_RULES)
+
+
+@register(
+    "fact_scan",
+    "SELECT year, count(*) AS rows, CAST(count(DISTINCT payment_id) AS BIGINT) AS payments FROM fact "
+    f"WHERE year = {YEARS[0]} GROUP BY year",
+)
+def q_fact_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A5 + A6: the fact written by year, read back with the year pruned."""
+    path = f"{shared_dir(spark).rstrip('/')}/fact-{uuid.uuid4().hex}"
+    sinks.write_parquet(stages.plain_fact(spark, sf_dir), path, ["year"])
+    one = sinks.read_fact(spark, path).where(F.col("year") == YEARS[0])
+    return one.groupBy("year").agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("payment_id").alias("payments"))
+
+
+@register("select_base_period", "SELECT _row_seq, period AS base_period FROM clean")
+def q_base_period(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C4: the first existing period column of the cleaned rows."""
+    cleaned = stages.cleaned(spark, sf_dir)
+    return cleaned.select(ROW_SEQ, C.base_period(cleaned).alias("base_period"))
