@@ -22,6 +22,7 @@ department columns never count as evidence.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass, field
 from typing import Any
 
@@ -105,28 +106,6 @@ def _tier_match(comp: _Compiler, rule: dict[str, Any], columns: list[str]) -> Co
     return _any(parts)
 
 
-def _first_pattern(comp: _Compiler, rule: dict[str, Any], columns: list[str]) -> Column:
-    """First pattern (condition order, then value order) whose stripped form is
-    '*' or contained; returned as written in the config."""
-    branches = []
-    for cond in rule["conditions"]:
-        if cond["column"] not in columns:
-            continue
-        for v in cond["values"]:
-            v = str(v)
-            normalized = _norm_text(v)
-            if normalized == "*":
-                branches.append((F.lit(True), v))
-                break
-            branches.append((comp.hit(cond["column"], normalized), v))
-    if not branches:
-        return F.lit(None).cast("string")
-    expr = None
-    for cond, value in branches:
-        expr = F.when(cond, F.lit(value)) if expr is None else expr.when(cond, F.lit(value))
-    return expr
-
-
 def _keywords(rule: dict[str, Any]) -> list[str]:
     """Keyword candidates: stripped/lower patterns of conditions on the three
     text columns, blanks and '*' dropped, first occurrence kept."""
@@ -160,24 +139,6 @@ def _keyword_parts(comp: _Compiler, rule: dict[str, Any]) -> tuple[Column, Colum
     return keyword_array, F.least(score, F.lit(1.0))
 
 
-def _pick(values: list[Column], index: Column) -> Column:
-    """values[index] for a 0-based index column, as a CASE: only the chosen
-    branch is evaluated per row (NULL index -> NULL)."""
-    if not values:
-        return F.lit(None)
-    expr = None
-    for i, value in enumerate(values):
-        expr = F.when(index == F.lit(i), value) if expr is None else expr.when(index == F.lit(i), value)
-    return expr
-
-
-def _first_true(flags: list[Column]) -> Column:
-    expr = None
-    for i, flag in enumerate(flags):
-        expr = F.when(flag, F.lit(i)) if expr is None else expr.when(flag, F.lit(i))
-    return expr if expr is not None else F.lit(None).cast("int")
-
-
 def _features(df: DataFrame) -> dict[str, Column]:
     """The nine features, NULL/absent -> '', stripped and lower-cased."""
     features = {}
@@ -371,6 +332,23 @@ def classify_payments(
         f"greatest(0.0D, least(__base + CASE WHEN __am THEN {_dbl(cfg.ARTICLE_BONUS)} ELSE 0.0D END "
         f"+ CASE WHEN __vm THEN {_dbl(cfg.VENDOR_BONUS)} ELSE 0.0D END + __ks * {_dbl(cfg.KEYWORD_FACTOR)}, 1.0D)) AS __num",
     )
+    fields = _output_fields()
+    struct = "named_struct(" + ", ".join(f"'{name}', {expr}" for name, expr in fields) + ")"
+    keep = [f"`{c}`" for c in original if c not in CLASSIFICATION_OUTPUT_COLUMNS]
+    return staged.selectExpr(*keep, f"inline(array({struct}))")
+
+
+def _text_sql(template: str, **values: str) -> str:
+    """A text with {placeholders} as SQL: its literal parts and the values' expressions joined."""
+    parts = [
+        values[part] if i % 2 else sql_str(part) for i, part in enumerate(re.split(r"\{(\w+)\}", template)) if i % 2 or part
+    ]
+    return f"concat({', '.join(parts)})"
+
+
+def _output_fields() -> list[tuple[str, str]]:
+    """The 13 outputs as SQL over the winner's columns __w, __am, __vm, __kwl,
+    __ks, __rid, __l1 .. __l3, __rrb, __vp, __ap and __num; both forms use it."""
     bucket = (
         f"CASE WHEN __num >= {_dbl(cfg.BUCKET_HIGH)} THEN 'high' WHEN __num >= {_dbl(cfg.BUCKET_MEDIUM)} THEN 'medium' "
         "WHEN __num > 0.0D THEN 'low' ELSE 'unclassified' END"
@@ -380,15 +358,16 @@ def classify_payments(
         "CASE WHEN __ks > 0 THEN concat('keywords=', format_number(__ks, 2)) END)"
     )
     reason = f"concat('Matched rule \\'', __rid, '\\' using ', CASE WHEN {evidence} = '' THEN 'rule fallback' ELSE {evidence} END, '.')"
+    keywords = _text_sql(cfg.HUMAN_KEYWORDS, keywords="array_join(__kwl, ', ')")
     human = (
-        "concat_ws(' ', concat('Применено правило ', __rid, '.'), "
-        "CASE WHEN __ap IS NOT NULL AND __ap <> '' THEN concat('Совпала статья или код с шаблоном \\'', __ap, '\\'.') END, "
-        "CASE WHEN __vp IS NOT NULL AND __vp <> '' THEN concat('Совпал поставщик или договор с шаблоном \\'', __vp, '\\'.') END, "
-        "CASE WHEN size(__kwl) > 0 THEN concat('Дополнительно сработали ключевые слова: ', array_join(__kwl, ', '), '.') END, "
-        "concat('Запись отнесена в категорию ', __l1, ' / ', __l2, ' / ', __l3, '.'))"
+        f"concat_ws(' ', {_text_sql(cfg.HUMAN_RULE, rule_id='__rid')}, "
+        f"CASE WHEN __ap <> '' THEN {_text_sql(cfg.HUMAN_ARTICLE, pattern='__ap')} END, "
+        f"CASE WHEN __vp <> '' THEN {_text_sql(cfg.HUMAN_VENDOR, pattern='__vp')} END, "
+        f"CASE WHEN size(__kwl) > 0 THEN {keywords} END, "
+        f"{_text_sql(cfg.HUMAN_TARGET, l1='__l1', l2='__l2', l3='__l3')})"
     )
     m = "__w IS NOT NULL"
-    fields = [
+    return [
         ("l1_category", f"CASE WHEN {m} THEN __l1 ELSE {sql_str(cfg.FACT_DEFAULT_L1)} END"),
         ("l2_category", f"CASE WHEN {m} THEN __l2 ELSE {sql_str(cfg.FACT_DEFAULT_L2)} END"),
         ("l3_category", f"CASE WHEN {m} THEN __l3 ELSE {sql_str(cfg.FACT_DEFAULT_L3)} END"),
@@ -403,9 +382,6 @@ def classify_payments(
         ("matched_article_pattern", f"CASE WHEN {m} THEN __ap END"),
         ("review_required", f"CASE WHEN {m} THEN ({bucket} IN ('low', 'unclassified') OR __num < __rrb) ELSE true END"),
     ]
-    struct = "named_struct(" + ", ".join(f"'{name}', {expr}" for name, expr in fields) + ")"
-    keep = [f"`{c}`" for c in original if c not in CLASSIFICATION_OUTPUT_COLUMNS]
-    return staged.selectExpr(*keep, f"inline(array({struct}))")
 
 
 def rule_evidence(df: DataFrame, rules: list[dict[str, Any]] | None = None) -> DataFrame:
@@ -586,49 +562,12 @@ def classify_payments_join(
         F.lit(1.0)))
     winners = winners.withColumn("__num", num)
     joined = staged.join(winners, names, "left")
-    out_cols = _final_outputs_sql()
+    out_cols = [f"{expr} AS {name}" for name, expr in _output_fields()]
     original = df.columns
     keep = [f"`{c}`" for c in original if c not in CLASSIFICATION_OUTPUT_COLUMNS]
     return joined.selectExpr(*keep, *out_cols)
 
 
-def _final_outputs_sql() -> list[str]:
-    """The 13 outputs from winner fields __w, __am, __vm, __kwl, __ks, __rid,
-    __l1..__l3, __rrb, __vp, __ap, __num (shared text with the expression form)."""
-    bucket = (
-        f"CASE WHEN __num >= {_dbl(cfg.BUCKET_HIGH)} THEN 'high' WHEN __num >= {_dbl(cfg.BUCKET_MEDIUM)} THEN 'medium' "
-        "WHEN __num > 0.0D THEN 'low' ELSE 'unclassified' END"
-    )
-    evidence = (
-        "concat_ws(', ', CASE WHEN __am THEN 'article' END, CASE WHEN __vm THEN 'vendor' END, "
-        "CASE WHEN __ks > 0 THEN concat('keywords=', format_number(__ks, 2)) END)"
-    )
-    reason = f"concat('Matched rule \\'', __rid, '\\' using ', CASE WHEN {evidence} = '' THEN 'rule fallback' ELSE {evidence} END, '.')"
-    human = (
-        "concat_ws(' ', concat('Применено правило ', __rid, '.'), "
-        "CASE WHEN __ap IS NOT NULL AND __ap <> '' THEN concat('Совпала статья или код с шаблоном \\'', __ap, '\\'.') END, "
-        "CASE WHEN __vp IS NOT NULL AND __vp <> '' THEN concat('Совпал поставщик или договор с шаблоном \\'', __vp, '\\'.') END, "
-        "CASE WHEN size(__kwl) > 0 THEN concat('Дополнительно сработали ключевые слова: ', array_join(__kwl, ', '), '.') END, "
-        "concat('Запись отнесена в категорию ', __l1, ' / ', __l2, ' / ', __l3, '.'))"
-    )
-    m = "__w IS NOT NULL"
-    return [
-        f"CASE WHEN {m} THEN __l1 ELSE {sql_str(cfg.FACT_DEFAULT_L1)} END AS l1_category",
-        f"CASE WHEN {m} THEN __l2 ELSE {sql_str(cfg.FACT_DEFAULT_L2)} END AS l2_category",
-        f"CASE WHEN {m} THEN __l3 ELSE {sql_str(cfg.FACT_DEFAULT_L3)} END AS l3_category",
-        f"CASE WHEN {m} THEN {reason} ELSE {sql_str(cfg.UNMATCHED_REASON)} END AS classification_reason",
-        f"CASE WHEN {m} THEN {human} ELSE {sql_str(cfg.UNMATCHED_REASON_HUMAN)} END AS classification_reason_human",
-        f"CASE WHEN {m} THEN {bucket} ELSE 'unclassified' END AS classification_confidence",
-        f"CASE WHEN {m} THEN round(__num, 4) ELSE 0.0D END AS classification_confidence_score",
-        f"CASE WHEN {m} THEN __rid END AS classification_rule_id",
-        f"CASE WHEN {m} THEN __rid END AS matched_rule_id",
-        f"CASE WHEN {m} THEN array_join(__kwl, ', ') ELSE '' END AS matched_keywords",
-        f"CASE WHEN {m} THEN __vp END AS matched_vendor_pattern",
-        f"CASE WHEN {m} THEN __ap END AS matched_article_pattern",
-        f"CASE WHEN {m} THEN ({bucket} IN ('low', 'unclassified') OR __num < __rrb) ELSE true END AS review_required",
-    ]
-
-
 def classify(
     df: DataFrame, rules: list[dict[str, Any]] | None = None, form: str = "expression", strict_match_types: bool = False
 ) -> DataFrame:

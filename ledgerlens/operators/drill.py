@@ -254,7 +254,3 @@ def monthly_series(agg_kpi_year_month: DataFrame) -> DataFrame:
     return agg_kpi_year_month.select(
         "year", "month", (F.col("total_amount") / F.lit(1000.0)).alias("amount_thousands"), "payments_count"
     )
-
-
-def haystack(cols: list[str]) -> Column:
-    return F.lower(F.concat_ws(" ", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in cols]))
