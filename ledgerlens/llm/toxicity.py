@@ -13,7 +13,7 @@ the word scores.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -26,8 +26,8 @@ SAMPLE_PER_CLASS = 20_000
 LEXICON = 20_000
 PREFIXES = (4, 5, 6, 7, 8)
 PRIOR_SHARE = 0.1
-LEAST_Z = 4.0
-LEAST_ODDS = 2.0
+#: Least significance and least log-odds of a lexicon word: the calibration half picks one.
+LIMITS = ((2.0, 3.0), (3.0, 3.0), (4.0, 0.0), (4.0, 2.0), (4.0, 3.0), (6.0, 1.0))
 WORD_COST = 0.2
 SIGNIFICANT = 0.01
 THRESHOLD = 0.3
@@ -102,7 +102,7 @@ def _scan(model: ToxicityModel, texts: list[bytes]) -> Iterator[tuple[list[tuple
 
 def _word_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Texts with a word, per class and distinct word."""
-    for frame in chunks(frames, limit=8 << 20):
+    for frame in chunks(frames, limit=2 << 20):
         for toxic, part in frame.groupby("toxic"):
             hashes, offsets, _, _ = word_places([as_bytes(t).translate(_MARKS) for t in part["text"]], PREFIXES)
             found = [np.unique(hashes[a:b]) for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
@@ -113,14 +113,16 @@ def _word_counts(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             )
 
 
-def _segment_rows(model: ToxicityModel, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Per text: words, segment scores, and its word scores as ups and their rest."""
+def _segment_rows(models: list[ToxicityModel], frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Per text and model: words, segment scores, and its word scores as ups and their rest."""
     for frame in chunks(frames):
-        rows = [
-            (len(scores), [s for _, _, s in segments], list(scores[scores > 0]), float(scores[scores <= 0].sum()))
-            for segments, scores, _, _ in _scan(model, [as_bytes(t) for t in frame["text"]])
-        ]
-        yield pd.DataFrame(rows, columns=["n", "segments", "ups", "downs"]).assign(toxic=frame["toxic"])
+        texts = [as_bytes(t) for t in frame["text"]]
+        for number, model in enumerate(models):
+            rows = [
+                (number, len(scores), [s for _, _, s in segments], list(scores[scores > 0]), float(scores[scores <= 0].sum()))
+                for segments, scores, _, _ in _scan(model, texts)
+            ]
+            yield pd.DataFrame(rows, columns=["model", "n", "segments", "ups", "downs"]).assign(toxic=frame["toxic"])
 
 
 def _decay(scores: np.ndarray, shares: np.ndarray) -> float:
@@ -199,49 +201,57 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, per_class:
     spread = F.sqrt(1 / (F.col("bad") + prior) + 1 / (F.col("good") + prior))
     lexicon = (
         counts.select("word", odds.alias("odds"), (odds / spread).alias("z"))
-        .where((F.abs("z") >= LEAST_Z) & (F.abs("odds") >= LEAST_ODDS))
+        .where(F.abs("z") >= min(z for z, _ in LIMITS))
         .orderBy(F.abs("z").desc(), "word")
         .limit(LEXICON)
         .toPandas()
     )
-    words = lexicon["word"].to_numpy(np.int64).view(np.uint64)
-    at = np.argsort(words)
-    lexical = (words[at], lexicon["odds"].to_numpy(float)[at], np.abs(lexicon["z"].to_numpy(float)[at]))
-    first = ToxicityModel(*lexical)
-
+    lexicon = lexicon.assign(key=lexicon["word"].to_numpy(np.int64).view(np.uint64)).sort_values("key")
+    models = []
+    for least_z, least_odds in LIMITS:
+        part = lexicon[(lexicon["z"].abs() >= least_z) & (lexicon["odds"].abs() >= least_odds)]
+        models.append(
+            ToxicityModel(part["key"].to_numpy(np.uint64), part["odds"].to_numpy(float), part["z"].abs().to_numpy(float))
+        )
     rows = (
         texts.where(half == 1)
         .select("text", "toxic")
         .mapInPandas(
-            lambda frames: _segment_rows(first, frames),
-            "n long, segments array<double>, ups array<double>, downs double, toxic boolean",
+            lambda frames: _segment_rows(models, frames),
+            "model int, n long, segments array<double>, ups array<double>, downs double, toxic boolean",
         )
         .toPandas()
-    )  # at most 2 * per_class rows of a few numbers
+    )  # at most 2 * per_class rows of a few numbers for each limit
+    fitted = [_calibrated(models[number], part, share) for number, part in rows.groupby("model")]
+    return min((f for f in fitted if f is not None), key=lambda f: f[0], default=(0.0, flat))[1]
+
+
+def _calibrated(model: ToxicityModel, rows: pd.DataFrame, share: float) -> tuple[float, ToxicityModel] | None:
+    """The model with its extreme-value law and logistic fit from calibration
+    rows, and the fit's weighted log loss; None unless both classes occur."""
     y = rows["toxic"].to_numpy(bool)
-    if not len(y) or y.all() or not y.any():
-        return flat
+    if y.all() or not y.any():
+        return None
     clean = rows[~y]
     ups = np.concatenate([*(np.asarray(u, float) for u in clean["ups"]), np.empty(0)])
     total = max(int(clean["n"].sum()), 1)
     # half a clean word at each known score keeps the law defined where clean text has none
-    known = first.scores[first.scores > WORD_COST] - WORD_COST
-    ups = np.append(ups, known)
-    shares = np.append(np.ones(len(ups)) - 0.5 * (np.arange(len(ups)) >= len(ups) - len(known)), total)
+    known = model.scores[model.scores > WORD_COST] - WORD_COST
+    shares = np.concatenate([np.ones(len(ups)), np.full(len(known), 0.5), [total]])
     below = min(float(clean["downs"].sum()) / total, -1e-3)
-    decay = _decay(np.append(ups, below), shares / shares.sum())
+    decay = _decay(np.concatenate([ups, known, [below]]), shares / shares.sum())
     least = float(min(known, default=1.0))
     hits = sum(sum(s >= least for s in segments) for segments in clean["segments"]) + 0.5
     scale = hits / (total * float(np.exp(-decay * least)))
-    model = ToxicityModel(*lexical, decay, scale)
-    x = np.array(
-        [
-            model.evidence([(0, 0, s) for s in segments], n)
-            for n, segments in zip(rows["n"], rows["segments"], strict=True)
-        ]
-    )
+    model = replace(model, decay=decay, scale=scale)
+    evidence = [
+        model.evidence([(0, 0, s) for s in segments], n) for n, segments in zip(rows["n"], rows["segments"], strict=True)
+    ]
     weight = np.where(y, share / y.mean(), (1 - share) / (1 - y.mean()))
-    return ToxicityModel(*lexical, decay, scale, *_logistic(np.log1p(x), y.astype(float), weight))
+    intercept, slope = _logistic(np.log1p(np.array(evidence)), y.astype(float), weight)
+    model = replace(model, intercept=intercept, slope=slope)
+    p = np.clip([model.probability(e) for e in evidence], 1e-6, 1 - 1e-6)
+    return float(-(weight * np.where(y, np.log(p), np.log1p(-p))).mean()), model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
