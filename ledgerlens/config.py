@@ -340,6 +340,20 @@ UNMATCHED_REASON_HUMAN = (
 )
 
 # Text templates of the human explanation (placeholders filled per row).
+AUDIT_PIPELINE_FIELDS = [
+    "business_status", "year", "month", "quarter", "year_month", "l1_category", "l2_category", "l3_category",
+    "classification_confidence", "classification_confidence_score", "matched_rule_id", "matched_keywords",
+    "matched_vendor_pattern", "matched_article_pattern", "classification_reason_human",
+]
+AUDIT_DERIVED_FIELDS = ["year", "month", "quarter", "year_month"]
+AUDIT_FIELD_RULES = [
+    ("amount_numeric_parse", "Парсинг числовой суммы"),
+    ("date_normalization", "Нормализация даты"),
+    ("text_cleanup", "Нормализация текстового поля"),
+    ("entity_normalization", "Нормализация справочника сущностей"),
+]
+AUDIT_STATUS_RULE = ("status_mapping", "Маппинг статуса в бизнес-статус")
+AUDIT_DERIVED_RULE = ("date_derived_fields", "Расчет производных полей отчетного периода")
 HUMAN_RULE = "Применено правило {rule_id}."
 HUMAN_ARTICLE = "Совпала статья или код с шаблоном '{pattern}'."
 HUMAN_VENDOR = "Совпал поставщик или договор с шаблоном '{pattern}'."

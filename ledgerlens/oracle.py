@@ -328,3 +328,34 @@ def ser_ts(x: str) -> str:
 
 def ser_str(x: str) -> str:
     return f"coalesce(CAST({x} AS VARCHAR), '')"
+
+
+# The audit and search fields as the inventory states them, apart from the operators' own lists.
+AUDIT_GROUPS = [
+    (["summa", "summa_regl", "summa_upr", "summa_vzaimorascheti"], "amount_numeric_parse", "Парсинг числовой суммы"),
+    (
+        ["period", "quarter_period", "bit_zayavka_na_rashodovanie_sredstv_data", "bit_platezhnaya_poziciya_data"],
+        "date_normalization", "Нормализация даты",
+    ),
+    (
+        ["bit_stati_oborotov_naimenovanie", "naznachenie_platezha", "kontragenti_naimenovanie",
+         "dogovori_kontragentov_naimenovanie"],
+        "text_cleanup", "Нормализация текстового поля",
+    ),
+    (
+        ["organizacii_naimenovanie", "podrazdeleniya_naimenovanie", "proekti_naimenovanie", "kontragenti_naimenovanie"],
+        "entity_normalization", "Нормализация справочника сущностей",
+    ),
+]
+AUDIT_STATUS = ("status_mapping", "Маппинг статуса в бизнес-статус")
+AUDIT_DERIVED = ("date_derived_fields", "Расчет производных полей отчетного периода")
+DERIVED = ["year", "month", "quarter", "year_month"]
+PIPELINE = [
+    "business_status", "year", "month", "quarter", "year_month", "l1_category", "l2_category", "l3_category",
+    "classification_confidence", "classification_confidence_score", "matched_rule_id", "matched_keywords",
+    "matched_vendor_pattern", "matched_article_pattern", "classification_reason_human",
+]
+SEARCHED = [
+    "vendor_label", "organization_label", "expense_subject", "article_name", "contract_name", "project_name",
+    "department_name", "l1_category_label", "l2_category_label", "l3_category_label", "classification_reason_human",
+]

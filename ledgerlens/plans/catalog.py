@@ -852,7 +852,7 @@ def _tlog_sql() -> str:
     branches = []
     pos = 0
     raw_cols = set(RAW_COLUMNS)
-    for fields, rule_id, label in AUD.FIELD_GROUPS:
+    for fields, rule_id, label in O.AUDIT_GROUPS:
         for field in fields:
             if field not in raw_cols:
                 continue
@@ -871,14 +871,14 @@ def _tlog_sql() -> str:
             pos += 1
     rs, mp = O.ser_str("r.registrator_status_name"), O.ser_str("c.business_status")
     branches.append(
-        f"SELECT c._row_seq, {pos} AS base, {O.q(AUD.STATUS_RULE[0])}, {O.q(AUD.STATUS_RULE[1])}, 'business_status', "
+        f"SELECT c._row_seq, {pos} AS base, {O.q(O.AUDIT_STATUS[0])}, {O.q(O.AUDIT_STATUS[1])}, 'business_status', "
         f"{rs}, {mp} FROM seq r JOIN classified c USING (_row_seq) WHERE {mp} <> '' AND {rs} <> {mp}"
     )
     pos += 1
-    for field in AUD.DERIVED_FIELDS:
+    for field in O.DERIVED:
         v = O.ser_str(f"c.{field}")
         branches.append(
-            f"SELECT c._row_seq, {pos} AS base, {O.q(AUD.DERIVED_RULE[0])}, {O.q(AUD.DERIVED_RULE[1])}, {O.q(field)}, "
+            f"SELECT c._row_seq, {pos} AS base, {O.q(O.AUDIT_DERIVED[0])}, {O.q(O.AUDIT_DERIVED[1])}, {O.q(field)}, "
             f"'', {v} FROM classified c WHERE {v} <> ''"
         )
         pos += 1
@@ -920,12 +920,12 @@ def q_h11r(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pipeline_attr_sql() -> str:
     parts = []
-    for f in AUD.PIPELINE_FIELDS:
+    for f in O.PIPELINE:
         expr = O.ser_double(f) if f == "classification_confidence_score" else O.ser_str(f)
         parts.append(f"{expr} AS {f}")
     return (
         "SELECT 'row_' || CAST(_row_seq AS VARCHAR) AS detail_row_id, attribute, value FROM (UNPIVOT (SELECT _row_seq, "
-        + ", ".join(parts) + " FROM classified) ON " + ", ".join(AUD.PIPELINE_FIELDS)
+        + ", ".join(parts) + " FROM classified) ON " + ", ".join(O.PIPELINE)
         + " INTO NAME attribute VALUE value) WHERE value <> ''"
     )
 
@@ -959,13 +959,13 @@ def _details_sql() -> str:
 def _changed_sql() -> str:
     """One pass over raw and processed rows: did any logged field change."""
     tests = []
-    for fields, _, _ in AUD.FIELD_GROUPS:
+    for fields, _, _ in O.AUDIT_GROUPS:
         for field in set(fields) & set(RAW_COLUMNS):
             serial = O.ser_double if field in cfg.AMOUNT_COLUMNS else O.ser_ts if field in cfg.DATE_COLUMNS else O.ser_str
             tests.append(f"{O.ser_str(f'r.{field}')} <> {serial(f'c.{field}')}")
     raw_status, status = O.ser_str("r.registrator_status_name"), O.ser_str("c.business_status")
     tests.append(f"({status} <> '' AND {raw_status} <> {status})")
-    tests += [f"{O.ser_str(f'c.{field}')} <> ''" for field in AUD.DERIVED_FIELDS]
+    tests += [f"{O.ser_str(f'c.{field}')} <> ''" for field in O.DERIVED]
     return "SELECT _row_seq, " + " OR ".join(sorted(tests)) + " AS changed FROM seq r JOIN classified c USING (_row_seq)"
 
 
@@ -1045,7 +1045,7 @@ def q_i1(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register(
     "detail_search",
     "SELECT detail_row_id, amount FROM " + DET_LIGHT + " WHERE contains(lower(concat_ws(' ', "
-    + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in I.SEARCH_FIELDS) + ")), 'kaspersky')",
+    + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '')" for c in O.SEARCHED) + ")), 'kaspersky')",
 )
 def q_i2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.detail_search(_details_light(spark, sf_dir), "Kaspersky").select("detail_row_id", "amount")
