@@ -8,6 +8,7 @@ whole texts.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
@@ -15,12 +16,26 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.session import written  # noqa: F401  (used from here by the operators)
+from ledgerlens.session import broadcast_if_small, written  # noqa: F401  (used from here by the operators)
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_GAP = r"[\x20\x09-\x0D]+"
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 CHUNK_BYTES = 1 << 20
+SLICE_ROWS = 256
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """While inside, tasks exchange at most ``rows`` rows at a time with Python:
+    wide rows then need little memory.  For jobs run (written) inside."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -168,15 +183,9 @@ def rows_where(docs: DataFrame, keep: Callable[[list[bytes]], list[bool]]) -> Da
 
     def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.encode("utf-8", "surrogatepass") if t is not None else b"" for t in batch.column(at).to_pylist()]
-            mask, start, size = [], 0, 0
-            for i, t in enumerate(texts):
-                size += len(t)
-                if size >= CHUNK_BYTES:
-                    mask += keep(texts[start : i + 1])
-                    start, size = i + 1, 0
-            if start < len(texts):
-                mask += keep(texts[start:])
-            yield batch.filter(pa.array(mask, pa.bool_()))
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                texts = [t.encode("utf-8", "surrogatepass") if t is not None else b"" for t in part.column(at).to_pylist()]
+                yield part.filter(pa.array(keep(texts), pa.bool_()))
 
     return docs.mapInArrow(filtered, docs.schema)

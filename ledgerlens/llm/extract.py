@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import id_back, id_out, written
+from ledgerlens.llm.common import broadcast_if_small, id_back, id_out, written
 from ledgerlens.llm.dom import Node, align, parse
 
 LEAST_PAGES = 3
@@ -126,6 +126,8 @@ def extract_text(pages: DataFrame) -> DataFrame:
     wrappers = counts.join(roots, "host", "left").join(
         template.groupBy("host").agg(F.collect_list("key").alias("template")), "host", "left"
     )
+    # written, so that a join beyond the broadcast limit is between two exchanges and hot hosts split
+    wrappers = broadcast_if_small(written(wrappers, "wrappers"), 20_000)
 
     def texts(blocks: object) -> object:
         return F.transform(blocks, lambda b: b["text"])
