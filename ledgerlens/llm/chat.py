@@ -145,21 +145,32 @@ def link_quotations(messages: DataFrame) -> DataFrame:
 
 def _places(tree: DataFrame) -> DataFrame:
     """(conv_id, turn, parent) -> (conv_id, turn, root, depth) by pointer doubling:
-    every round doubles how far up each message looks."""
+    every round doubles how far up a message looks, and messages that see a
+    first message take no further part."""
     at = tree.select(
         "conv_id",
         "turn",
         F.coalesce("parent", "turn").alias("root"),
         F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"),
+        F.col("parent").isNotNull().alias("open"),
     )
     while True:
         at = written(at, "places")
+        if at.where("open").isEmpty():
+            return at.drop("open")
         up = at.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        if at.join(up.where("root <> next"), ["conv_id", "root"], "left_semi").isEmpty():
-            return at
-        at = at.join(up, ["conv_id", "root"]).select(
-            "conv_id", "turn", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth")
+        moved = (
+            at.where("open")
+            .join(up, ["conv_id", "root"])
+            .select(
+                "conv_id",
+                "turn",
+                F.col("next").alias("root"),
+                (F.col("depth") + F.col("more")).alias("depth"),
+                (F.col("next") != F.col("root")).alias("open"),
+            )
         )
+        at = at.where("not open").union(moved)
 
 
 def in_reply_order(linked: DataFrame) -> DataFrame:
