@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import WHITE_SPACE, written
+from ledgerlens.llm.common import WORD, written
 
 #: Target share of a margin's value: its token share to this power, renormalised.
 FLATTEN = {"source": 0.7, "lang": 0.7, "topic": 0.8}
@@ -26,22 +26,21 @@ _MARGINS = ("source", "lang", "topic")
 
 
 def n_tokens(text: Column) -> Column:
-    """Words of a text; NULL for a NULL text."""
-    spaced = F.trim(F.translate(text, WHITE_SPACE, " " * len(WHITE_SPACE)))
-    return F.when(spaced == "", 0).otherwise(F.size(F.split(spaced, " +"))).cast("long")
+    """Words of a text; none for a NULL text."""
+    return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
 def topic_of(text: Column) -> Column:
     """A coarse topic by a text's form: empty, tabular, symbolic, shouting or prose."""
 
     def share(marks: str) -> Column:
-        return (F.length(text) - F.length(F.translate(text, marks, ""))) / F.length(text)
+        return F.regexp_count(text, F.lit(marks)) / F.length(text)
 
     return (
         F.when(F.coalesce(F.length(text), F.lit(0)) == 0, "empty")
-        .when(share("|") > 0.02, "tabular")
-        .when(share("#*$%&<>") > 0.05, "symbolic")
-        .when(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ") > 0.3, "shouting")
+        .when(share(r"\|") > 0.02, "tabular")
+        .when(share("[#*$%&<>]") > 0.05, "symbolic")
+        .when(share("[A-Z]") > 0.3, "shouting")
         .otherwise("prose")
     )
 
@@ -105,7 +104,8 @@ def mix_to_targets(docs: DataFrame, flatten: dict[str, float] = FLATTEN, rounds:
     no rows.
     """
     text = F.col("text")
-    docs = docs.withColumns({"topic": topic_of(text), "n_tokens": F.when(text.isNull(), 0).otherwise(n_tokens(text)).cast("long")})
+    # written, so that texts are read through once
+    docs = written(docs.withColumns({"topic": topic_of(text), "n_tokens": n_tokens(text)}), "topics")
     cells = raked(docs.groupBy(*_MARGINS).agg(F.sum("n_tokens").alias("tokens")), flatten, rounds)
     top = cells.agg(F.max(F.col("target") / F.col("tokens"))).first()[0] or 1.0
     share = F.round(F.col("target") / F.col("tokens") / F.lit(float(top)), PLACES).alias("__share")

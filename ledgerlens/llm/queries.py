@@ -75,7 +75,8 @@ def op10_toxic_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's probability and draw under raked source, language and topic targets."""
-    mixed = mixing.mix_to_targets(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
+    mixed = mixing.mix_to_targets(docs)
     rounded = F.round("probability", 6).alias("probability")
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", rounded, "picked")
 
