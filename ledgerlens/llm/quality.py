@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import WHITE_SPACE, words, written
+from ledgerlens.llm.common import WHITE_SPACE, broadcast_if_small, words, written
 
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("log_words", "word_length", "symbol_share", "upper_share", "repeat_share")
@@ -118,7 +118,7 @@ def _grouped(stats: DataFrame) -> DataFrame:
         ),
         "groups",
     )
-    return stats.join(sizes, F.expr("lang <=> __l and source <=> __s")).drop("__l", "__s")
+    return stats.join(broadcast_if_small(sizes), F.expr("lang <=> __l and source <=> __s")).drop("__l", "__s")
 
 
 def _estimates(rows: DataFrame) -> DataFrame:
@@ -154,6 +154,11 @@ def _with_distance(rows: DataFrame, estimates: DataFrame) -> DataFrame:
     )
 
 
+def _table(groups: DataFrame, name: str) -> DataFrame:
+    """A written table of one row per group, broadcast while groups are few."""
+    return broadcast_if_small(written(groups, name))
+
+
 def _cuts(distances: DataFrame) -> DataFrame:
     return distances.groupBy("grp").agg(
         F.percentile_approx("d2", F.lit(SHARE), F.lit(QUANTILE_ACCURACY)).alias("cut")
@@ -180,13 +185,13 @@ def robust_distances(stats: DataFrame) -> DataFrame:
     spread = [
         F.greatest((F.col(x)[2] - F.col(x)[0]) / 1.349, F.lit(FLOORS[i])).alias(f"c{i}{i}") for i, x in enumerate(_X)
     ]
-    estimates = written(start.select("grp", *[F.col(x)[1].alias(f"m{i}") for i, x in enumerate(_X)], *zero, *spread), "mcd")
+    estimates = _table(start.select("grp", *[F.col(x)[1].alias(f"m{i}") for i, x in enumerate(_X)], *zero, *spread), "mcd")
     for _ in range(STEPS):
         distances = _with_distance(rows, estimates)
-        cuts = written(_cuts(distances), "cuts")
-        estimates = written(_estimates(distances.join(cuts, "grp").where("d2 <= cut")), "mcd")
+        cuts = _table(_cuts(distances), "cuts")
+        estimates = _table(_estimates(distances.join(cuts, "grp").where("d2 <= cut")), "mcd")
     distances = _with_distance(rows, estimates)
-    cuts = written(_cuts(distances), "cuts")
+    cuts = _table(_cuts(distances), "cuts")
     scale = F.lit(CHI_SHARE) / F.greatest("cut", F.lit(CHI_SHARE / 4))
     return distances.join(cuts, "grp").withColumn("distance", F.col("d2") * scale).drop("d2", "cut", "grp", *_X)
 
