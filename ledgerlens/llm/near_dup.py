@@ -4,12 +4,14 @@ Every distinct shingle set gets one MinHash signature.  Each tree of the
 forest is a sorted order of those signatures (tree ``t`` starts at its own
 ``BASE_DEPTH`` values and goes on through the others), held as one table
 sorted by (tree, key).  Candidates are neighbours in an order whose longest
-common prefix reaches the base depth.  The window of neighbours starts small
-and grows only in regions (rows with a common base prefix) that still hold
-several components, so the depth adapts to each region: in a crowded region
-the nearest neighbours share longer prefixes and are tried first.  Growing
-goes on until every pair of one region is in one component or was compared.
-All links are confirmed on full shingle sets.
+common prefix reaches the base depth.  The nearest neighbours are tried first
+and their links contracted; in a crowded region (rows with a common base
+prefix) these share longer prefixes, so the depth adapts to each region.
+Regions that still hold several components are then searched whole: small ones
+pair by pair behind a size and signature test, large ones in slices, the rows
+outside the region's largest component against all its rows.  So every pair of
+one region is in one component or was compared.  All links are confirmed on
+full shingle sets.
 """
 
 from __future__ import annotations
@@ -22,14 +24,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import NO_ID, as_bytes, chunks, id_and_bytes, id_back, mixed, shingle_sets, written
+from ledgerlens.llm.common import NO_ID, arrow_rows, as_bytes, chunks, id_and_bytes, id_back, mixed, shingle_sets, written
 from ledgerlens.llm.graph import connected_components
 
 TREES = 20
 BASE_DEPTH = 4
 KEY_DEPTH = 12
 BLOCK = 8192
-FIRST_WINDOW = 16
+SMALL_REGION = 32
+SLICE_SHINGLES = 1_000_000
+BATCH_ROWS = 500
 _VALUES = TREES * BASE_DEPTH
 _rng = np.random.default_rng(811)
 _FACTORS = _rng.integers(0, 1 << 63, _VALUES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -98,27 +102,66 @@ def _adjacent(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.loc[own & member, ["pos", "tree", "key", "id", "n", "next_id", "next_n"]]
 
 
-def _window_pairs(low: int, high: int, percent: int, size: int, frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block, ``low`` < distance <= ``high`` rows apart, that share
-    the base prefix, lie in different components and can be similar by size."""
+def _window_pairs(percent: int, frame: pd.DataFrame) -> pd.DataFrame:
+    """Pairs of one block less than SMALL_REGION rows apart that share the base
+    prefix, lie in different components and can be similar by size and, within
+    four standard deviations, by signature."""
     frame = frame.sort_values("pos").reset_index(drop=True)
-    key, tree = list(frame["key"]), frame["tree"].to_numpy()
-    ids, n, group = frame["id"].to_numpy(), frame["n"].to_numpy(), frame["component"].to_numpy()
-    pos, own = frame["pos"].to_numpy(), (frame["pos"] // size == frame["block"]).to_numpy()
-    values = np.frombuffer(b"".join(key), ">u2").reshape(len(key), KEY_DEPTH)[:, :BASE_DEPTH]
-    region = np.concatenate(([0], np.cumsum((values[1:] != values[:-1]).any(axis=1) | (tree[1:] != tree[:-1]))))
-    found = []
-    for step in range(low + 1, min(high, len(frame) - 1) + 1):
+    tree, ids = frame["tree"].to_numpy(), frame["id"].to_numpy()
+    n, group = frame["n"].to_numpy(), frame["component"].to_numpy()
+    own = (frame["pos"] // BLOCK == frame["block"]).to_numpy()
+    signature = np.frombuffer(b"".join(frame["signature"]), ">u2").reshape(len(frame), _VALUES)
+    prefix = np.frombuffer(b"".join(frame["prefix"]), ">u2").reshape(len(frame), BASE_DEPTH)
+    region = np.concatenate(([0], np.cumsum((prefix[1:] != prefix[:-1]).any(axis=1) | (tree[1:] != tree[:-1]))))
+    share = percent / 100
+    least = _VALUES * share - 4 * np.sqrt(_VALUES * share * (1 - share))
+    found = [np.empty((0, 2), np.int64)]
+    for step in range(1, min(SMALL_REGION, len(frame))):
         a, b = slice(None, -step), slice(step, None)
         take = (region[a] == region[b]) & (group[a] != group[b]) & own[a]
         take &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-        if take.any():
-            found.append(np.stack([ids[a][take], ids[b][take]], axis=1))
-    pairs = np.concatenate(found) if found else np.empty((0, 2), np.int64)
-    pairs = np.unique(np.sort(pairs, axis=1), axis=0)
+        take = np.flatnonzero(take)
+        take = take[(signature[take] == signature[take + step]).sum(axis=1) >= least]
+        found.append(np.stack([ids[take], ids[take + step]], axis=1))
+    pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
     return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
 
 
+def _slice_links(percent: int, frame: pd.DataFrame) -> pd.DataFrame:
+    """Links between a slice's probes and rows that join its components: each
+    link unites two that no earlier one did."""
+    probe = frame["probe"].to_numpy(bool)
+    rows, probes = frame[~probe].reset_index(drop=True), frame[probe]
+    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+    links: list[tuple[int, int]] = []
+    joined: dict[int, int] = {}
+
+    def root(component: int) -> int:
+        while component in joined:
+            component = joined[component]
+        return component
+
+    if sets:
+        sizes = np.array([len(x) for x in sets])
+        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+        known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        ids, group = rows["id"].to_numpy(), rows["component"].to_numpy()
+        for number, component, raw in zip(probes["id"], probes["component"], probes["shingles"], strict=True):
+            own = np.frombuffer(raw, np.uint64)
+            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+            flag = np.zeros(len(known), np.int64)
+            flag[at[known[at] == own]] = 1
+            common = np.add.reduceat(flag[flat], starts)
+            near = (100 * common >= percent * (len(own) + sizes - common)) & (group != component)
+            near = np.flatnonzero(near)
+            for i in near[np.unique(group[near], return_index=True)[1]]:
+                a, b = root(int(component)), root(int(group[i]))
+                if a != b:
+                    joined[max(a, b)] = min(a, b)
+                    links.append((int(number), int(ids[i])))
+    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+
 def _confirm(percent: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in frames:
         kept = []
@@ -130,7 +173,7 @@ def _confirm(percent: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
 
 
 def _in_blocks(rows: DataFrame, size: int, reach: int) -> DataFrame:
-    """Rows by (pos div size), with the first ``reach`` rows of a block also in
+    """Rows by position block, with the first ``reach`` rows of a block also in
     the block before and the last row also in the one behind."""
     block = F.floor(F.col("pos") / size)
     offset = F.pmod("pos", F.lit(size))
@@ -174,6 +217,13 @@ def _ordered(signed: DataFrame) -> DataFrame:
 
 def _links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links between representatives that connect every group."""
+
+    def window_pairs(frame: pd.DataFrame) -> pd.DataFrame:
+        return _window_pairs(percent, frame)
+
+    def slice_links(frame: pd.DataFrame) -> pd.DataFrame:
+        return _slice_links(percent, frame)
+
     blocks = _in_blocks(_ordered(signed), BLOCK, 1)
     members = written(
         blocks.groupBy("block").applyInPandas(
@@ -187,10 +237,12 @@ def _links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> Data
         .groupBy(F.least("id", "next_id").alias("a"), F.greatest("id", "next_id").alias("b"))
         .agg(F.count(F.lit(1)).alias("trees"))
     )
+    near = written(near, "near")
     ends = near.select(F.col("a").alias("id"), F.struct("trees", "a", "b").alias("p")).union(
         near.select(F.col("b").alias("id"), F.struct("trees", "a", "b").alias("p"))
     )
     best = ends.groupBy("id").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
+    best = written(best, "best")
 
     wanted = members.select("id").distinct()
     texts = id_and_bytes(docs)
@@ -205,28 +257,68 @@ def _links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> Data
         full = pairs.join(left, "a").join(right, "b").select("a", "b", "sa", "sb")
         return written(full.mapInPandas(partial(_confirm, percent), "a long, b long"), "links")
 
-    links = confirmed(best)
-    low, high = 0, FIRST_WINDOW
-    while True:
-        groups = connected_components(links)
-        rows = members.select("pos", "tree", "key", "id", "n", F.substring("key", 1, 2 * BASE_DEPTH).alias("prefix"))
-        rows = rows.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        regions = rows.groupBy("tree", "prefix").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("rows")
-        )
-        open_regions = regions.where((F.col("lo") < F.col("hi")) & (F.col("rows") > low + 1))
-        rows = rows.join(open_regions.select("tree", "prefix"), ["tree", "prefix"], "left_semi")
-        rows = written(rows.select("pos", "tree", "key", "id", "n", "component"), "open")
-        if rows.isEmpty():
-            return links
-        size = max(BLOCK, 4 * high)
-        pairs = (
-            _in_blocks(rows, size, high)
-            .groupBy("block")
-            .applyInPandas(partial(_window_pairs, low, high, percent, size), "a long, b long")
+    groups = connected_components(confirmed(best))
+    more = _best_per_component(near.join(best, ["a", "b"], "left_anti"), groups)
+    groups = connected_components(_stars(groups).union(confirmed(more)))
+    rows = members.select("pos", "tree", "id", "n", F.substring("key", 1, 2 * BASE_DEPTH).alias("prefix"))
+    rows = written(rows.join(groups, "id", "left").withColumn("component", F.coalesce("component", "id")), "labelled")
+    same = ["tree", "prefix"]
+    regions = (
+        rows.groupBy(*same, "component")
+        .agg(F.count(F.lit(1)).alias("size"), F.min("pos").alias("start"), F.max("n").alias("n"))
+        .groupBy(*same)
+        .agg(
+            F.sum("size").alias("rows"),
+            F.max("n").alias("widest"),
+            F.count(F.lit(1)).alias("components"),
+            F.min("start").alias("start"),
+            F.max(F.struct("size", "component")).alias("main"),
         )
-        links = links.union(confirmed(pairs.distinct()))
-        low, high = high, 8 * high
+        .where("components > 1")
+    )
+    regions = written(regions, "regions")
+    small = rows.join(regions.where(F.col("rows") <= SMALL_REGION).select(*same), same, "left_semi")
+    small = small.join(signed.select("id", "signature"), "id")
+    blocks = _in_blocks(small, BLOCK, SMALL_REGION)
+    pairs = blocks.groupBy("block").applyInPandas(window_pairs, "a long, b long").distinct()
+    links = _stars(groups).union(confirmed(pairs))
+
+    per_slice = F.greatest(F.floor(SLICE_SHINGLES / F.col("widest")), F.lit(16))
+    slices, probe_slices = F.ceil(F.col("rows") / per_slice), F.ceil((F.col("rows") - F.col("main.size")) / per_slice)
+    large = rows.join(regions.where(F.col("rows") > SMALL_REGION), same)
+    large = large.select(
+        *same, "pos", "start", "id", "component", (F.col("component") != F.col("main.component")).alias("minor"),
+        per_slice.alias("per_slice"), slices.alias("slices"), probe_slices.alias("probe_slices"),
+    )
+    plain = large.withColumn("s", F.floor((F.col("pos") - F.col("start")) / F.col("per_slice"))).withColumn(
+        "p", F.explode(F.sequence(F.lit(0), F.col("probe_slices") - 1))
+    )
+    probes = large.where("minor").withColumn("s", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    probes = probes.withColumn("p", F.pmod(F.xxhash64("id"), F.col("probe_slices")))
+    columns = [*same, F.col("s").cast("long").alias("s"), F.col("p").cast("long").alias("p"), "id", "component"]
+    both = plain.select(*columns, F.lit(False).alias("probe")).union(probes.select(*columns, F.lit(True)))
+    found = (
+        both.join(sets, "id")
+        .groupBy(*same, "s", "p")
+        .applyInPandas(slice_links, "a long, b long")
+    )
+    return links.union(written(found.distinct(), "links"))
+
+
+def _stars(groups: DataFrame) -> DataFrame:
+    return groups.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+
+
+def _best_per_component(near: DataFrame, groups: DataFrame) -> DataFrame:
+    """Of untried neighbours (a, b, trees), each component's pair into another
+    one that is adjacent in most trees."""
+    left = groups.select(F.col("id").alias("a"), F.col("component").alias("ca"))
+    right = groups.select(F.col("id").alias("b"), F.col("component").alias("cb"))
+    across = near.join(left, "a", "left").join(right, "b", "left")
+    across = across.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
+    pair = F.struct("trees", "a", "b").alias("p")
+    ends = across.select(pair, F.explode(F.array("ca", "cb")).alias("c"))
+    return ends.groupBy("c").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
@@ -242,6 +334,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80) -> DataF
     component_id and are kept.  Rows that repeat a doc_id are one document and
     all appear.  Extra columns are ignored.  An empty table gives no rows.
     """
+    with arrow_rows(docs.sparkSession, BATCH_ROWS):
+        return _classes(docs, width, percent)
+
+
+def _classes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     prints = written(
         id_and_bytes(docs).mapInPandas(
             partial(_fingerprint_rows, width),
