@@ -1,6 +1,9 @@
 import random
 from collections import Counter, defaultdict
 
+import pytest
+
+from ledgerlens.llm import near_dup
 from ledgerlens.llm.graph import connected_components
 from ledgerlens.llm.near_dup import near_duplicates
 from ledgerlens.llm.queries import QUERIES
@@ -41,8 +44,11 @@ def test_query_against_brute_force(spark, documents):
     assert result(QUERIES["op4_minhash_forest"](spark, SMALL)) == brute_force(texts, 2, 80)
 
 
-def test_crowded_region_of_noisy_copies(spark):
-    """More copies than a small region, with noise on either side of the limit."""
+@pytest.mark.parametrize("slice_shingles", [near_dup.SLICE_SHINGLES, 5_000])
+def test_crowded_region_of_noisy_copies(spark, monkeypatch, slice_shingles):
+    """More copies than a small region, with noise on either side of the limit,
+    in one slice and in several."""
+    monkeypatch.setattr(near_dup, "SLICE_SHINGLES", slice_shingles)
     draw = random.Random(11)
     base = [f"w{draw.randrange(10**6)}" for _ in range(150)]
     texts = {}
