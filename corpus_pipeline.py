@@ -12,19 +12,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import rows_where, table, written
+from ledgerlens.llm.common import arrow_rows, rows_where, table, written
 from ledgerlens.llm.decontaminate import decontaminated
 from ledgerlens.llm.line_dedup import drop_boilerplate_lines
 from ledgerlens.llm.mixing import mix_to_targets
 from ledgerlens.llm.near_dup import near_duplicates
 from ledgerlens.llm.toxicity import THRESHOLD, fit_toxicity, is_below, quarter_held_out
 
+#: Rows that go to Python at a time: texts are wide, and executors small.
+BATCH_ROWS = 500
+
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scoring under the toxicity threshold; the model learns from the
     labelled documents among them whose id is not held out."""
-    model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~quarter_held_out(F.col("doc_id")))
-    return rows_where(docs, is_below(model, THRESHOLD))
+    with arrow_rows(spark, BATCH_ROWS):
+        model = fit_toxicity(docs, table(spark, sf_dir, "labels"), ~quarter_held_out(F.col("doc_id")))
+        return written(rows_where(docs, is_below(model, THRESHOLD)), "calm")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +54,8 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item within its error budget."""
-    return decontaminated(docs, table(spark, sf_dir, "benchmark"))
+    with arrow_rows(spark, BATCH_ROWS):
+        return written(decontaminated(docs, table(spark, sf_dir, "benchmark")), "clean")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
