@@ -213,45 +213,53 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, per_class:
         models.append(
             ToxicityModel(part["key"].to_numpy(np.uint64), part["odds"].to_numpy(float), part["z"].abs().to_numpy(float))
         )
-    rows = (
-        texts.where(half == 1)
-        .select("text", "toxic")
-        .mapInPandas(
-            lambda frames: _segment_rows(models, frames),
-            "model int, n long, segments array<double>, ups array<double>, downs double, toxic boolean",
-        )
+    rows = texts.where(half == 1).select("text", "toxic").mapInPandas(
+        lambda frames: _segment_rows(models, frames),
+        "model int, n long, segments array<double>, ups array<double>, downs double, toxic boolean",
+    )
+    rows = written(rows, "segments")
+    loud = rows.where(F.size("segments") > 0).toPandas()  # at most 2 * per_class rows of a few numbers for each limit
+    quiet = (
+        rows.where(F.size("segments") == 0)
+        .groupBy("model", "toxic")
+        .agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.sum("downs").alias("downs"))
         .toPandas()
-    )  # at most 2 * per_class rows of a few numbers for each limit
-    fitted = [_calibrated(models[number], part, share) for number, part in rows.groupby("model")]
+    )
+    fitted = [_calibrated(m, loud[loud["model"] == k], quiet[quiet["model"] == k], share) for k, m in enumerate(models)]
     return min((f for f in fitted if f is not None), key=lambda f: f[0], default=(0.0, flat))[1]
 
 
-def _calibrated(model: ToxicityModel, rows: pd.DataFrame, share: float) -> tuple[float, ToxicityModel] | None:
+def _calibrated(
+    model: ToxicityModel, loud: pd.DataFrame, quiet: pd.DataFrame, share: float
+) -> tuple[float, ToxicityModel] | None:
     """The model with its extreme-value law and logistic fit from calibration
-    rows, and the fit's weighted log loss; None unless both classes occur."""
-    y = rows["toxic"].to_numpy(bool)
-    if y.all() or not y.any():
+    texts, and the fit's weighted log loss; None unless both classes occur.
+    Texts without a segment come as one row per class, with their number."""
+    y = np.concatenate([loud["toxic"], quiet["toxic"]]).astype(bool)
+    times = np.concatenate([np.ones(len(loud)), quiet["texts"].to_numpy(float)])
+    if not times[y].sum() or not times[~y].sum():
         return None
-    clean = rows[~y]
+    clean, calm = loud[~loud["toxic"].astype(bool)], quiet[~quiet["toxic"].astype(bool)]
     ups = np.concatenate([*(np.asarray(u, float) for u in clean["ups"]), np.empty(0)])
-    total = max(int(clean["n"].sum()), 1)
+    total = max(int(clean["n"].sum() + calm["n"].sum()), 1)
     # half a clean word at each known score keeps the law defined where clean text has none
     known = model.scores[model.scores > WORD_COST] - WORD_COST
     shares = np.concatenate([np.ones(len(ups)), np.full(len(known), 0.5), [total]])
-    below = min(float(clean["downs"].sum()) / total, -1e-3)
+    below = min(float(clean["downs"].sum() + calm["downs"].sum()) / total, -1e-3)
     decay = _decay(np.concatenate([ups, known, [below]]), shares / shares.sum())
     least = float(min(known, default=1.0))
     hits = sum(sum(s >= least for s in segments) for segments in clean["segments"]) + 0.5
     scale = hits / (total * float(np.exp(-decay * least)))
     model = replace(model, decay=decay, scale=scale)
     evidence = [
-        model.evidence([(0, 0, s) for s in segments], n) for n, segments in zip(rows["n"], rows["segments"], strict=True)
-    ]
-    weight = np.where(y, share / y.mean(), (1 - share) / (1 - y.mean()))
+        model.evidence([(0, 0, s) for s in segments], n) for n, segments in zip(loud["n"], loud["segments"], strict=True)
+    ] + [0.0] * len(quiet)
+    toxic_share = times[y].sum() / times.sum()
+    weight = times * np.where(y, share / toxic_share, (1 - share) / (1 - toxic_share))
     intercept, slope = _logistic(np.log1p(np.array(evidence)), y.astype(float), weight)
     model = replace(model, intercept=intercept, slope=slope)
     p = np.clip([model.probability(e) for e in evidence], 1e-6, 1 - 1e-6)
-    return float(-(weight * np.where(y, np.log(p), np.log1p(-p))).mean()), model
+    return float(-(weight * np.where(y, np.log(p), np.log1p(-p))).sum() / times.sum()), model
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel) -> DataFrame:
