@@ -21,6 +21,8 @@ from ledgerlens.llm.toxicity import THRESHOLD, fit_toxicity, is_below, quarter_h
 
 #: Rows that go to Python at a time: texts are wide, and executors small.
 BATCH_ROWS = 500
+#: Share of the tokens that mixing keeps at least, however rare the rarest cell is.
+LEAST_SHARE = 0.5
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,8 +61,9 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn with raked probabilities, with topic, n_tokens and probability."""
-    return mix_to_targets(docs).where("picked").drop("picked")
+    """Documents drawn with raked probabilities, with topic, n_tokens and probability;
+    at least LEAST_SHARE of the tokens are expected to stay."""
+    return mix_to_targets(docs, least_share=LEAST_SHARE).where("picked").drop("picked")
 
 
 STAGES = [

@@ -3,8 +3,11 @@
 Tokens are summed per cell (source, language, topic).  Raking scales the cells
 in turn until the source, language and topic sums meet their targets; the
 scale a cell ends with, over the largest one, is the probability with which
-its documents are kept.  The draw is a hash of the document id, so it repeats.
-Only the cell table iterates, as written tables of aggregates.
+its documents are kept.  As one rare cell can make that largest scale any size,
+a least share of the tokens can be stated: cells whose scale would then exceed
+probability 1 keep all documents and the others make up the rest.  The draw is
+a hash of the document id, so it repeats.  Only the cell table iterates, as
+written tables of aggregates.
 """
 
 from __future__ import annotations
@@ -92,12 +95,37 @@ def _off(cells: DataFrame, goals: dict[str, DataFrame]) -> float:
     return reduce(DataFrame.union, gaps).agg(F.max("gap")).first()[0] or 0.0
 
 
-def mix_to_targets(docs: DataFrame, flatten: dict[str, float] = FLATTEN, rounds: int = ROUNDS) -> DataFrame:
+def _full_ratio(cells: DataFrame, least_share: float) -> float:
+    """The ratio of target to tokens from which a cell keeps all its documents:
+    the largest one, or a lower one at which ``least_share`` of the tokens stay.
+
+    Cells at or above a trial ratio count whole, the others in proportion to
+    their targets; each trial adds cells, so the trials end.
+    """
+    ratio = F.col("target") / F.col("tokens")
+    total, largest = cells.agg(F.sum("tokens"), F.max(ratio)).first()
+    if largest is None or least_share <= 0:
+        return float(largest or 1.0)
+    full, before = 1.0 / least_share, None
+    while True:
+        whole, rest = cells.agg(
+            F.coalesce(F.sum(F.when(ratio >= full, F.col("tokens"))), F.lit(0)),
+            F.coalesce(F.sum(F.when(ratio < full, F.col("target"))), F.lit(0.0)),
+        ).first()
+        if whole == before or not rest:
+            return float(min(largest, full))
+        full, before = min(full, rest / (least_share * float(total) - whole)), whole
+
+
+def mix_to_targets(
+    docs: DataFrame, flatten: dict[str, float] = FLATTEN, rounds: int = ROUNDS, least_share: float = 0.0
+) -> DataFrame:
     """Documents with ``topic``, ``n_tokens``, ``probability`` and ``picked``.
 
     ``probability`` is the cell's target over its tokens, divided by the
     largest such ratio and rounded to PLACES; ``picked`` compares it with the
-    id's draw.  NULL sources and languages are values of their own.  NULL and
+    id's draw.  If fewer than ``least_share`` of the tokens would be expected
+    to stay, the divisor falls until so many do, and no probability exceeds 1.  NULL sources and languages are values of their own.  NULL and
     empty texts have no tokens, topic "empty", probability 1 and are picked.
     NULL ids share one draw; rows that repeat an id are drawn alike.  Columns
     of the input that clash with the four are replaced.  An empty table gives
@@ -107,8 +135,8 @@ def mix_to_targets(docs: DataFrame, flatten: dict[str, float] = FLATTEN, rounds:
     # written, so that texts are read through once
     docs = written(docs.withColumns({"topic": topic_of(text), "n_tokens": n_tokens(text)}), "topics")
     cells = raked(docs.groupBy(*_MARGINS).agg(F.sum("n_tokens").alias("tokens")), flatten, rounds)
-    top = cells.agg(F.max(F.col("target") / F.col("tokens"))).first()[0] or 1.0
-    share = F.round(F.col("target") / F.col("tokens") / F.lit(float(top)), PLACES).alias("__share")
+    top = _full_ratio(cells, least_share)
+    share = F.round(F.least(F.col("target") / F.col("tokens") / F.lit(top), F.lit(1.0)), PLACES).alias("__share")
     shares = written(cells.select(*[F.col(m).alias(f"__{m}") for m in _MARGINS], share), "shares")
     match = reduce(lambda a, b: a & b, [F.col(m).eqNullSafe(F.col(f"__{m}")) for m in _MARGINS])
     out = docs.join(shares, match, "left").withColumn("probability", F.coalesce("__share", F.lit(1.0)))

@@ -3,6 +3,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerlens.llm.mixing import FLATTEN, mix_to_targets, raked
 from llm_helpers import split_words
 
@@ -45,3 +46,27 @@ def test_odd_rows(spark, odd_documents, no_documents):
     assert {(r["topic"], r["n_tokens"], r["probability"], r["picked"]) for r in empty} == {("empty", 0, 1.0, True)}
     assert mix_to_targets(no_documents).count() == 0
     assert mix_to_targets(odd_documents.where(F.col("doc_id") < 3)).count() == 2
+
+
+def test_one_rare_cell_does_not_empty_the_pipeline(spark):
+    rows = [(i, "one two three", "en", f"s{i % 4}") for i in range(8000)]
+    schema = "doc_id long, text string, lang string, source string"
+    rare = [(9001, "four five", "xx", "rare")]
+    for extra in ([], rare):
+        mixed = corpus_pipeline.mixing(spark, spark.createDataFrame(rows + extra, schema), "").collect()
+        assert sum(r["n_tokens"] for r in mixed) >= 0.48 * 24_000
+    assert {r["probability"] for r in mixed if r["source"] == "rare"} == {1.0}
+
+
+def test_least_share_keeps_the_weights_of_cells_below_one(spark):
+    rows = [(i, "one two three", "en", "big" if i % 10 else "small") for i in range(4000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+    def chances(share):
+        found = mix_to_targets(docs, least_share=share).select("source", "probability").distinct().collect()
+        return {r["source"]: r["probability"] for r in found}
+
+    exact = chances(0.0)
+    assert chances(0.1) == exact  # more stay than stated
+    assert chances(0.8) == {"small": 1.0, "big": pytest.approx((0.8 - 0.1) / 0.9, abs=1e-8)}
+    assert chances(1.0) == {"small": 1.0, "big": 1.0}
