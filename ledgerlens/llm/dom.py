@@ -2,6 +2,8 @@
 
 Inline markup is transparent, so unclosed or crossed inline tags do no harm.
 A node's text falls into blocks, cut by structural tags and line breaks.
+Elements nested deeper than MAX_DEPTH are parsed like any other but stand outside
+the tree that is aligned: their texts belong to the deepest element within it.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
+#: Levels of the aligned tree; a path's outermost article or main element has one more.
 MAX_DEPTH = 150
 
 # Element kinds of HTML.
@@ -52,6 +55,7 @@ class Node:
     parent: Node | None = None
     kids: list[Node] = field(default_factory=list)
     number: int = 0
+    deep: bool = False
 
 
 @dataclass
@@ -83,7 +87,10 @@ def _named(attributes: str) -> tuple[set[str], str]:
 def parse(page: str) -> tuple[Node, list[Block]]:
     """The block tree of a page (nodes numbered in page order) and its text blocks."""
     root = Node("", "", False, False)
-    stack, nodes, blocks = [root], [root], []
+    stack, blocks = [root], []
+    count = 1
+    places: dict[str, list[int]] = {}
+    scopes: list[int] = []
     slots: dict[int, int] = {}
     pending: list[str] = []
 
@@ -97,14 +104,22 @@ def parse(page: str) -> tuple[Node, list[Block]]:
                 slots[node.number] = slot + 1
                 blocks.append(Block(node, slot, text))
 
+    def nearest(names: set[str]) -> int:
+        """The place on the stack of the last opened element of ``names``, or 0."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
+    def cut(k: int) -> None:
+        for node in stack[k:]:
+            places[node.tag].pop()
+            if node.tag in SCOPES:
+                scopes.pop()
+        del stack[k:]
+
     def close(names: set[str]) -> None:
         """Close the nearest open element of ``names`` within the current scope."""
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return
-            if stack[k].tag in SCOPES:
-                return
+        k = nearest(names)
+        if k and (not scopes or k > scopes[-1]):
+            cut(k)
 
     at, end = 0, len(page)
     while at < end:
@@ -125,11 +140,10 @@ def parse(page: str) -> tuple[Node, list[Block]]:
                 flush()
             continue
         if not opening:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    flush()
-                    del stack[k:]
-                    break
+            k = nearest({tag})
+            if k:
+                flush()
+                cut(k)
             continue
         flush()
         if tag in RAW:
@@ -139,17 +153,21 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         close({"p"})
         if tag in CLOSES:
             close(CLOSES[tag])
-        if len(stack) > MAX_DEPTH:
-            continue
         above = stack[-1]
         names, first = _named(m[2]) if m[2].strip() else (set(), "")
         article = above.article or tag in ARTICLE
         bad = tag in BOILERPLATE_TAGS or (tag not in ARTICLE and bool(names & BOILERPLATE_NAMES))
         bad = bad or (tag in ARTICLE and bool(names & {"comment", "related", "ad", "sponsored"}))
         bad = bad or (not article and (tag == "header" or bool(names & HEADER_NAMES)))
-        node = Node(tag, f"{tag}.{first}", above.boilerplate or bad, article, above, [], len(nodes))
-        above.kids.append(node)
-        nodes.append(node)
+        deep = len(stack) > MAX_DEPTH and not (tag in ARTICLE and not above.article)
+        parent = above.parent if above.deep else above
+        node = Node(tag, f"{tag}.{first}", above.boilerplate or bad, article, parent, [], count, deep)
+        count += 1
+        if not deep:
+            parent.kids.append(node)
+        places.setdefault(tag, []).append(len(stack))
+        if tag in SCOPES:
+            scopes.append(len(stack))
         stack.append(node)
     flush()
     return root, blocks

@@ -75,3 +75,15 @@ def test_simple_tree_matching_skips_an_inserted_subtree():
     walk(seed, seeds)
     assert all(tags[a] == seeds[b] for a, b in found.items())
     assert sorted(tags[a] for a in found) == sorted(["", "div", "ul", "li", "section", "p", "p"])
+
+
+def test_elements_deeper_than_the_aligned_tree(spark):
+    down, up = "<div>" * 200, "</div>" * 200
+    rows = [
+        (1, None, f"<div><article><p>first</p>{down}deep{up}<p>rest</p></article></div><p>outside</p>"),
+        (2, None, f"{down}<nav>menu</nav><div class='comments'><p>reader</p></div><p>story</p>{up}<p>end</p>"),
+        (3, None, f"{down}<article><p>told</p></article><p>views</p>{up}"),
+    ]
+    rows += [(n, "http://d.example/", f"{down}<article><p>Told only once {n}</p></article><p>{n}</p>{up}") for n in range(10, 15)]
+    expected = {1: "first\ndeep\nrest", 2: "story\nend", 3: "told"} | {n: f"Told only once {n}" for n in range(10, 15)}
+    assert texts(spark, rows) == expected
