@@ -97,8 +97,11 @@ def extract_text(pages: DataFrame) -> DataFrame:
 
     placed = analysed.where("host is not null").select("host", F.explode("blocks").alias("b")).select("host", "b.*")
     counts = seeds.select("host", "pages")
+    # a page counts once per key, however often it repeats the text there
+    keys = F.array_distinct(F.transform(F.filter("blocks", lambda b: F.size(b["path"]) > 0), lambda b: b["key"]))
     template = (
-        placed.where(F.size("path") > 0)
+        analysed.where("host is not null")
+        .select("host", F.explode(keys).alias("key"))
         .groupBy("host", "key")
         .agg(F.count(F.lit(1)).alias("n"))
         .join(counts, "host")

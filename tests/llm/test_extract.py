@@ -87,3 +87,12 @@ def test_elements_deeper_than_the_aligned_tree(spark):
     rows += [(n, "http://d.example/", f"{down}<article><p>Told only once {n}</p></article><p>{n}</p>{up}") for n in range(10, 15)]
     expected = {1: "first\ndeep\nrest", 2: "story\nend", 3: "told"} | {n: f"Told only once {n}" for n in range(10, 15)}
     assert texts(spark, rows) == expected
+
+
+def test_a_text_repeated_on_one_page_is_no_template(spark):
+    body = "<p>Story {0} told once</p><p>End {0}</p>"
+    cells = "<table><tr>" + "<td>Yes</td>" * 6 + "</tr></table>"
+    rows = [(n, f"http://t.example/{n}", page(n, body.format(n) + (cells if n == 7 else ""))) for n in range(10)]
+    got = texts(spark, rows)
+    assert got[7] == "\n".join(["Story 7 told once", "End 7", *["Yes"] * 6])
+    assert got[3] == "Story 3 told once\nEnd 3"
