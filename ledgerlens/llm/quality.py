@@ -57,7 +57,6 @@ def base_statistics(docs: DataFrame) -> DataFrame:
         F.size("w").cast("long").alias("n_words"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.expr("if(size(w) < 65536, 16, 26)").alias("bits"),
         F.expr(
             "if(size(w) < 5, array(), transform(sequence(0, size(w) - 5), i -> xxhash64(get(w, i), get(w, i + 1),"
             " get(w, i + 2), get(w, i + 3), get(w, i + 4))))"
@@ -66,18 +65,15 @@ def base_statistics(docs: DataFrame) -> DataFrame:
     kept = ["doc_id", "lang", "source", "word_chars", "n_symbols", "n_upper", "n_words", "n_lines", "n_dup_lines"]
     third = second.select(
         *kept,
-        "bits",
         F.expr(
             "if(size(array_distinct(h)) < size(h),"
-            " sort_array(transform(h, (x, i) -> shiftleft(shiftright(x, bits), bits) | cast(i AS bigint))), null)"
+            " sort_array(transform(h, (x, i) -> named_struct('h', x, 'at', cast(i AS bigint)))), null)"
         ).alias("s"),
     )
     fourth = third.select(
         *kept,
         F.expr(
-            "sort_array(transform(filter(s, (x, i) -> shiftright(x, bits) <=> shiftright(get(s, i - 1), bits)"
-            " or shiftright(x, bits) <=> shiftright(get(s, i + 1), bits)),"
-            " x -> x & (shiftleft(1L, bits) - 1)))"
+            "sort_array(transform(filter(s, (x, i) -> x.h <=> get(s, i - 1).h or x.h <=> get(s, i + 1).h), x -> x.at))"
         ).alias("p"),
     )
     covered = (

@@ -80,3 +80,12 @@ def test_odd_rows(spark, odd_documents, no_documents):
         (1, 0, True), (2, 0, True), (3, 0, True), (7, 10, False),
     }
     assert quality.quality_verdicts(no_documents).count() == 0
+
+
+def test_windows_of_a_very_long_text_are_told_apart(spark):
+    """Two windows whose hashes agree in their first 38 bits, among 70,000 words with one true repeat."""
+    alike = [f"w{i + k}" for i in (1145533, 1212215) for k in range(5)]
+    text = " ".join([f"x{i}" for i in range(70_000)] + alike[:5] + ["y"] + alike[5:] + [f"x{i}" for i in range(5)])
+    row = quality.base_statistics(spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string"))
+    assert base(text)[4] == 10
+    assert row.first()["n_repeat_words"] == 10
