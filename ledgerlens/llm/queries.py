@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 from ledgerlens.llm.common import table
 from ledgerlens.llm.decontaminate import benchmark_hits
 from ledgerlens.llm.extract import extract_text
-from ledgerlens.llm import chat, line_dedup, mixing
+from ledgerlens.llm import chat, lexical, line_dedup, mixing
+from ledgerlens.llm.hnsw import nearest
 from ledgerlens.llm.katz import katz_scores, seventh_held_out
 from ledgerlens.llm.near_dup import near_duplicates
 from ledgerlens.llm.quality import quality_verdicts
+from ledgerlens.llm.runs import run_digests
 from ledgerlens.llm.secrets import digest, find_secrets, train_ratio
 from ledgerlens.llm.toxicity import THRESHOLD, fit_toxicity, quarter_held_out, score_toxicity
 
@@ -81,6 +83,22 @@ def op9_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", "topic", "n_tokens", rounded, "picked")
 
 
+def op11_hnsw_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five nearest of all embeddings for every embedding whose id is divisible by 50."""
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest(vectors, F.pmod("vec_id", F.lit(50)) == 0)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of the periodic runs of all whole documents, a tenth of them looped."""
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best of all documents for every benchmark item."""
+    return lexical.rank_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_wrapper_induction": op1_wrapper_induction,
     "op2_pigeonhole_decontamination": op2_pigeonhole_decontamination,
@@ -92,10 +110,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_markov_secrets": op8_markov_secrets,
     "op9_raked_mixture": op9_raked_mixture,
     "op10_toxic_segments": op10_toxic_segments,
+    "op11_hnsw_neighbours": op11_hnsw_neighbours,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_ranked_search": op13_ranked_search,
 }
 
 ORACLES: dict[str, str] = {
     "op3_quotation_linking": chat.ORACLE,
     "op6_site_relative_lines": line_dedup.ORACLE,
     "op9_raked_mixture": mixing.ORACLE,
+    "op13_ranked_search": lexical.ORACLE,
 }
