@@ -1,6 +1,7 @@
 """Registered queries vs their DuckDB oracles on the smallest tables."""
 
 import math
+import sys
 from collections import Counter
 
 import duckdb
@@ -48,6 +49,19 @@ def test_every_query_has_a_builder():
     assert len(q) >= 80
 
 
+@pytest.mark.parametrize("pipeline_left", [True, False])
+def test_entry_without_training_data_operators(monkeypatch, pipeline_left):
+    """With the subpackage gone, and its pipeline gone or not, the other queries are all there."""
+    for name in [m for m in sys.modules if m.startswith("ledgerlens.llm") or m == "corpus_pipeline"]:
+        monkeypatch.delitem(sys.modules, name)
+    monkeypatch.setitem(sys.modules, "ledgerlens.llm", None)
+    if not pipeline_left:
+        monkeypatch.setitem(sys.modules, "corpus_pipeline", None)
+    q, o = entry.queries(), entry.oracle_sql()
+    assert len(q) >= 80 and set(o) <= set(q)
+    assert "pipeline" not in q and not any(name.startswith("op") and name[2].isdigit() for name in q)
+
+
 @pytest.mark.parametrize("name", SAMPLE)
 def test_query_matches_oracle(spark, con, name):
     sdf = entry.queries()[name](spark, SF)
