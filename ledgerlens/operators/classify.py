@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ledgerlens import config as cfg
 from ledgerlens.functions.text import ustrip
+from ledgerlens.session import written
 
 CLASSIFICATION_OUTPUT_COLUMNS = [
     "l1_category",
@@ -453,27 +454,114 @@ def classify_with_queue(df: DataFrame, rules: list[dict[str, Any]] | None = None
 # join form (large rule sets)
 # --------------------------------------------------------------------------
 
-PATTERN_SCHEMA = (
-    "rule_idx int, kind string, column string, cond_ord int, val_ord int, raw string, lower_pat string, "
-    "norm_pat string, star boolean, is_kw boolean, match_type string"
+GRAM = 3
+USE_SCHEMA = "column string, needle string, rule_idx int, role string, cond_ord int, val_ord int, raw string, norm_pat string"
+CONST_SCHEMA = (
+    "rule_idx int, rule_id string, l1 string, l2 string, l3 string, confidence double, review_below double, "
+    "art_always boolean, ven_always boolean, vpat_always struct<p: struct<cond_ord: int, val_ord: int>, raw: string>, "
+    "apat_always struct<p: struct<cond_ord: int, val_ord: int>, raw: string>"
 )
-
-
-def pattern_rows(ordered: list[dict[str, Any]]) -> list[tuple]:
-    """One row per (active rule, condition value); bounded by the config."""
-    rows = []
+#: Roles of a needle: article or vendor tier; vendor or article pattern shown; keyword in one of the three text columns.
+_TIER_ROLES = {"A": "art", "V": "ven"}
+_PATTERN_ROLES = {"V": "vpat", "A": "apat"}
+
+
+def pattern_uses(ordered: list[dict[str, Any]], strict: bool = False) -> tuple[list[tuple], list[tuple], list[tuple]]:
+    """Rules as tables, bounded by the configuration: what each needle proves when a
+    column's value contains it (USE_SCHEMA), what each rule holds whatever the values
+    are (CONST_SCHEMA), and with ``strict`` the tests that are no containment
+    (column, match type, needle, rule_idx, role).  NULL-safe: an empty needle or '*'
+    needs no value, so it is a constant of its rule."""
+    uses, consts, exact = [], [], []
     for idx, rule in enumerate(ordered):
+        always = {"art": False, "ven": False}
+        shown: dict[str, tuple | None] = {"vpat": None, "apat": None}
         for c_ord, cond in enumerate(rule["conditions"]):
-            column = cond["column"]
-            values = [str(v) for v in cond["values"]]
-            star = "*" in values
+            column, values = cond["column"], [str(v) for v in cond["values"]]
             kind = "A" if column in cfg.ARTICLE_COLUMNS else "V" if column in cfg.VENDOR_COLUMNS else "O"
+            mtype = cond.get("match_type", "contains_any") if strict else "contains_any"
             for v_ord, v in enumerate(values):
-                norm = _norm_text(v)
-                is_kw = column in cfg.KEYWORD_COLUMNS and norm not in ("", "*")
-                rows.append((idx, kind, column, c_ord, v_ord, v, v.lower(), norm, star, is_kw,
-                             str(cond.get("match_type", "contains_any"))))
-    return rows
+                norm, place = _norm_text(v), (c_ord, v_ord)
+                if kind != "O":
+                    tier, pattern = _TIER_ROLES[kind], _PATTERN_ROLES[kind]
+                    if "*" in values:
+                        always[tier] = True
+                    elif mtype in ("equals_any", "in_list", "regex_any"):
+                        exact.append((column, mtype, v if mtype == "regex_any" else v.lower(), idx, tier))
+                    elif not v.lower():
+                        always[tier] = True
+                    else:
+                        uses.append((column, v.lower(), idx, tier, c_ord, v_ord, v, norm))
+                    if norm in ("", "*"):
+                        if shown[pattern] is None or place < shown[pattern][0]:
+                            shown[pattern] = (place, v)
+                    else:
+                        uses.append((column, norm, idx, pattern, c_ord, v_ord, v, norm))
+                if column in cfg.KEYWORD_COLUMNS and norm not in ("", "*"):
+                    for n, keyword_column in enumerate(cfg.KEYWORD_COLUMNS):
+                        uses.append((keyword_column, norm, idx, f"kw{n}", c_ord, v_ord, v, norm))
+        target = rule["target"]
+        consts.append((
+            idx, rule["rule_id"], target["l1"], target["l2"], target["l3"], float(rule["confidence"]),
+            float(rule.get("review_required_below", cfg.DEFAULT_REVIEW_REQUIRED_BELOW)),
+            always["art"], always["ven"], shown["vpat"], shown["apat"],
+        ))
+    return uses, consts, exact
+
+
+def grams_of(text: Column, size: int) -> Column:
+    """The distinct substrings of so many characters."""
+    n = F.length(text) - size + 1
+    starts = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
+    return F.when(n >= 1, F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, F.lit(size))))).otherwise(
+        F.array().cast("array<string>")
+    )
+
+
+def containing_values(values: DataFrame, needles: DataFrame, sizes: list[int]) -> DataFrame:
+    """(column, value) and (column, needle) -> (column, value, needle) where the value
+    contains the needle, found by an inverted index of the values' q-grams.
+
+    A value that contains a needle holds all its grams, so it is among those that hold
+    the rarest one; only they are tested.  A needle shorter than GRAM is its own gram:
+    ``sizes`` lists the gram lengths in use.  Needles are not empty."""
+    text = F.col("value")
+    grams = F.explode(F.array_distinct(F.concat(*[grams_of(text, n) for n in sizes]))).alias("gram")
+    index = written(values.select("column", "value", grams), "grams")
+    size = F.least(F.length("needle"), F.lit(GRAM))
+    own = needles.select("column", "needle", F.explode(_grams_of_size(F.col("needle"), size)).alias("gram"))
+    frequency = index.groupBy("column", "gram").agg(F.count(F.lit(1)).alias("n"))
+    rarest = (
+        own.join(frequency, ["column", "gram"], "left")
+        .groupBy("column", "needle")
+        .agg(F.min_by("gram", F.struct(F.coalesce("n", F.lit(0)), F.col("gram"))).alias("gram"))
+    )
+    return index.join(rarest, ["column", "gram"]).where(F.contains("value", F.col("needle"))).select("column", "value", "needle")
+
+
+def _grams_of_size(text: Column, size: Column) -> Column:
+    starts = F.sequence(F.lit(1), F.length(text) - size + 1)
+    return F.array_distinct(F.transform(starts, lambda i: F.substr(text, i, size)))
+
+
+def _exact_hits(values: DataFrame, exact: list[tuple]) -> DataFrame:
+    """Strict tests that are no containment: whole values by an equi-join, patterns row by row."""
+    spark = values.sparkSession
+    schema = "column string, mtype string, needle string, rule_idx int, role string"
+    whole = spark.createDataFrame([x for x in exact if x[1] != "regex_any"], schema)
+    hits = values.join(whole, (values["column"] == whole["column"]) & (values["value"] == whole["needle"])).select(
+        values["column"], "value", "rule_idx", "role"
+    )
+    patterns = [x for x in exact if x[1] == "regex_any"]
+    for column in sorted({x[0] for x in patterns}):
+        tests = [
+            F.when(F.regexp_like(F.col("value"), F.lit(p)), F.struct(F.lit(i).alias("rule_idx"), F.lit(role).alias("role")))
+            for c, _, p, i, role in patterns
+            if c == column
+        ]
+        own = values.where(F.col("column") == column)
+        hits = hits.union(own.select("column", "value", F.inline(F.array_compact(F.array(*tests)))))
+    return hits
 
 
 def classify_payments_join(
@@ -481,87 +569,92 @@ def classify_payments_join(
 ) -> DataFrame:
     """D17, join form: same result as ``classify_payments`` for any rule count.
 
-    1. distinct normalized feature tuples (rows sharing features are
-       classified once; a hot vendor costs one tuple, not a third of the data);
-    2. theta join of tuples with the broadcast pattern table (bounded by the
-       configuration) on the substring conditions - only hitting pairs are kept;
-    3. per (tuple, rule): evidence, keyword list/score, first patterns;
-    4. per tuple: winner by (tier, -score for keyword tier, priority order);
-    5. outputs joined back to the rows on the feature values.
+    1. distinct feature tuples under a 128-bit key (rows sharing features are
+       classified once; a hot vendor costs one tuple, not a third of the data), and
+       the distinct values of each column;
+    2. values meet needles through the q-gram index of ``containing_values``;
+    3. tuples take the hits of their values, and at most two rules more: the first
+       ones that match any article and any vendor (later ones cannot win);
+    4. per (tuple, rule): evidence, keyword list and score, first patterns;
+       per tuple: winner by (tier, -score for the keyword tier, priority order);
+    5. outputs joined back to the rows on the key.
+
+    All joins are on keys; the rule tables are bounded by the configuration.
     """
     rules = cfg.CLASSIFICATION_RULES if rules is None else rules
     ordered = active_rules(rules)
     spark = df.sparkSession
+    uses, consts, exact = pattern_uses(ordered, strict_match_types)
     feats = _features(df)
     names = list(feats)
-    staged = df.withColumns(feats)
-    tuples = staged.select(*names).distinct()
-    pats = F.broadcast(spark.createDataFrame(pattern_rows(ordered) or [], PATTERN_SCHEMA))
-    value = F.lit("")
-    for column in cfg.FEATURE_COLUMNS:
-        value = F.when(pats["column"] == column, F.col(_feature_name(column))).otherwise(value)
-    f_art, f_pur, f_con = (F.col(_feature_name(c)) for c in cfg.KEYWORD_COLUMNS)
-    matcher = pats["star"] | F.contains(value, pats["lower_pat"])
-    if strict_match_types:
-        matcher = pats["star"] | (
-            F.when(pats["match_type"].isin("equals_any", "in_list"), value == pats["lower_pat"])
-            .when(pats["match_type"] == "regex_any", F.regexp_like(value, pats["raw"]))
-            .otherwise(F.contains(value, pats["lower_pat"]))
-        )
-    finder = (pats["norm_pat"] == "*") | F.contains(value, pats["norm_pat"])
-    in_a, in_p, in_c = (F.contains(f, pats["norm_pat"]) for f in (f_art, f_pur, f_con))
-    kw_hit = pats["is_kw"] & (in_a | in_p | in_c)
-    pairs = tuples.join(pats, ((pats["kind"] != "O") & (matcher | finder)) | kw_hit).select(
-        *names, "rule_idx", "kind", "cond_ord", "val_ord", "raw", "norm_pat", "is_kw",
-        matcher.alias("m"), finder.alias("fh"), (pats["is_kw"] & in_a).alias("ka"),
-        (pats["is_kw"] & in_p).alias("kp"), (pats["is_kw"] & in_c).alias("kc"),
+    key = ["__key1", "__key2"]
+    staged = df.withColumns(feats).withColumns(
+        {"__key1": F.xxhash64(*names), "__key2": F.xxhash64(F.lit("second"), *names)}
     )
-    pos = F.struct("cond_ord", "val_ord")
-    ev = pairs.groupBy(*names, "rule_idx").agg(
-        F.bool_or((F.col("kind") == "A") & F.col("m")).alias("art"),
-        F.bool_or((F.col("kind") == "V") & F.col("m")).alias("ven"),
-        F.least(
-            F.lit(0.0)
-            + F.when(F.bool_or(F.col("ka")), F.lit(cfg.KEYWORD_WEIGHTS[cfg.KEYWORD_COLUMNS[0]])).otherwise(F.lit(0.0))
-            + F.when(F.bool_or(F.col("kp")), F.lit(cfg.KEYWORD_WEIGHTS[cfg.KEYWORD_COLUMNS[1]])).otherwise(F.lit(0.0))
-            + F.when(F.bool_or(F.col("kc")), F.lit(cfg.KEYWORD_WEIGHTS[cfg.KEYWORD_COLUMNS[2]])).otherwise(F.lit(0.0)),
-            F.lit(1.0),
-        ).alias("score"),
-        F.array_sort(F.collect_list(F.when(F.col("is_kw") & (F.col("ka") | F.col("kp") | F.col("kc")),
-                                           F.struct(pos.alias("p"), F.col("norm_pat").alias("k"))))).alias("kws"),
-        F.min_by(F.when((F.col("kind") == "V") & F.col("fh"), F.col("raw")), F.when((F.col("kind") == "V") & F.col("fh"), pos)).alias("vpat"),
-        F.min_by(F.when((F.col("kind") == "A") & F.col("fh"), F.col("raw")), F.when((F.col("kind") == "A") & F.col("fh"), pos)).alias("apat"),
+    tuples = staged.groupBy(*key).agg(*[F.first(n).alias(n) for n in names])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(_feature_name(c)).alias("value")) for c in cfg.FEATURE_COLUMNS])
+    tuples = written(tuples.select(*key, pairs.alias("pairs")), "tuples")
+    cells = tuples.select(*key, F.inline("pairs"))
+    values = written(cells.select("column", "value").distinct(), "values")
+
+    use_table = spark.createDataFrame(uses, USE_SCHEMA)
+    sizes = sorted({min(len(u[1]), GRAM) for u in uses} | {GRAM})
+    found = containing_values(values, use_table.select("column", "needle").distinct(), sizes)
+    hits = found.join(use_table, ["column", "needle"]).select(
+        "column", "value", "rule_idx", "role", F.struct("cond_ord", "val_ord").alias("p"), "raw", "norm_pat"
     )
+    if exact:
+        hits = hits.unionByName(_exact_hits(values, exact), allowMissingColumns=True)
+    proofs = cells.join(written(hits, "hits"), ["column", "value"]).drop("column", "value")
+    firsts = [next((c[0] for c in consts if c[at]), None) for at in (7, 8)]
+    firsts = sorted({i for i in firsts if i is not None})
+    if firsts:
+        extra = F.explode(F.array(*map(F.lit, firsts))).alias("rule_idx")
+        proofs = proofs.unionByName(tuples.select(*key, extra), allowMissingColumns=True)
+
+    def proved(role: str) -> Column:
+        return F.coalesce(F.bool_or(F.col("role") == role), F.lit(False))
+
+    def shown(role: str) -> Column:
+        return F.min(F.when(F.col("role") == role, F.struct("p", "raw")))
+
+    weights = [
+        F.when(proved(f"kw{n}"), F.lit(cfg.KEYWORD_WEIGHTS[c])).otherwise(F.lit(0.0)) for n, c in enumerate(cfg.KEYWORD_COLUMNS)
+    ]
+    is_keyword = F.col("role").startswith("kw")
+    evidence = proofs.groupBy(*key, "rule_idx").agg(
+        proved("art").alias("art"), proved("ven").alias("ven"),
+        F.least(F.lit(0.0) + weights[0] + weights[1] + weights[2], F.lit(1.0)).alias("score"),
+        F.array_sort(F.collect_set(F.when(is_keyword, F.struct("p", F.col("norm_pat").alias("k"))))).alias("kws"),
+        shown("vpat").alias("vpat"), shown("apat").alias("apat"),
+    )
+    constants = F.broadcast(spark.createDataFrame(consts, CONST_SCHEMA))
+    evidence = evidence.join(constants, "rule_idx").select(
+        *key, "rule_idx",
+        (F.col("art") | F.col("art_always")).alias("art"), (F.col("ven") | F.col("ven_always")).alias("ven"), "score", "kws",
+        F.least("vpat", "vpat_always")["raw"].alias("vpat"), F.least("apat", "apat_always")["raw"].alias("apat"),
+    )
     tier = F.when(F.col("art"), 1).when(F.col("ven"), 2).when(F.col("score") > 0, 3)
-    ranked = ev.withColumn("tier", tier).where(F.col("tier").isNotNull())
-    key = F.struct(F.col("tier"), F.when(F.col("tier") == 3, -F.col("score")).otherwise(F.lit(0.0)), F.col("rule_idx"))
-    win = ranked.groupBy(*names).agg(
-        F.min_by(F.struct("rule_idx", "tier", "ven", "score", "kws", "vpat", "apat"), key).alias("w")
+    ranked = evidence.withColumn("tier", tier).where(F.col("tier").isNotNull())
+    rank = F.struct(F.col("tier"), F.when(F.col("tier") == 3, -F.col("score")).otherwise(F.lit(0.0)), F.col("rule_idx"))
+    win = ranked.groupBy(*key).agg(
+        F.min_by(F.struct("rule_idx", "tier", "ven", "score", "kws", "vpat", "apat"), rank).alias("w")
     )
-    lit_arr = lambda vals: F.array(*[F.lit(v) for v in vals])
-    idx = F.col("w.rule_idx") + 1
     am = F.coalesce(F.col("w.tier") == 1, F.lit(False))
     vm = F.coalesce((F.col("w.tier") == 2) | ((F.col("w.tier") == 1) & F.col("w.ven")), F.lit(False))
     kwl = F.array_distinct(F.transform(F.col("w.kws"), lambda x: x["k"]))
-    winners = win.select(
-        *names,
-        F.col("w.rule_idx").alias("__w"),
+    winners = win.withColumn("rule_idx", F.col("w.rule_idx")).join(constants, "rule_idx").select(
+        *key, F.col("rule_idx").alias("__w"),
         am.alias("__am"), vm.alias("__vm"), kwl.alias("__kwl"), F.col("w.score").alias("__ks"),
-        F.element_at(lit_arr([r["rule_id"] for r in ordered]), idx).alias("__rid"),
-        F.element_at(lit_arr([r["target"]["l1"] for r in ordered]), idx).alias("__l1"),
-        F.element_at(lit_arr([r["target"]["l2"] for r in ordered]), idx).alias("__l2"),
-        F.element_at(lit_arr([r["target"]["l3"] for r in ordered]), idx).alias("__l3"),
-        F.element_at(lit_arr([float(r["confidence"]) for r in ordered]), idx).alias("__base"),
-        F.element_at(lit_arr([float(r.get("review_required_below", cfg.DEFAULT_REVIEW_REQUIRED_BELOW)) for r in ordered]), idx).alias("__rrb"),
-        F.when(vm, F.col("w.vpat")).alias("__vp"),
-        F.when(am, F.col("w.apat")).alias("__ap"),
-    )
+        F.col("rule_id").alias("__rid"), F.col("l1").alias("__l1"), F.col("l2").alias("__l2"), F.col("l3").alias("__l3"),
+        F.col("confidence").alias("__base"), F.col("review_below").alias("__rrb"),
+        F.when(vm, F.col("w.vpat")).alias("__vp"), F.when(am, F.col("w.apat")).alias("__ap"),
+    )
     num = F.greatest(F.lit(0.0), F.least(
         F.col("__base") + F.when(F.col("__am"), F.lit(cfg.ARTICLE_BONUS)).otherwise(F.lit(0.0))
         + F.when(F.col("__vm"), F.lit(cfg.VENDOR_BONUS)).otherwise(F.lit(0.0)) + F.col("__ks") * F.lit(cfg.KEYWORD_FACTOR),
         F.lit(1.0)))
-    winners = winners.withColumn("__num", num)
-    joined = staged.join(winners, names, "left")
+    joined = staged.join(winners.withColumn("__num", num), key, "left")
     out_cols = [f"{expr} AS {name}" for name, expr in _output_fields()]
     original = df.columns
     keep = [f"`{c}`" for c in original if c not in CLASSIFICATION_OUTPUT_COLUMNS]
