@@ -30,16 +30,15 @@ from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import NO_ID, arrow_rows, broadcast_if_small, id_and_bytes, word_hashes, written
 
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 BEST = 10
 #: Length normalisation in hundredths, and the saturation of repeated terms.
 LENGTH_SHARE = 75
 SATURATION = 8
 SCALE = 1_000_000_000
 #: Text of a shard; one longer text stands alone.
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Text hashed at a time, cut between terms.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 1 << 20
 #: Terms of the items that are searched together in one task.
 BLOCK_TERMS = 1 << 16
 #: Terms up to which a table of them, or of item blocks, is broadcast.
@@ -65,10 +64,16 @@ class Totals(NamedTuple):
     terms: int
 
 
+def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        counts = [len(text.translate(_TERM_BYTES).split()) for text in batch.column(1).to_pylist() if text]
+        sums = [sum(map(bool, counts)), sum(counts)]
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()) for n in sums], names=["documents", "terms"])
+
+
 def corpus_totals(docs: DataFrame) -> Totals:
-    n = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(TERM)).cast("long")
-    row = docs.select(n.alias("n")).where("n > 0").agg(F.count("n"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    return Totals(*row)
+    counted = id_and_bytes(docs).mapInArrow(_count_batches, "documents long, terms long")
+    return Totals(*counted.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in Totals._fields]).first())
 
 
 def term_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -251,7 +256,8 @@ def search(postings: DataFrame, terms: DataFrame, totals: Totals, k: int = BEST)
 def rank_documents(docs: DataFrame, items: DataFrame, k: int = BEST) -> DataFrame:
     """(item_id, rank, doc_id, score): each item's k documents of highest score above 0.
 
-    Terms are the maximal matches of TERM with A-Z lower-cased, in whole texts.
+    Terms are maximal runs of ASCII letters, digits and characters beyond ASCII,
+    with A-Z lower-cased, in whole texts.
     With N documents that hold a term, L terms in them, n terms in the document and
     df documents holding the term, a term weighs w = floor(1000 * ln((2N + 2) /
     (2df + 1))) and counts w * ((10**9 * tf) div (1000 * tf + 8 * m)), m = 25 +
@@ -266,8 +272,8 @@ def rank_documents(docs: DataFrame, items: DataFrame, k: int = BEST) -> DataFram
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    totals = corpus_totals(docs)
     with arrow_rows(spark, BATCH_ROWS):
+        totals = corpus_totals(docs)
         terms = written(item_terms(items), "item_terms")
         asked = broadcast_if_small(written(terms.select("term").distinct(), "asked"), BROADCAST_TERMS)
         postings = written(posting_lists(docs, totals).join(asked, "term", "left_semi"), "postings")
