@@ -12,9 +12,11 @@ written tables of aggregates.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import WORD, written
@@ -25,6 +27,8 @@ ROUNDS = 10
 CHECK_EVERY = 5
 TOLERANCE = 1e-9
 PLACES = 9
+#: Cells up to which one task holds the whole cell table; more are dealt out by each margin.
+ONE_TASK_CELLS = 100_000
 _MARGINS = ("source", "lang", "topic")
 
 
@@ -61,37 +65,65 @@ def raked(cells: DataFrame, flatten: dict[str, float] = FLATTEN, rounds: int = R
     values with tokens.  Rounds stop when no margin moves by more than
     TOLERANCE of the total, or after ``rounds``.
     """
+    spark = cells.sparkSession
     cells = written(cells.where("tokens > 0").withColumn("target", F.col("tokens").cast("double")), "cells")
     total = cells.agg(F.coalesce(F.sum("tokens"), F.lit(0))).first()[0]
     if not total:
         return cells
-    goals = {}
-    for margin in _MARGINS:
-        sums = cells.groupBy(margin).agg(F.pow(F.sum("tokens") / F.lit(float(total)), F.lit(flatten[margin])).alias("w"))
-        norm = sums.agg(F.sum("w")).first()[0]
-        goals[margin] = written(sums.select(margin, (F.col("w") / norm * float(total)).alias("goal")), "goals")
-    for k in range(rounds):
+    few = cells.limit(ONE_TASK_CELLS + 1).count() <= ONE_TASK_CELLS
+    with no_broadcasts(spark):
+        cells = _together(cells, few)
         for margin in _MARGINS:
-            sums = cells.groupBy(margin).agg(F.sum("target").alias("now"))
-            step = goals[margin].alias("g").join(sums.alias("s"), F.expr(f"g.{margin} <=> s.{margin}"))
-            step = step.select(F.col(f"g.{margin}").alias("__value"), (F.col("goal") / F.col("now")).alias("__factor"))
-            cells = (
-                cells.join(step, F.col(margin).eqNullSafe(F.col("__value")))
-                .withColumn("target", F.col("target") * F.col("__factor"))
-                .drop("__value", "__factor")
-            )
-        cells = written(cells, "cells")
-        if (k + 1) % CHECK_EVERY == 0 and _off(cells, goals) <= TOLERANCE * total:
-            break
-    return cells
-
-
-def _off(cells: DataFrame, goals: dict[str, DataFrame]) -> float:
+            sums = cells.groupBy(margin).agg(F.pow(F.sum("tokens") / F.lit(float(total)), F.lit(flatten[margin])).alias("w"))
+            norm = sums.agg(F.sum("w")).first()[0]
+            goal = (F.col("w") / norm * float(total)).alias(_goal(margin))
+            cells = _with_margin(cells, margin, sums.select(margin, goal))
+        for k in range(rounds):
+            for margin in _MARGINS:
+                sums = cells.groupBy(margin).agg(F.sum("target").alias("__now"))
+                scaled = F.col("target") * (F.col(_goal(margin)) / F.col("__now"))
+                cells = _with_margin(cells, margin, sums).withColumn("target", scaled).drop("__now")
+            cells = _together(written(cells, "cells"), few)
+            if (k + 1) % CHECK_EVERY == 0 and _off(cells) <= TOLERANCE * total:
+                break
+    return cells.drop(*map(_goal, _MARGINS))
+
+
+@contextmanager
+def no_broadcasts(spark: SparkSession) -> Iterator[None]:
+    """While inside, joins shuffle: each of many joins with a small table would
+    otherwise leave a copy of it in the driver's memory."""
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def _together(cells: DataFrame, few: bool) -> DataFrame:
+    """A written cell table, read by one task if its counted rows are few: its
+    sums and joins then need no exchange and a round is one task."""
+    return cells.coalesce(1) if few else cells
+
+
+def _goal(margin: str) -> str:
+    return f"__goal_{margin}"
+
+
+def _with_margin(cells: DataFrame, margin: str, values: DataFrame) -> DataFrame:
+    """Cells with the further columns of a table of the margin's values; NULL is a value."""
+    values = values.withColumnRenamed(margin, "__value")
+    return cells.join(values, F.col(margin).eqNullSafe(F.col("__value"))).drop("__value")
+
+
+def _off(cells: DataFrame) -> float:
+    """The widest gap between any margin's target and its sum."""
     gaps = []
     for margin in _MARGINS:
-        sums = cells.groupBy(margin).agg(F.sum("target").alias("now"))
-        both = goals[margin].alias("g").join(sums.alias("s"), F.expr(f"g.{margin} <=> s.{margin}"))
-        gaps.append(both.agg(F.max(F.abs(F.col("goal") - F.col("now"))).alias("gap")))
+        sums = cells.groupBy(margin).agg(F.sum("target").alias("now"), F.first(_goal(margin)).alias("goal"))
+        gaps.append(sums.agg(F.max(F.abs(F.col("goal") - F.col("now"))).alias("gap")))
     return reduce(DataFrame.union, gaps).agg(F.max("gap")).first()[0] or 0.0
 
 

@@ -23,6 +23,18 @@ def test_margins_meet_their_targets(spark):
             assert target[value] == pytest.approx((v / total) ** FLATTEN[margin] / norm * total, rel=1e-6)
 
 
+def test_cells_in_one_task_or_many_rake_alike(spark, monkeypatch):
+    cells = spark.createDataFrame(
+        [(f"s{i % 7}", "en" if i % 3 else None, f"t{i % 2}", 1 + i * i % 97) for i in range(42)],
+        "source string, lang string, topic string, tokens long",
+    ).groupBy("source", "lang", "topic").agg(F.sum("tokens").alias("tokens"))
+    one = {tuple(r)[:4]: r["target"] for r in raked(cells).collect()}
+    assert raked(cells).columns == ["source", "lang", "topic", "tokens", "target"]
+    monkeypatch.setattr("ledgerlens.llm.mixing.ONE_TASK_CELLS", 0)
+    many = {tuple(r)[:4]: r["target"] for r in raked(cells).collect()}
+    assert set(one) == set(many) and all(many[k] == pytest.approx(one[k], rel=1e-9) for k in one)
+
+
 def test_draw_follows_probability(spark):
     rows = [(i, "one two three", "en", "big" if i % 10 else "small") for i in range(4000)]
     out = mix_to_targets(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
