@@ -90,8 +90,7 @@ def main() -> None:
 
     fact = spark.read.parquet(fact_path).cache()
     fact.count()
-    aggs = marts.build_aggregations(fact, ADAPTER_YEARS)
-    timed("aggregates", lambda: [a.collect() for a in aggs.values()])
+    timed("aggregates", lambda: [a.collect() for a in marts.build_aggregations(fact, ADAPTER_YEARS).values()])
     timed("rollup", lambda: dashboard.categories_tree(fact).collect())
     timed("insights", lambda: insights.rank_insights(fact, ADAPTER_YEARS).collect())
     timed("quality", lambda: quality.qa_report(fact, allowed_years=ADAPTER_YEARS).collect())

@@ -38,10 +38,36 @@ def exact_sum(col: Column) -> Column:
     amounts of 1e28 and more, infinities) is summed as double.  Should the
     exact part overflow, the plain double sum takes its place.
     """
+    exact, plain, rest = _parts(col)
+    return _total(F.try_sum(exact), F.sum(plain), F.sum(rest))
+
+
+def _parts(col: Column) -> tuple[Column, Column, Column]:
+    """Of one amount: the exact part, the amount that has one, and what it cuts off."""
     value = col.cast("double")
     exact = value.try_cast("decimal(38,10)")
     rest = F.when(exact.isNull(), value).otherwise(value - exact.cast("double"))
-    whole = F.try_sum(exact).cast("double")
-    count = F.count(exact)
-    total = F.when(count == 0, F.lit(0.0)).otherwise(F.coalesce(whole, F.sum(F.when(exact.isNotNull(), value))))
-    return total + F.coalesce(F.sum(rest), F.lit(0.0))
+    return exact, F.when(exact.isNotNull(), value), rest
+
+
+def _total(exact: Column, plain: Column, rest: Column) -> Column:
+    whole = F.when(plain.isNull(), F.lit(0.0)).otherwise(F.coalesce(exact.cast("double"), plain))
+    return whole + F.coalesce(rest, F.lit(0.0))
+
+
+def amount_parts(col: Column) -> list[Column]:
+    """exact_sum in steps: a group's partial sums as columns, ..."""
+    exact, plain, rest = _parts(col)
+    return [F.try_sum(exact).alias("__exact"), F.sum(plain).alias("__plain"), F.sum(rest).alias("__rest")]
+
+
+def merged_parts() -> list[Column]:
+    """... those of several groups merged (an exact sum that overflowed in one is gone in all), ..."""
+    overflowed = F.count_if(F.col("__plain").isNotNull() & F.col("__exact").isNull())
+    exact = F.when(overflowed == 0, F.try_sum("__exact"))
+    return [exact.alias("__exact"), F.sum("__plain").alias("__plain"), F.sum("__rest").alias("__rest")]
+
+
+def parts_total() -> Column:
+    """... and the sum they stand for."""
+    return _total(F.col("__exact"), F.col("__plain"), F.col("__rest"))

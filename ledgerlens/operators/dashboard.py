@@ -106,32 +106,28 @@ def kpis(fact: DataFrame) -> DataFrame:
     )
 
 
-def categories_tree(fact: DataFrame) -> DataFrame:
-    """H4: L1 / L2 / L3 totals and distinct payment counts per level, from one
-    ``rollup`` (grand total dropped).  Rows: level, l1, l2, l3, id, label,
-    total_amount, payments_count; parent counts are their own distinct counts."""
-    rolled = fact.rollup("l1_category", "l2_category", "l3_category").agg(
-        exact_sum(F.col("amount")).alias("total_amount"),
-        F.countDistinct("payment_id").alias("payments_count"),
-        F.grouping_id().alias("gid"),
-    )
-    rolled = rolled.where(F.col("gid") != 7)
-    level = F.when(F.col("gid") == 3, "l1").when(F.col("gid") == 1, "l2").otherwise("l3")
-    label = F.when(F.col("gid") == 3, F.col("l1_category")).when(F.col("gid") == 1, F.col("l2_category")).otherwise(
+def categories_tree(fact: DataFrame, cube: DataFrame | None = None) -> DataFrame:
+    """H4: L1 / L2 / L3 totals and distinct payment counts per level, each level a
+    grouping of ``cube`` (a written marts.aggregate_cube; by default that of the
+    tree's levels).  Rows: level, l1, l2, l3, id, label, total_amount,
+    payments_count; parent counts are their own distinct counts."""
+    if cube is None:
+        cube = marts.aggregate_cube(fact, TREE_LEVELS)
+    levels = F.create_map(*[x for name, level in TREE_LEVELS.items() for x in (F.lit(name), F.lit(level))])
+    rows = cube.withColumn("level", F.element_at(levels, F.col("grouping"))).where(F.col("level").isNotNull())
+    label = F.when(F.col("level") == "l1", F.col("l1_category")).when(F.col("level") == "l2", F.col("l2_category")).otherwise(
         F.col("l3_category")
     )
-    flat = rolled.select(
-        level.alias("level"),
-        "l1_category",
-        F.when(F.col("gid") <= 1, F.col("l2_category")).alias("l2_category"),
-        F.when(F.col("gid") == 0, F.col("l3_category")).alias("l3_category"),
-        F.coalesce(label.cast("string"), F.lit("")).alias("label"),
-        "total_amount",
-        "payments_count",
-    )
+    flat = rows.select(
+        "level", "l1_category", "l2_category", "l3_category", F.coalesce(label.cast("string"), F.lit("")).alias("label"),
+        "total_amount", "payments_count",
+    )
     return attach_slugs(flat, [("label", "id")])
 
 
+TREE_LEVELS = {"tree_l1": "l1", "tree_l2": "l2", "agg_categories": "l3"}
+
+
 def treemap_paths(tree: DataFrame) -> DataFrame:
     """(id path, parent path, label, value) with 'level:id:label' parts joined by '|'."""
     node = lambda lvl, idc, lab: F.concat(F.lit(lvl + ":"), idc, F.lit(":"), lab)

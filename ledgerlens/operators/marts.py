@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlens import config as cfg
-from ledgerlens.functions.amounts import NUMBER_PATTERN, exact_sum
+from ledgerlens.functions.amounts import NUMBER_PATTERN, amount_parts, exact_sum, merged_parts, parts_total
 from ledgerlens.functions.dates import as_timestamp
 from ledgerlens.functions.ids import payment_id, stable_key_text, with_dense_index
+from ledgerlens.session import written
 from ledgerlens.sources.ingest import ROW_SEQ
 
 HAS_TRANSFORMATIONS = "has_transformations"
@@ -100,11 +102,22 @@ def build_payments_fact(df: DataFrame) -> DataFrame:
 # dimensions
 # --------------------------------------------------------------------------
 
-def _unique_dimension(fact: DataFrame, columns: list[str], key_name: str) -> DataFrame:
+DIMENSIONS = {
+    "dim_vendors": (["vendor_name"], "vendor_id"),
+    "dim_articles": (["article_code", "article_name"], "article_id"),
+    "dim_orgs": (["organization_name"], "organization_id"),
+    "dim_projects": (["project_name"], "project_id"),
+}
+
+
+def _unique_dimension(fact: DataFrame, columns: list[str], key_name: str, stored: DataFrame | None = None) -> DataFrame:
     """Distinct members numbered 1..n in first-seen order (NULL is a member).
 
     First-seen = smallest ``_row_seq``; numbering uses the distributed dense
-    index over the *distinct* members, never a window over the fact.
+    index over the *distinct* members, never a window over the fact.  With a
+    ``stored`` dimension its members keep their numbers, and those it lacks are
+    numbered after its greatest one: loads that only append end with the same
+    table as one load of all.
     """
     if ROW_SEQ in fact.columns:
         members = fact.groupBy(*columns).agg(F.min(ROW_SEQ).alias("__first"))
@@ -112,33 +125,41 @@ def _unique_dimension(fact: DataFrame, columns: list[str], key_name: str) -> Dat
     else:
         members = fact.select(*columns).distinct().withColumn("__first", F.lit(0))
         order = [F.col(c).asc_nulls_first() for c in columns]
-    numbered = with_dense_index(members, key_name, order, start=1)
-    return numbered.select(F.col(key_name).cast("long").alias(key_name), *columns)
+    start = 1
+    if stored is not None:
+        start += stored.agg(F.coalesce(F.max(key_name), F.lit(0))).first()[0]
+        known = stored.select(*[F.col(c).alias(f"__known_{c}") for c in columns])
+        same = [F.col(c).eqNullSafe(F.col(f"__known_{c}")) for c in columns]
+        members = members.join(known, reduce(lambda a, b: a & b, same), "left_anti")
+    numbered = with_dense_index(members, key_name, order, start=start)
+    numbered = numbered.select(F.col(key_name).cast("long").alias(key_name), *columns)
+    return numbered if stored is None else stored.select(*numbered.columns).union(numbered)
+
+
+def build_dimension(fact: DataFrame, name: str, stored: DataFrame | None = None) -> DataFrame:
+    """E4-E7 by table name, from the start or maintained from the ``stored`` one."""
+    columns, key_name = DIMENSIONS[name]
+    return _unique_dimension(fact, columns, key_name, stored)
 
 
 def build_dim_vendors(fact: DataFrame) -> DataFrame:
-    return _unique_dimension(fact, ["vendor_name"], "vendor_id")
+    return build_dimension(fact, "dim_vendors")
 
 
 def build_dim_articles(fact: DataFrame) -> DataFrame:
-    return _unique_dimension(fact, ["article_code", "article_name"], "article_id")
+    return build_dimension(fact, "dim_articles")
 
 
 def build_dim_orgs(fact: DataFrame) -> DataFrame:
-    return _unique_dimension(fact, ["organization_name"], "organization_id")
+    return build_dimension(fact, "dim_orgs")
 
 
 def build_dim_projects(fact: DataFrame) -> DataFrame:
-    return _unique_dimension(fact, ["project_name"], "project_id")
+    return build_dimension(fact, "dim_projects")
 
 
-def build_dimensions(fact: DataFrame) -> dict[str, DataFrame]:
-    return {
-        "dim_vendors": build_dim_vendors(fact),
-        "dim_articles": build_dim_articles(fact),
-        "dim_orgs": build_dim_orgs(fact),
-        "dim_projects": build_dim_projects(fact),
-    }
+def build_dimensions(fact: DataFrame, stored: dict[str, DataFrame] | None = None) -> dict[str, DataFrame]:
+    return {name: build_dimension(fact, name, (stored or {}).get(name)) for name in DIMENSIONS}
 
 
 # --------------------------------------------------------------------------
@@ -163,11 +184,14 @@ def group_amount_and_count(fact: DataFrame, dims: list[str]) -> DataFrame:
     return grouped.orderBy(*[F.col(d).asc_nulls_last() for d in dims])
 
 
+def year_month_label() -> Column:
+    return F.concat(F.col("year").cast("string"), F.lit("-"), F.lpad(F.col("month").cast("string"), 2, "0"))
+
+
 def build_agg_kpi_year_month(fact: DataFrame) -> DataFrame:
     """By (year, month) + 'YYYY-MM' label."""
     grouped = fact.groupBy("year", "month").agg(*amount_and_count())
-    label = F.concat(F.col("year").cast("string"), F.lit("-"), F.lpad(F.col("month").cast("string"), 2, "0"))
-    return grouped.select("year", "month", label.alias("year_month"), "total_amount", "payments_count").orderBy(
+    return grouped.select("year", "month", year_month_label().alias("year_month"), "total_amount", "payments_count").orderBy(
         F.col("year").asc_nulls_last(), F.col("month").asc_nulls_last()
     )
 
@@ -198,16 +222,65 @@ def build_agg_year_compare(fact: DataFrame, years: tuple[int, ...] = cfg.DEFAULT
     return group_amount_and_count(filtered, ["year"])
 
 
+#: Columns of the cube, and the groupings it holds by name (E8-E14 and the levels of the tree).
+CUBE_COLUMNS = [
+    "year", "month", "status_group", "l1_category", "l2_category", "l3_category", "vendor_name", "organization_name", "department_name",
+]
+CUBE_SETS = {
+    "agg_kpi_year_month": ["year", "month"],
+    "agg_status": ["status_group"],
+    "agg_categories": ["l1_category", "l2_category", "l3_category"],
+    "agg_vendors": ["vendor_name"],
+    "agg_orgs": ["organization_name"],
+    "agg_department": ["department_name"],
+    "agg_year": ["year"],
+    "tree_l1": ["l1_category"],
+    "tree_l2": ["l1_category", "l2_category"],
+}
+
+
+def aggregate_cube(fact: DataFrame, names: Iterable[str] = tuple(CUBE_SETS)) -> DataFrame:
+    """(grouping, columns, total_amount, payments_count) of the named groupings of
+    CUBE_SETS, columns outside a grouping NULL, from one scan of the fact.
+
+    Rows of equal payment and columns are summed first (map-side), so a payment
+    repeated in a third of the rows is one row.  What is left is dealt by payment id:
+    then every grouping's payments are distinct within a partition, and the counts
+    of partitions add up.  The groupings are unfolded after that exchange, so ids
+    are not shuffled once per grouping.
+    """
+    sets = {name: CUBE_SETS[name] for name in names}
+    columns = [c for c in CUBE_COLUMNS if any(c in dims for dims in sets.values())]
+    cells = fact.groupBy("payment_id", *columns).agg(*amount_parts(F.col("amount"))).repartition("payment_id")
+    rows = [
+        F.struct(
+            F.lit(name).alias("grouping"),
+            *[(F.col(c) if c in dims else F.lit(None).cast(fact.schema[c].dataType)).alias(c) for c in columns],
+        )
+        for name, dims in sets.items()
+    ]
+    measures = [c for c in cells.columns if c not in columns]
+    unfolded = cells.select(*measures, F.inline(F.array(*rows)))
+    payments = unfolded.groupBy("grouping", *columns, "payment_id").agg(*merged_parts())
+    merged = payments.groupBy("grouping", *columns).agg(*merged_parts(), F.count("payment_id").alias("payments_count"))
+    return merged.select("grouping", *columns, parts_total().alias("total_amount"), "payments_count")
+
+
+def cube_grouping(cube: DataFrame, name: str) -> DataFrame:
+    """One grouping of a cube, ordered by its columns."""
+    dims = CUBE_SETS[name]
+    own = cube.where(F.col("grouping") == name).select(*dims, "total_amount", "payments_count")
+    return own.orderBy(*[F.col(d).asc_nulls_last() for d in dims])
+
+
 def build_aggregations(fact: DataFrame, years: tuple[int, ...] = cfg.DEFAULT_REPORTING_YEARS) -> dict[str, DataFrame]:
-    return {
-        "agg_kpi_year_month": build_agg_kpi_year_month(fact),
-        "agg_status": build_agg_status(fact),
-        "agg_categories": build_agg_categories(fact),
-        "agg_vendors": build_agg_vendors(fact),
-        "agg_orgs": build_agg_orgs(fact),
-        "agg_department": build_agg_department(fact),
-        f"agg_year_compare_{'_'.join(str(y) for y in years)}": build_agg_year_compare(fact, years),
-    }
+    """E8-E14 by table name, all from one written cube."""
+    cube = written(aggregate_cube(fact), "cube")
+    out = {name: cube_grouping(cube, name) for name in RECONCILED}
+    monthly = out["agg_kpi_year_month"]
+    out["agg_kpi_year_month"] = monthly.select("year", "month", year_month_label().alias("year_month"), "total_amount", "payments_count")
+    compared = cube_grouping(cube, "agg_year").where(F.col("year").isin(*[int(y) for y in years]))
+    return out | {f"agg_year_compare_{'_'.join(str(y) for y in years)}": compared}
 
 
 def reconcile_totals(fact: DataFrame, aggregates: dict[str, DataFrame] | None = None) -> DataFrame:
