@@ -32,6 +32,7 @@ from pyspark.sql import functions as F
 from ledgerlens import config as cfg
 from ledgerlens.functions.text import ustrip
 from ledgerlens.session import written
+from ledgerlens.sources.ingest import ROW_SEQ
 
 CLASSIFICATION_OUTPUT_COLUMNS = [
     "l1_category",
@@ -149,6 +150,17 @@ def _features(df: DataFrame) -> dict[str, Column]:
     return features
 
 
+def classification_input(df: DataFrame) -> DataFrame:
+    """The row number and the nine feature columns as texts; NULL or absent -> ''."""
+    return df.select(
+        *([F.col(ROW_SEQ)] if ROW_SEQ in df.columns else []),
+        *[
+            (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")).alias(c)
+            for c in cfg.FEATURE_COLUMNS
+        ],
+    )
+
+
 def sql_str(value: str) -> str:
     """Spark SQL string literal (backslash escapes, control and space chars as \\uXXXX)."""
     out = []

@@ -70,14 +70,7 @@ def q_dataset_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " FROM clean",
 )
 def q_classification_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df = stages.cleaned(spark, sf_dir)
-    return df.select(
-        ROW_SEQ,
-        *[
-            (F.coalesce(F.col(c).cast("string"), F.lit("")) if c in df.columns else F.lit("")).alias(c)
-            for c in cfg.FEATURE_COLUMNS
-        ],
-    )
+    return D.classification_input(stages.cleaned(spark, sf_dir))
 
 
 # ---------------------------------------------------------------- 2.3 cleaning
@@ -978,9 +971,23 @@ def details_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.detail_rows(E.build_payments_fact(AUD.without_raw(staged)))
 
 
-@register("detail_rows", DETAILS_SQL)
+PLAIN_DETAILS_SQL = DETAILS_SQL.replace(
+    f", {HAS_SQL} AS has_transformations FROM fact JOIN ({CHANGED_SQL}) USING (_row_seq)", " FROM fact"
+)
+
+
+@register("detail_rows", PLAIN_DETAILS_SQL)
 def q_h7(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return details_frame(spark, sf_dir)
+    """H7: the detail rows; ``detail_transformed`` has their 32nd column."""
+    return H.detail_rows(stages.fact(spark, sf_dir)).drop("has_transformations")
+
+
+@register(
+    "detail_transformed",
+    f"SELECT 'row_' || CAST(_row_seq AS VARCHAR) AS detail_row_id, {HAS_SQL} AS has_transformations FROM ({CHANGED_SQL})",
+)
+def q_h7_transformed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return details_frame(spark, sf_dir).select("detail_row_id", "has_transformations")
 
 
 @register(
@@ -989,7 +996,7 @@ def q_h7(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"'{p}:' || coalesce(CAST({c} AS VARCHAR), 'None')"
         for p, c in [("year", "year"), ("month", "month"), ("status", "status_group"), ("organization", "organization_id"),
                      ("vendor", "vendor_id"), ("l1", "l1_category_id"), ("l2", "l2_category_id"), ("l3", "l3_category_id")]
-    ) + f"]) AS key, detail_row_id, _row_seq FROM ({DETAILS_SQL}))",
+    ) + f"]) AS key, detail_row_id, _row_seq FROM ({PLAIN_DETAILS_SQL}))",
 )
 def q_h8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return H.detail_row_index(H.detail_rows(stages.fact(spark, sf_dir)))
@@ -1278,3 +1285,6 @@ def q_base_period(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C4: the first existing period column of the cleaned rows."""
     cleaned = stages.cleaned(spark, sf_dir)
     return cleaned.select(ROW_SEQ, C.base_period(cleaned).alias("base_period"))
+
+
+from ledgerlens.plans import catalog_stored  # noqa: E402, F401  (registers the queries of written tables)
