@@ -14,7 +14,7 @@ from ledgerlens import config as cfg
 from ledgerlens.functions.amounts import exact_sum
 from ledgerlens.functions.dates import iso_date_text
 from ledgerlens.functions.formatting import percent1
-from ledgerlens.functions.slug import attach_slugs
+from ledgerlens.functions.slug import attach_label_slugs, attach_slugs
 from ledgerlens.functions.text import ustrip
 from ledgerlens.operators import marts
 from ledgerlens.operators.marts import HAS_TRANSFORMATIONS
@@ -207,7 +207,7 @@ def detail_rows(fact: DataFrame) -> DataFrame:
         "classification_confidence", "matched_rule_id", "matched_keywords", "matched_vendor_pattern",
         "matched_article_pattern", "classification_reason_human", flag.alias(HAS_TRANSFORMATIONS),
     )
-    slugged = attach_slugs(
+    slugged = attach_label_slugs(
         base,
         [
             ("vendor_label", "vendor_id"),
