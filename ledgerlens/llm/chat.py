@@ -5,20 +5,21 @@ Runs of lines of one level, cut at blank lines, are passages; each passage and
 each of its lines is normalised and hashed.  The original of a quoted text is
 the first message of its conversation that wrote it as its own.  A message
 replies to the earlier message whose words its outermost quotes match most,
-else to the turn before it.  Only DataFrame functions run; the links are
+else to the last earlier turn there is.  Only DataFrame functions run; the links are
 equi-joins on (conversation, hash) with one original per key.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import written
 
 _PREFIX = r"^\s?(?:>\s?)+"
 _ATTRIBUTION = r"^(On|Am|Le|El)\b.*(wrote|schrieb.*|écrit|escribió)\s?:$"
-_BREAK = "\x1e"
+#: Turns whose message is looked for together when a message follows the one before.
+TURN_BLOCK = 1024
 
 
 def _parsed(text: Column) -> Column:
@@ -37,31 +38,28 @@ def _normalised(text: Column) -> Column:
 
 
 def _passages() -> Column:
-    """Passages of the parsed lines: (level, text), line feeds inside, by
-    joining lines with a break mark wherever the level changes or a line is blank."""
-    marked = F.transform(
-        "lines",
-        lambda x, i: F.when(F.trim(x["body"]) == "", F.lit(_BREAK))
-        .when((i > 0) & (F.get("lines", i - 1)["level"] != x["level"]), F.concat(F.lit(_BREAK), _tag(x)))
-        .otherwise(_tag(x)),
-    )
-    pieces = F.split(F.array_join(marked, "\n"), _BREAK)
-    return F.filter(
-        F.transform(
-            F.filter(pieces, lambda p: F.trim(F.regexp_replace(p, "\n", " ")) != ""),
-            lambda p: F.struct(
-                F.regexp_extract(p, "\x1f(\\d+)\x1f", 1).cast("int").alias("level"),
-                F.regexp_replace(p, "\x1f\\d+\x1f", "").alias("text"),
-            ),
+    """Passages of the parsed lines as (level, text), line feeds inside: runs of lines of
+    one level, cut at blank lines."""
+    lines = F.col("lines")
+
+    def level(i: Column) -> Column:
+        """The line's level, or NULL if it is blank or there is none."""
+        line = F.get(lines, i)
+        return F.when(F.trim(line["body"]) != "", line["level"])
+
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    starts = F.filter(places, lambda i: level(i).isNotNull() & ~level(i).eqNullSafe(level(i - 1)))
+    ends = F.filter(places, lambda i: level(i).isNotNull() & ~level(i).eqNullSafe(level(i + 1)))
+    return F.zip_with(
+        starts,
+        ends,
+        lambda a, b: F.struct(
+            level(a).alias("level"),
+            F.array_join(F.transform(F.slice(lines, a + 1, b - a + 1), lambda x: x["body"]), "\n").alias("text"),
         ),
-        lambda s: s["level"].isNotNull(),
     )
 
 
-def _tag(line: Column) -> Column:
-    return F.concat(F.lit("\x1f"), line["level"].cast("string"), F.lit("\x1f"), line["body"])
-
-
 def _own(lines: str) -> Column:
     """The message without quotes, the lines that announce them, and outer blank lines."""
     kept = F.filter(
@@ -115,10 +113,9 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     found = linked.groupBy("conv_id", "turn").agg(F.count_distinct("passage").alias("n_linked"))
 
     nodes = parsed.where("conv_id is not null and turn is not null").select("conv_id", "turn").distinct()
-    before = nodes.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("last"))
     tree = written(
-        nodes.join(chosen, ["conv_id", "turn"], "left")
-        .join(before, ["conv_id", "turn"], "left")
+        _with_last(nodes)
+        .join(chosen, ["conv_id", "turn"], "left")
         .select("conv_id", "turn", F.coalesce("quoted", "last").alias("parent")),
         "tree",
     )
@@ -143,6 +140,20 @@ def link_quotations(messages: DataFrame) -> DataFrame:
     )
 
 
+def _with_last(nodes: DataFrame) -> DataFrame:
+    """Distinct (conv_id, turn) with ``last``, the greatest smaller turn of the conversation.
+    Windows run over blocks of TURN_BLOCK turns, and over one row per block for the
+    first message of each, so a conversation of any length is split."""
+    block = F.floor(F.col("turn") / TURN_BLOCK)
+    nodes = nodes.withColumn("block", block)
+    within = Window.partitionBy("conv_id", "block").orderBy("turn")
+    across = Window.partitionBy("conv_id").orderBy("block")
+    ends = nodes.groupBy("conv_id", "block").agg(F.max("turn").alias("end"))
+    ends = ends.select("conv_id", "block", F.lag("end").over(across).alias("before"))
+    placed = nodes.withColumn("near", F.lag("turn").over(within)).join(ends, ["conv_id", "block"])
+    return placed.select("conv_id", "turn", F.coalesce("near", "before").alias("last"))
+
+
 def _places(tree: DataFrame) -> DataFrame:
     """(conv_id, turn, parent) -> (conv_id, turn, root, depth) by pointer doubling:
     every round doubles how far up a message looks, and messages that see a
@@ -178,43 +189,64 @@ def in_reply_order(linked: DataFrame) -> DataFrame:
     return linked.orderBy("conv_id", "root_turn", "turn")
 
 
-# Quote-free statement of the same result: oracle for texts that hold no quote marks.
 ORACLE = r"""
-WITH RECURSIVE m AS (
-  SELECT conv_id, turn, coalesce(role, 'unknown') AS role,
-         regexp_replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), '^\s+|\s+$', '', 'g') AS content
-  FROM conversations
+WITH RECURSIVE src AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, conv_id, turn, coalesce(role, 'unknown') AS role,
+    string_split_regex(coalesce(text, ''), '\r?\n') AS l FROM conversations
+),
+cut AS (SELECT r, conv_id, turn, unnest(l) AS line, generate_subscripts(l, 1) AS i FROM src),
+lines AS MATERIALIZED (
+  SELECT r, conv_id, turn, i,
+    length(replace(replace(regexp_extract(line, '^[\t-\r ]?(?:>[\t-\r ]?)+'), ' ', ''), chr(9), '')) AS level,
+    regexp_replace(line, '^[\t-\r ]?(?:>[\t-\r ]?)+', '') AS body FROM cut
+),
+own AS (
+  SELECT r, regexp_replace(coalesce(string_agg(body, chr(10) ORDER BY i) FILTER (WHERE level = 0 AND NOT (announces AND coalesce(next > 0, false))), ''),
+    '^[\t-\r ]+|[\t-\r ]+$', '', 'g') AS content
+  FROM (SELECT *, lead(level) OVER (PARTITION BY r ORDER BY i) AS next,
+    regexp_matches(trim(body, ' '), '^(On|Am|Le|El)\b.*(wrote|schrieb.*|écrit|escribió)[\t-\r ]?:$') AS announces FROM lines) GROUP BY r
+),
+marked AS (
+  SELECT *, CASE WHEN shown IS NOT NULL AND shown IS DISTINCT FROM lag(shown) OVER (PARTITION BY r ORDER BY i) THEN 1 ELSE 0 END AS starts
+  FROM (SELECT *, CASE WHEN trim(body, ' ') <> '' THEN level END AS shown FROM lines)
+),
+passages AS MATERIALIZED (
+  SELECT r, conv_id, turn, passage, any_value(level) AS level, list(body ORDER BY i) AS bodies
+  FROM (SELECT *, sum(starts) OVER (PARTITION BY r ORDER BY i) AS passage FROM marked) WHERE shown IS NOT NULL
+  GROUP BY r, conv_id, turn, passage
 ),
-lines AS (SELECT conv_id, turn, unnest(string_split_regex(coalesce(text, ''), '\r?\n')) AS line FROM conversations),
-units AS (
-  SELECT conv_id, turn,
-         length(replace(replace(regexp_extract(line, '^\s?(?:>\s?)+'), ' ', ''), chr(9), '')) AS level,
-         trim(regexp_replace(lower(regexp_replace(line, '^\s?(?:>\s?)+', '')), '\s+', ' ', 'g')) AS t
-  FROM lines
+units AS MATERIALIZED (
+  SELECT DISTINCT r, conv_id, turn, passage, level, t FROM (
+    SELECT r, conv_id, turn, passage, level, trim(regexp_replace(lower(x), '[\t-\r ]+', ' ', 'g'), ' ') AS t FROM (
+      SELECT *, unnest(list_append(bodies, array_to_string(bodies, chr(10)))) AS x FROM passages
+      WHERE conv_id IS NOT NULL AND turn IS NOT NULL)) WHERE t <> ''
 ),
-originals AS (SELECT conv_id, t, min(turn) AS original FROM units WHERE level = 0 AND t <> '' GROUP BY ALL),
-votes AS (
-  SELECT u.conv_id, u.turn, u.level, o.original, sum(length(u.t)) AS votes
-  FROM units u JOIN originals o ON u.conv_id = o.conv_id AND u.t = o.t
-  WHERE u.level > 0 AND o.original < u.turn GROUP BY ALL
+originals AS (SELECT conv_id, t, min(turn) AS original FROM units WHERE level = 0 GROUP BY ALL),
+linked AS MATERIALIZED (
+  SELECT u.*, o.original FROM units u JOIN originals o ON u.conv_id = o.conv_id AND u.t = o.t WHERE u.level > 0 AND o.original < u.turn
 ),
+found AS (SELECT conv_id, turn, count(DISTINCT passage) AS n_linked FROM linked GROUP BY ALL),
 chosen AS (
-  SELECT conv_id, turn, arg_max(original, (-level, votes, original)) AS quoted FROM votes GROUP BY ALL
+  SELECT conv_id, turn, arg_max(original, (-level, votes, original)) AS quoted FROM (
+    SELECT conv_id, turn, level, original, sum(length(t)) AS votes FROM linked GROUP BY ALL) GROUP BY ALL
 ),
-nodes AS (SELECT DISTINCT conv_id, turn FROM m WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
-tree AS (
-  SELECT n.conv_id, n.turn, coalesce(c.quoted, b.turn) AS parent
-  FROM nodes n LEFT JOIN chosen c ON n.conv_id = c.conv_id AND n.turn = c.turn
-  LEFT JOIN nodes b ON b.conv_id = n.conv_id AND b.turn = n.turn - 1
+quoted AS (SELECT r, count(*) FILTER (WHERE level > 0) AS n_quoted FROM passages GROUP BY r),
+nodes AS (SELECT DISTINCT conv_id, turn FROM src WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+tree AS MATERIALIZED (
+  SELECT n.conv_id, n.turn, coalesce(c.quoted, n.last) AS parent
+  FROM (SELECT *, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS last FROM nodes) n
+  LEFT JOIN chosen c ON n.conv_id = c.conv_id AND n.turn = c.turn
 ),
 places AS (
   SELECT conv_id, turn, turn AS root, 0 AS depth FROM tree WHERE parent IS NULL
   UNION ALL
   SELECT t.conv_id, t.turn, p.root, p.depth + 1 FROM places p JOIN tree t ON t.conv_id = p.conv_id AND t.parent = p.turn
 )
-SELECT m.conv_id, m.turn, m.role, m.content, CAST(0 AS BIGINT) AS n_quoted, CAST(0 AS BIGINT) AS n_linked,
+SELECT m.conv_id, m.turn, m.role, o.content, CAST(coalesce(q.n_quoted, 0) AS BIGINT) AS n_quoted, CAST(coalesce(f.n_linked, 0) AS BIGINT) AS n_linked,
        t.parent AS parent_turn, coalesce(p.root, m.turn) AS root_turn, CAST(coalesce(p.depth, 0) AS BIGINT) AS depth,
-       '<|' || m.role || '|>' || chr(10) || m.content || chr(10) || '<|end|>' || chr(10) AS chat
-FROM m LEFT JOIN tree t ON t.conv_id = m.conv_id AND t.turn = m.turn
+       '<|' || m.role || '|>' || chr(10) || o.content || chr(10) || '<|end|>' || chr(10) AS chat
+FROM src m JOIN own o USING (r) LEFT JOIN quoted q USING (r)
+LEFT JOIN found f ON f.conv_id = m.conv_id AND f.turn = m.turn
+LEFT JOIN tree t ON t.conv_id = m.conv_id AND t.turn = m.turn
 LEFT JOIN places p ON p.conv_id = m.conv_id AND p.turn = m.turn
 """

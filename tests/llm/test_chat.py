@@ -1,3 +1,9 @@
+import random
+
+import duckdb
+import pytest
+
+from ledgerlens.llm import chat
 from ledgerlens.llm.chat import in_reply_order, link_quotations
 
 SCHEMA = "conv_id long, turn long, role string, text string"
@@ -38,3 +44,95 @@ def test_odd_rows(spark):
     assert sorted(r["role"] for r in out) == ["unknown", "user", "user", "user", "user", "user"]
     assert {(r["conv_id"], r["turn"]): r["parent_turn"] for r in out if r["turn"]} == {(None, 3): None, (3, 1): 0}
     assert link_quotations(spark.createDataFrame([], SCHEMA)).count() == 0
+
+
+def plain_threads(rows):
+    """{(conv, turn): (content, n_quoted, n_linked, parent)} line by line, for distinct turns."""
+    def squeeze(t):
+        return " ".join(t.lower().split(" ")).strip(" ")
+
+    def parse(text):
+        lines, passages, run = [], [], None
+        for line in text.split("\n"):
+            level, rest = 0, line
+            probe = rest[1:] if rest[:1] == " " else rest
+            while probe[:1] == ">":
+                level, rest = level + 1, probe[1:]
+                rest = rest[1:] if rest[:1] == " " else rest
+                probe = rest
+            lines.append((level, rest))
+            if not rest.strip(" "):
+                run = None
+            elif run is not None and run[0] == level:
+                run[1].append(rest)
+            else:
+                run = (level, [rest])
+                passages.append(run)
+        return lines, passages
+
+    def units(passage):
+        return {u for u in (squeeze(x) for x in [" ".join(passage), *passage]) if u}
+
+    out, own, turns = {}, {}, {}
+    for conv, turn, _, text in sorted(rows, key=lambda r: r[:2]):
+        lines, passages = parse(text)
+        links, votes = 0, {}
+        for level, passage in passages:
+            if level:
+                hits = [(u, own[conv, u]) for u in units(passage) if own.get((conv, u), turn) < turn]
+                links += bool(hits)
+                for u, original in hits:
+                    votes[-level, original] = votes.get((-level, original), 0) + len(u)
+        best = max(((key[0], n, key[1]) for key, n in votes.items()), default=None)
+        parent = best[2] if best else turns.get(conv)
+        content = "\n".join(x for level, x in lines if level == 0).strip(" \t\n\x0b\x0c\r")
+        out[conv, turn] = (content, sum(level > 0 for level, _ in passages), links, parent)
+        turns[conv] = turn
+        for level, passage in passages:
+            if not level:
+                for u in units(passage):
+                    own.setdefault((conv, u), turn)
+    return out
+
+
+def planted_threads(seed):
+    rng = random.Random(seed)
+    words = ["sort", "list", "why", "index\x1epart", "\x1f3\x1f", "hash", "join", "spill"]
+    rows = []
+    for conv in range(6):
+        said, turn = [], 0
+        for _ in range(25):
+            lines = []
+            for _ in range(rng.randrange(3)):
+                if said:
+                    quoted, level = rng.choice(said), rng.randrange(1, 4)
+                    mark = rng.choice(["> ", ">"]) * level
+                    lines += [mark + x for x in quoted] + [""] * rng.randrange(2)
+            fresh = [" ".join(rng.choice(words) for _ in range(4)) for _ in range(rng.randrange(1, 3))]
+            lines += fresh + rng.choice([[], ["> nobody said this " + str(rng.random())]])
+            rows.append((conv, turn, "user", "\n".join(lines)))
+            said.append([x.upper() if rng.random() < 0.3 else x for x in fresh])
+            turn += rng.choice([1, 1, 1, 2, 5, 3000])
+    return rows
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_planted_nested_quotes_and_gaps(spark, seed):
+    """Levels, separators in texts and gaps in the turns, against the plain version and the SQL."""
+    rows = planted_threads(seed)
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = link_quotations(df)
+    want = plain_threads(rows)
+    found = {(r["conv_id"], r["turn"]): (r["content"], r["n_quoted"], r["n_linked"], r["parent_turn"]) for r in got.collect()}
+    assert found == want
+    assert sum(x[2] for x in want.values()) > 50 and sum(x[1] > x[2] for x in want.values()) > 5
+    con = duckdb.connect()
+    con.register("conversations", df.toPandas())
+    sql = con.sql(chat.ORACLE)
+    assert sorted(map(tuple, got.select(*sql.columns).collect())) == sorted(sql.fetchall())
+
+
+def test_turn_gaps_follow_the_last_earlier_turn(spark):
+    rows = [(1, t, "user", f"m{t}") for t in (0, 1, 3, 7, 5000, 100_000)]
+    out = {r["turn"]: r["parent_turn"] for r in link_quotations(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert out == {0: None, 1: 0, 3: 1, 7: 3, 5000: 7, 100_000: 5000}
