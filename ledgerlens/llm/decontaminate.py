@@ -163,13 +163,12 @@ def decontaminated(docs: DataFrame, benchmark: DataFrame, rate: float = ERROR_RA
     return docs
 
 
-_built: dict[tuple[int, float], Matcher] = {}
+_built: list[tuple[object, float, Matcher]] = []
 
 
 def _matcher(shared: object, rate: float) -> Matcher:
-    """The matcher of a broadcast block, built once per worker process."""
-    key = (id(shared.value), rate)
-    if key not in _built:
-        _built.clear()
-        _built[key] = Matcher(shared.value, rate)
-    return _built[key]
+    """The matcher of a broadcast block, built once per worker process; the block is
+    kept beside it, so that no other one can take its place in memory."""
+    if not (_built and _built[0][0] is shared.value and _built[0][1] == rate):
+        _built[:] = [(shared.value, rate, Matcher(shared.value, rate))]
+    return _built[0][2]

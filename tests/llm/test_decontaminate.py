@@ -73,3 +73,22 @@ def test_odd_rows(spark, odd_documents, no_documents):
     nothing = spark.createDataFrame([], BENCH)
     assert benchmark_hits(odd_documents, nothing).count() == 0
     assert decontaminated(odd_documents, nothing).count() == odd_documents.count()
+
+
+def test_two_benchmarks_in_one_session(spark):
+    docs = spark.createDataFrame([(i, f"noise {'abcdefgh'[i] * 3} words of item number {i} stand here " * 3) for i in range(8)], "doc_id long, text string")
+    for i in range(8):
+        bench = spark.createDataFrame([(i, f"{'abcdefgh'[i] * 3} words of item number {i} stand here")], BENCH)
+        assert i not in {r["doc_id"] for r in decontaminated(docs, bench).collect()}
+
+
+def test_cached_matcher_follows_its_block():
+    from ledgerlens.llm.decontaminate import _matcher
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    for i in range(20):  # earlier blocks are freed, so addresses may come again
+        text = f"block number {i} has a text of its own"
+        assert _matcher(Shared([(i, text)]), 0.1).items[0][0] == i
