@@ -13,8 +13,11 @@ import re
 from dataclasses import dataclass, field
 
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.DOTALL
+    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|[^<]+|<", re.DOTALL
 )
+#: After the first tag whose quotes never close, quotes hide no tag's end any more.
+_UNQUOTED_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|</?([a-zA-Z][^\s/>]*+)([^>]*+)>|[^<]+|<", re.DOTALL)
+_TAG_START = re.compile(r"</?[a-zA-Z]")
 _ATTRIBUTE = re.compile(r"\b(class|id|role|style)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.IGNORECASE)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 #: Levels of the aligned tree; a path's outermost article or main element has one more.
@@ -43,6 +46,12 @@ BOILERPLATE_NAMES = frozenset(
     " replies respond widget toolbar skip copyright hidden".split()
 )
 HEADER_NAMES = frozenset({"header"})
+# Words beside which a role word still names a role: "comment-list", "related-links".
+PARTS = frozenset(
+    "area bar block body box button buttons card container content count form group header icon icons inner inline item items"
+    " label left link links list main message meta news outer panel post posts reader right row section side site slot text"
+    " thread title top bottom unit user wrap wrapper".split()
+)
 ARTICLE = frozenset({"article", "main"})
 
 
@@ -65,8 +74,12 @@ class Block:
     text: str
 
 
-def _named(attributes: str) -> tuple[set[str], str]:
-    """Words of class, id and role, and the first class word (for the label)."""
+def _named(attributes: str, article: bool) -> tuple[set[str], str]:
+    """Words that name an element's role, and the first class word (for the label).
+
+    Outside articles these are all words of class, id and role.  Inside one, where
+    headings and sections have ids of their own, a name counts only if each of its
+    words names a role or a part (PARTS)."""
     names: set[str] = set()
     first = ""
     for key, value in _ATTRIBUTE.findall(attributes):
@@ -76,7 +89,12 @@ def _named(attributes: str) -> tuple[set[str], str]:
                 names.add("hidden")
             continue
         found = [w.lower() for w in _NAME.findall(value)]
-        names.update(found)
+        if article:
+            for name in value.split():
+                own = {w.lower() for w in _NAME.findall(name)}
+                names.update(own if own <= BOILERPLATE_NAMES | PARTS else ())
+        else:
+            names.update(found)
         if key.lower() == "class" and found:
             first = found[0]
     if re.search(r"\shidden(\s|=|/|\Z)", attributes, re.IGNORECASE):
@@ -122,8 +140,16 @@ def parse(page: str) -> tuple[Node, list[Block]]:
             cut(k)
 
     at, end = 0, len(page)
+    token, last_end = _TOKEN, page.rfind(">")
     while at < end:
-        m = _TOKEN.match(page, at)
+        if at > last_end:  # no tag ends here any more: what is left is text, up to a comment
+            rest = page[at:].split("<!--", 1)[0]
+            pending.append(html.unescape(rest) if "&" in rest else rest)
+            break
+        m = token.match(page, at)
+        if m[0] == "<" and _TAG_START.match(page, at):
+            token = _UNQUOTED_TOKEN
+            m = token.match(page, at)
         at = m.end()
         name = m[1]
         if name is None:
@@ -154,8 +180,8 @@ def parse(page: str) -> tuple[Node, list[Block]]:
         if tag in CLOSES:
             close(CLOSES[tag])
         above = stack[-1]
-        names, first = _named(m[2]) if m[2].strip() else (set(), "")
         article = above.article or tag in ARTICLE
+        names, first = _named(m[2], above.article) if m[2].strip() else (set(), "")
         bad = tag in BOILERPLATE_TAGS or (tag not in ARTICLE and bool(names & BOILERPLATE_NAMES))
         bad = bad or (tag in ARTICLE and bool(names & {"comment", "related", "ad", "sponsored"}))
         bad = bad or (not article and (tag == "header" or bool(names & HEADER_NAMES)))

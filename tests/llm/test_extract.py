@@ -96,3 +96,28 @@ def test_a_text_repeated_on_one_page_is_no_template(spark):
     got = texts(spark, rows)
     assert got[7] == "\n".join(["Story 7 told once", "End 7", *["Yes"] * 6])
     assert got[3] == "Story 3 told once\nEnd 3"
+
+
+def test_odd_quotes_take_linear_time():
+    import time
+
+    from ledgerlens.llm.dom import parse
+
+    for page in ('<a "' * 250_000, "<a <b" * 200_000, "<!" * 500_000, '<p x="' * 150_000 + ">", "<p>kept</p>" + "<b '" * 250_000):
+        start = time.perf_counter()
+        parse(page)
+        assert time.perf_counter() - start < 4
+    _, blocks = parse("<article><p title='x>one</p><p>two \" three</p></article>")
+    assert "three" in " ".join(b.text for b in blocks)
+
+
+def test_ids_and_compound_classes_inside_an_article_keep_their_text():
+    from ledgerlens.llm.dom import parse
+
+    page = (
+        '<article><h2 id="Social_structure">Social structure</h2><p class="notice-period">A notice period.</p>'
+        '<section id="search-methods"><p>Searching.</p></section><div class="related-links">gone</div>'
+        '<div class="comment-list"><p>gone</p></div><div class="newsletter-signup">gone</div></article>'
+    )
+    kept = [b.text for b in parse(page)[1] if not b.node.boilerplate]
+    assert kept == ["Social structure", "A notice period.", "Searching."]
