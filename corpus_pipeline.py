@@ -44,14 +44,18 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate group (five-word shingles, 0.8): the
-    one with the smallest id.  Of rows that repeat an id one stays, rows
-    without an id all do."""
+    one with the smallest id.  Of rows that repeat an id the least stays (by the
+    JSON of the row, the same one whenever it runs), rows without an id all do."""
     surplus = near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__id")).distinct()
     kept = docs.join(written(surplus, "surplus"), docs["doc_id"] == F.col("__id"), "left_anti")
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where(F.col("count") > 1)
+    counts = docs.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+    repeated = written(counts.where("n > 1").select(F.col("doc_id").alias("__id")), "repeated")
     if repeated.isEmpty():
         return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).union(kept.where("doc_id is null"))
+    row = F.struct(*docs.columns)
+    again = kept.join(repeated, kept["doc_id"] == F.col("__id"), "left_semi")
+    least = again.groupBy("doc_id").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return kept.join(repeated, kept["doc_id"] == F.col("__id"), "left_anti").union(least)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
