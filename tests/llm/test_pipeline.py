@@ -33,3 +33,16 @@ def test_odd_rows_go_through(spark, odd_documents, no_documents):
     assert counts["near_dedup"] == odd_documents.count() - 2  # a copy, and a repeated id
     for name, _, after in stages(spark, no_documents, SMALL):
         assert after.count() == 0
+
+
+def test_of_a_repeated_id_the_same_row_stays(spark):
+    long = "alpha beta gamma delta epsilon zeta eta theta iota kappa "
+    rows = [(1, f"{long} {i % 5} of {i % 7} texts", "en", f"s{i % 3}", 1) for i in range(60)] + [(2, "other text", "en", "s", 1)] * 2
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    kept = set()
+    for parts in (1, 3, 7):
+        docs = spark.createDataFrame(rows, schema).repartition(parts)
+        out = corpus_pipeline.near_dedup(spark, docs, "").collect()
+        assert sorted(r["doc_id"] for r in out) == [1, 2]
+        kept.add(tuple(sorted(map(tuple, out))))
+    assert len(kept) == 1
