@@ -7,6 +7,7 @@ whole texts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterable, Iterator
 from contextlib import contextmanager
 
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerlens.session import broadcast_if_small, written  # noqa: F401  (used from here by the operators)
+from ledgerlens.session import broadcast_if_small, shared_dir, written  # noqa: F401  (used from here by the operators)
 
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_GAP = r"[\x20\x09-\x0D]+"
@@ -38,6 +39,15 @@ def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """``df`` written to the shared folder in hash buckets of ``key``, sorted:
+    a join on it reads them as they lie and moves only the other side."""
+    spark, unique = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    files = df.repartition(buckets, key).write.bucketBy(buckets, key).sortBy(key)
+    files.option("path", f"{shared_dir(spark).rstrip('/')}/tables/{unique}").saveAsTable(unique)
+    return spark.table(unique)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,11 +7,12 @@ sorted by (tree, key).  Candidates are neighbours in an order whose longest
 common prefix reaches the base depth.  The nearest neighbours are tried first
 and their links contracted; in a crowded region (rows with a common base
 prefix) these share longer prefixes, so the depth adapts to each region.
-Regions that still hold several components are then searched whole: small ones
-pair by pair behind a size and signature test, large ones in slices, the rows
-outside the region's largest component against all its rows.  So every pair of
-one region is in one component or was compared.  All links are confirmed on
-full shingle sets.
+Regions that still hold several components are then searched whole, many small
+ones in a task, large ones in slices: the rows outside the region's largest
+component against all its rows.  So every pair of one region is in one
+component or was compared.  All links are confirmed on full shingle sets, which
+are written once in hash buckets of the id, so that joins move only the pairs
+to them.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlens.llm.common import NO_ID, arrow_rows, as_bytes, chunks, id_and_bytes, id_back, mixed, shingle_sets, written
+from ledgerlens.llm.common import NO_ID, arrow_rows, as_bytes, bucketed, chunks, id_and_bytes, id_back, mixed, shingle_sets, written
 from ledgerlens.llm.graph import connected_components
 
 TREES = 20
@@ -33,6 +34,9 @@ KEY_DEPTH = 12
 BLOCK = 8192
 SMALL_REGION = 32
 SLICE_SHINGLES = 1_000_000
+#: Shingles of a bucket of the table of sets, and the most buckets (larger tables: larger buckets).
+BUCKET_SHINGLES = 1_000_000
+MOST_BUCKETS = 50_000
 BATCH_ROWS = 500
 _VALUES = TREES * BASE_DEPTH
 _rng = np.random.default_rng(811)
@@ -102,37 +106,24 @@ def _adjacent(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.loc[own & member, ["pos", "tree", "key", "id", "n", "next_id", "next_n"]]
 
 
-def _window_pairs(percent: int, frame: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of one block less than SMALL_REGION rows apart that share the base
-    prefix, lie in different components and can be similar by size and, within
-    four standard deviations, by signature."""
-    frame = frame.sort_values("pos").reset_index(drop=True)
-    tree, ids = frame["tree"].to_numpy(), frame["id"].to_numpy()
-    n, group = frame["n"].to_numpy(), frame["component"].to_numpy()
-    own = (frame["pos"] // BLOCK == frame["block"]).to_numpy()
-    signature = np.frombuffer(b"".join(frame["signature"]), ">u2").reshape(len(frame), _VALUES)
-    prefix = np.frombuffer(b"".join(frame["prefix"]), ">u2").reshape(len(frame), BASE_DEPTH)
-    region = np.concatenate(([0], np.cumsum((prefix[1:] != prefix[:-1]).any(axis=1) | (tree[1:] != tree[:-1]))))
-    share = percent / 100
-    least = _VALUES * share - 4 * np.sqrt(_VALUES * share * (1 - share))
-    found = [np.empty((0, 2), np.int64)]
-    for step in range(1, min(SMALL_REGION, len(frame))):
-        a, b = slice(None, -step), slice(step, None)
-        take = (region[a] == region[b]) & (group[a] != group[b]) & own[a]
-        take &= 100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b])
-        take = np.flatnonzero(take)
-        take = take[(signature[take] == signature[take + step]).sum(axis=1) >= least]
-        found.append(np.stack([ids[take], ids[take + step]], axis=1))
-    pairs = np.unique(np.sort(np.concatenate(found), axis=1), axis=0)
-    return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
-
-
-def _slice_links(percent: int, frame: pd.DataFrame) -> pd.DataFrame:
-    """Links between a slice's probes and rows that join its components: each
-    link unites two that no earlier one did."""
-    probe = frame["probe"].to_numpy(bool)
-    rows, probes = frame[~probe].reset_index(drop=True), frame[probe]
-    sets = [np.frombuffer(x, np.uint64) for x in rows["shingles"]]
+def _near_rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Rows of the order that may share the base prefix with a neighbour: those
+    that do with the row before or behind in their batch, and those whose
+    neighbour is not in it."""
+    for frame in frames:
+        if len(frame) > 1:
+            pos = frame["pos"].to_numpy()
+            shared = _depths(list(frame["key"]), frame["tree"].to_numpy(), 1) >= BASE_DEPTH
+            shared |= np.diff(pos) != 1
+            frame = frame[np.concatenate(([True], shared)) | np.concatenate((shared, [True]))]
+        yield frame
+
+
+def _uniting_links(
+    percent: int, probes: tuple[np.ndarray, ...], rows: tuple[np.ndarray, ...]
+) -> list[tuple[int, int]]:
+    """Links between probes and rows, both (ids, components, sets as bytes), that
+    join their components: each link unites two that no earlier one did."""
     links: list[tuple[int, int]] = []
     joined: dict[int, int] = {}
 
@@ -141,24 +132,50 @@ def _slice_links(percent: int, frame: pd.DataFrame) -> pd.DataFrame:
             component = joined[component]
         return component
 
-    if sets:
-        sizes = np.array([len(x) for x in sets])
-        starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
-        known, flat = np.unique(np.concatenate(sets), return_inverse=True)
-        ids, group = rows["id"].to_numpy(), rows["component"].to_numpy()
-        for number, component, raw in zip(probes["id"], probes["component"], probes["shingles"], strict=True):
-            own = np.frombuffer(raw, np.uint64)
-            at = np.minimum(np.searchsorted(known, own), len(known) - 1)
-            flag = np.zeros(len(known), np.int64)
-            flag[at[known[at] == own]] = 1
-            common = np.add.reduceat(flag[flat], starts)
-            near = (100 * common >= percent * (len(own) + sizes - common)) & (group != component)
-            near = np.flatnonzero(near)
-            for i in near[np.unique(group[near], return_index=True)[1]]:
-                a, b = root(int(component)), root(int(group[i]))
-                if a != b:
-                    joined[max(a, b)] = min(a, b)
-                    links.append((int(number), int(ids[i])))
+    ids, group, raw_sets = rows
+    if not len(ids):
+        return links
+    sets = [np.frombuffer(x, np.uint64) for x in raw_sets]
+    sizes = np.array([len(x) for x in sets])
+    starts = np.concatenate(([0], np.cumsum(sizes)[:-1]))
+    known, flat = np.unique(np.concatenate(sets), return_inverse=True)
+    for number, component, raw in zip(*probes, strict=True):
+        own = np.frombuffer(raw, np.uint64)
+        at = np.minimum(np.searchsorted(known, own), len(known) - 1)
+        flag = np.zeros(len(known), np.int64)
+        flag[at[known[at] == own]] = 1
+        common = np.add.reduceat(flag[flat], starts)
+        near = (100 * common >= percent * (len(own) + sizes - common)) & (group != component)
+        near = np.flatnonzero(near)
+        for i in near[np.unique(group[near], return_index=True)[1]]:
+            a, b = root(int(component)), root(int(group[i]))
+            if a != b:
+                joined[max(a, b)] = min(a, b)
+                links.append((int(number), int(ids[i])))
+    return links
+
+
+def _columns(frame: pd.DataFrame, taken: np.ndarray | slice) -> tuple[np.ndarray, ...]:
+    return tuple(frame[c].to_numpy()[taken] for c in ("id", "component", "shingles"))
+
+
+def _slice_links(percent: int, frame: pd.DataFrame) -> pd.DataFrame:
+    """Links between a slice's probes and its rows."""
+    probe = frame["probe"].to_numpy(bool)
+    links = _uniting_links(percent, _columns(frame, probe), _columns(frame, ~probe))
+    return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
+
+
+def _region_links(percent: int, frame: pd.DataFrame) -> pd.DataFrame:
+    """Links of whole regions: the rows outside a region's largest component
+    against all its rows."""
+    frame = frame.sort_values(["tree", "prefix"], ignore_index=True)
+    minor, rows = frame["minor"].to_numpy(bool), _columns(frame, slice(None))
+    first = np.flatnonzero(~frame.duplicated(["tree", "prefix"]).to_numpy())
+    links: list[tuple[int, int]] = []
+    for start, stop in zip(first, [*first[1:], len(frame)], strict=True):
+        region = [column[start:stop] for column in rows]
+        links += _uniting_links(percent, [column[minor[start:stop]] for column in region], region)
     return pd.DataFrame(links, columns=["a", "b"], dtype=np.int64)
 
 
@@ -172,14 +189,14 @@ def _confirm(percent: int, frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFr
         yield frame.loc[np.array(kept, bool), ["a", "b"]]
 
 
-def _in_blocks(rows: DataFrame, size: int, reach: int) -> DataFrame:
-    """Rows by position block, with the first ``reach`` rows of a block also in
-    the block before and the last row also in the one behind."""
+def _in_blocks(rows: DataFrame, size: int) -> DataFrame:
+    """Rows by position block, with the first row of a block also in the block
+    before and the last row also in the one behind."""
     block = F.floor(F.col("pos") / size)
     offset = F.pmod("pos", F.lit(size))
     copies = F.array(
         block,
-        F.when((offset < reach) & (block > 0), block - 1),
+        F.when((offset == 0) & (block > 0), block - 1),
         F.when(offset == size - 1, block + 1),
     )
     return rows.withColumn("block", F.explode(F.array_compact(copies)))
@@ -218,13 +235,14 @@ def _ordered(signed: DataFrame) -> DataFrame:
 def _links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> DataFrame:
     """Confirmed links between representatives that connect every group."""
 
-    def window_pairs(frame: pd.DataFrame) -> pd.DataFrame:
-        return _window_pairs(percent, frame)
+    def region_links(frame: pd.DataFrame) -> pd.DataFrame:
+        return _region_links(percent, frame)
 
     def slice_links(frame: pd.DataFrame) -> pd.DataFrame:
         return _slice_links(percent, frame)
 
-    blocks = _in_blocks(_ordered(signed), BLOCK, 1)
+    near_rows = _ordered(signed).mapInPandas(_near_rows, "pos long, tree int, key binary, id long, n long")
+    blocks = _in_blocks(near_rows, BLOCK)
     members = written(
         blocks.groupBy("block").applyInPandas(
             _adjacent, "pos long, tree int, key binary, id long, n long, next_id long, next_n long"
@@ -244,12 +262,14 @@ def _links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> Data
     best = ends.groupBy("id").agg(F.max("p").alias("p")).select("p.a", "p.b").distinct()
     best = written(best, "best")
 
-    wanted = members.select("id").distinct()
+    wanted = written(members.select("id", "n").distinct(), "wanted")
+    shingles = wanted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    wanted = wanted.select("id")
     texts = id_and_bytes(docs)
     sets = texts.join(wanted, texts["doc_id"] == wanted["id"], "left_semi").mapInPandas(
         partial(_set_rows, width), "id long, shingles binary"
     )
-    sets = written(sets, "sets")
+    sets = bucketed(sets, "sets", "id", min(MOST_BUCKETS, 1 + shingles // BUCKET_SHINGLES))
 
     def confirmed(pairs: DataFrame) -> DataFrame:
         left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
@@ -277,17 +297,19 @@ def _links(docs: DataFrame, signed: DataFrame, width: int, percent: int) -> Data
         .where("components > 1")
     )
     regions = written(regions, "regions")
-    small = rows.join(regions.where(F.col("rows") <= SMALL_REGION).select(*same), same, "left_semi")
-    small = small.join(signed.select("id", "signature"), "id")
-    blocks = _in_blocks(small, BLOCK, SMALL_REGION)
-    pairs = blocks.groupBy("block").applyInPandas(window_pairs, "a long, b long").distinct()
-    links = _stars(groups).union(confirmed(pairs))
+    minor = (F.col("component") != F.col("main.component")).alias("minor")
+    small = rows.join(regions.where(F.col("rows") <= SMALL_REGION), same).select(*same, "id", "n", "component", minor)
+    small = written(small, "small")
+    tasks = 1 + small.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] // SLICE_SHINGLES
+    dealt = small.drop("n").withColumn("task", F.pmod(F.xxhash64(*same), F.lit(tasks)))
+    links = dealt.join(sets, "id").groupBy("task").applyInPandas(region_links, "a long, b long")
+    links = _stars(groups).union(written(links.distinct(), "links"))
 
     per_slice = F.greatest(F.floor(SLICE_SHINGLES / F.col("widest")), F.lit(16))
     slices, probe_slices = F.ceil(F.col("rows") / per_slice), F.ceil((F.col("rows") - F.col("main.size")) / per_slice)
     large = rows.join(regions.where(F.col("rows") > SMALL_REGION), same)
     large = large.select(
-        *same, "pos", "start", "id", "component", (F.col("component") != F.col("main.component")).alias("minor"),
+        *same, "pos", "start", "id", "component", minor,
         per_slice.alias("per_slice"), slices.alias("slices"), probe_slices.alias("probe_slices"),
     )
     plain = large.withColumn("s", F.floor((F.col("pos") - F.col("start")) / F.col("per_slice"))).withColumn(
