@@ -55,6 +55,10 @@ class ToxicityModel:
         best = (np.arange(len(hashes)), weight.argmax(axis=1))
         return np.where(weight[best] > 0, self.scores[at][best], 0.0) - WORD_COST
 
+    def least_word(self) -> float:
+        """The smallest positive score of a word."""
+        return float(min(self.scores[self.scores > WORD_COST] - WORD_COST, default=1.0))
+
     def evidence(self, segments: list[tuple[int, int, float]], n: int) -> float:
         """Summed excess significance of a text's segments, in nats."""
         return sum(max(0.0, self.decay * s - np.log(self.scale * max(n, 1))) for _, _, s in segments)
@@ -218,45 +222,54 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, usable: Column, per_class:
         "model int, n long, segments array<double>, ups array<double>, downs double, toxic boolean",
     )
     rows = written(rows, "segments")
-    loud = rows.where(F.size("segments") > 0).toPandas()  # at most 2 * per_class rows of a few numbers for each limit
-    quiet = (
-        rows.where(F.size("segments") == 0)
-        .groupBy("model", "toxic")
-        .agg(F.count(F.lit(1)).alias("texts"), F.sum("n").alias("n"), F.sum("downs").alias("downs"))
-        .toPandas()
+    least = [m.least_word() for m in models]
+    totals = rows.groupBy("model", "toxic").agg(
+        F.sum("n").alias("n"),
+        F.sum("downs").alias("downs"),
+        F.sum(F.size(F.filter("segments", lambda s: s >= _of_model(least)))).alias("hits"),
     )
-    fitted = [_calibrated(m, loud[loud["model"] == k], quiet[quiet["model"] == k], share) for k, m in enumerate(models)]
+    totals = totals.toPandas()  # a row per limit and class
+    # a row per limit and lexicon word
+    ups = rows.where("not toxic").select("model", F.explode("ups").alias("up")).groupBy("model", "up").count().toPandas()
+    laws = [_with_law(m, ups[ups["model"] == k], totals[(totals["model"] == k) & ~totals["toxic"]]) for k, m in enumerate(models)]
+    quiet = F.log(_of_model([m.scale for m in laws]) * F.greatest("n", F.lit(1)))
+    excess = F.transform("segments", lambda s: F.greatest(F.lit(0.0), _of_model([m.decay for m in laws]) * s - quiet))
+    evidence = F.aggregate(excess, F.lit(0.0), lambda a, x: a + x).alias("evidence")
+    # at most 2 * per_class numbers per limit; the many texts without evidence are one row
+    judged = rows.select("model", "toxic", evidence).groupBy("model", "toxic", "evidence").count().toPandas()
+    fitted = [_calibrated(m, judged[judged["model"] == k], share) for k, m in enumerate(laws)]
     return min((f for f in fitted if f is not None), key=lambda f: f[0], default=(0.0, flat))[1]
 
 
-def _calibrated(
-    model: ToxicityModel, loud: pd.DataFrame, quiet: pd.DataFrame, share: float
-) -> tuple[float, ToxicityModel] | None:
-    """The model with its extreme-value law and logistic fit from calibration
-    texts, and the fit's weighted log loss; None unless both classes occur.
-    Texts without a segment come as one row per class, with their number."""
-    y = np.concatenate([loud["toxic"], quiet["toxic"]]).astype(bool)
-    times = np.concatenate([np.ones(len(loud)), quiet["texts"].to_numpy(float)])
-    if not times[y].sum() or not times[~y].sum():
-        return None
-    clean, calm = loud[~loud["toxic"].astype(bool)], quiet[~quiet["toxic"].astype(bool)]
-    ups = np.concatenate([*(np.asarray(u, float) for u in clean["ups"]), np.empty(0)])
-    total = max(int(clean["n"].sum() + calm["n"].sum()), 1)
+def _of_model(values: list[float]) -> Column:
+    """The row's model's value."""
+    return F.array(*[F.lit(float(v)) for v in values])[F.col("model")]
+
+
+def _with_law(model: ToxicityModel, ups: pd.DataFrame, clean: pd.DataFrame) -> ToxicityModel:
+    """The model with the extreme-value law of clean calibration texts: ``ups``
+    are their positive word scores (up, count), ``clean`` their sums in at most one row."""
+    total = max(int(clean["n"].sum()), 1)
     # half a clean word at each known score keeps the law defined where clean text has none
     known = model.scores[model.scores > WORD_COST] - WORD_COST
-    shares = np.concatenate([np.ones(len(ups)), np.full(len(known), 0.5), [total]])
-    below = min(float(clean["downs"].sum() + calm["downs"].sum()) / total, -1e-3)
-    decay = _decay(np.concatenate([ups, known, [below]]), shares / shares.sum())
-    least = float(min(known, default=1.0))
-    hits = sum(sum(s >= least for s in segments) for segments in clean["segments"]) + 0.5
-    scale = hits / (total * float(np.exp(-decay * least)))
-    model = replace(model, decay=decay, scale=scale)
-    evidence = [
-        model.evidence([(0, 0, s) for s in segments], n) for n, segments in zip(loud["n"], loud["segments"], strict=True)
-    ] + [0.0] * len(quiet)
+    shares = np.concatenate([ups["count"].to_numpy(float), np.full(len(known), 0.5), [total]])
+    below = min(float(clean["downs"].sum()) / total, -1e-3)
+    decay = _decay(np.concatenate([ups["up"].to_numpy(float), known, [below]]), shares / shares.sum())
+    scale = (int(clean["hits"].sum()) + 0.5) / (total * float(np.exp(-decay * model.least_word())))
+    return replace(model, decay=decay, scale=scale)
+
+
+def _calibrated(model: ToxicityModel, judged: pd.DataFrame, share: float) -> tuple[float, ToxicityModel] | None:
+    """The model with its logistic fit from calibration texts (toxic, evidence,
+    count), and the fit's weighted log loss; None unless both classes occur."""
+    judged = judged.sort_values(["toxic", "evidence"])
+    y, times = judged["toxic"].to_numpy(bool), judged["count"].to_numpy(float)
+    if not times[y].sum() or not times[~y].sum():
+        return None
+    evidence = judged["evidence"].to_numpy(float)
     toxic_share = times[y].sum() / times.sum()
     weight = times * np.where(y, share / toxic_share, (1 - share) / (1 - toxic_share))
-    intercept, slope = _logistic(np.log1p(np.array(evidence)), y.astype(float), weight)
+    intercept, slope = _logistic(np.log1p(evidence), y.astype(float), weight)
     model = replace(model, intercept=intercept, slope=slope)
     p = np.clip([model.probability(e) for e in evidence], 1e-6, 1 - 1e-6)
     return float(-(weight * np.where(y, np.log(p), np.log1p(-p))).sum() / times.sum()), model
