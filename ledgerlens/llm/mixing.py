@@ -16,7 +16,7 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ledgerlens.llm.common import WORD, written
@@ -76,16 +76,16 @@ def raked(cells: DataFrame, flatten: dict[str, float] = FLATTEN, rounds: int = R
         for margin in _MARGINS:
             sums = cells.groupBy(margin).agg(F.pow(F.sum("tokens") / F.lit(float(total)), F.lit(flatten[margin])).alias("w"))
             norm = sums.agg(F.sum("w")).first()[0]
-            goal = (F.col("w") / norm * float(total)).alias(_goal(margin))
-            cells = _with_margin(cells, margin, sums.select(margin, goal))
+            share = F.pow(F.col("__now") / F.lit(float(total)), F.lit(flatten[margin]))
+            cells = _with_sum(cells, margin, "tokens", few).withColumn(_goal(margin), share / norm * float(total)).drop("__now")
         for k in range(rounds):
             for margin in _MARGINS:
-                sums = cells.groupBy(margin).agg(F.sum("target").alias("__now"))
                 scaled = F.col("target") * (F.col(_goal(margin)) / F.col("__now"))
-                cells = _with_margin(cells, margin, sums).withColumn("target", scaled).drop("__now")
-            cells = _together(written(cells, "cells"), few)
-            if (k + 1) % CHECK_EVERY == 0 and _off(cells) <= TOLERANCE * total:
-                break
+                cells = _with_sum(cells, margin, "target", few).withColumn("target", scaled).drop("__now")
+            if (k + 1) % CHECK_EVERY == 0 or k + 1 == rounds:
+                cells = _together(written(cells, "cells"), few)
+                if _off(cells) <= TOLERANCE * total:
+                    break
     return cells.drop(*map(_goal, _MARGINS))
 
 
@@ -112,10 +112,18 @@ def _goal(margin: str) -> str:
     return f"__goal_{margin}"
 
 
-def _with_margin(cells: DataFrame, margin: str, values: DataFrame) -> DataFrame:
-    """Cells with the further columns of a table of the margin's values; NULL is a value."""
-    values = values.withColumnRenamed(margin, "__value")
-    return cells.join(values, F.col(margin).eqNullSafe(F.col("__value"))).drop("__value")
+def _with_sum(cells: DataFrame, margin: str, what: str, few: bool) -> DataFrame:
+    """Cells with ``__now``, the sum of a column over the margin's value; NULL is a value.
+
+    Few cells, held by one task, are summed in windows, so rounds follow one another
+    in one plan without a join.  Many are written, summed by a partial aggregate and
+    joined, so that a value with a large part of the cells is no window of one task.
+    """
+    if few:
+        return cells.withColumn("__now", F.sum(what).over(Window.partitionBy(margin)))
+    cells = written(cells, "cells")
+    sums = cells.groupBy(F.col(margin).alias("__value")).agg(F.sum(what).alias("__now"))
+    return cells.join(sums, F.col(margin).eqNullSafe(F.col("__value"))).drop("__value")
 
 
 def _off(cells: DataFrame) -> float:
