@@ -1089,16 +1089,22 @@ def q_i6(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.category_ranking(H.categories_tree(stages.plain_fact(spark, sf_dir)))
 
 
-YOY_SQL = (
-    "SELECT label, id, left_year, right_year, previous_amount, current_amount, current_amount - previous_amount AS "
-    "delta_amount, CASE WHEN previous_amount <> 0 THEN (current_amount - previous_amount) / previous_amount ELSE "
-    f"{O.dbl(1.0)} END AS delta_share FROM (SELECT label, first(l1_category_id ORDER BY _row_seq) AS id, any_value(ly) AS "
-    "left_year, any_value(ry) AS right_year, CAST(coalesce(sum(CAST(amount AS DECIMAL(28,6))) FILTER (WHERE year = ly), 0) "
-    "AS DOUBLE) AS previous_amount, CAST(coalesce(sum(CAST(amount AS DECIMAL(28,6))) FILTER (WHERE year = ry), 0) AS DOUBLE) "
-    "AS current_amount FROM (SELECT CASE WHEN coalesce(l1_category_label, '') = '' THEN 'Прочее' ELSE l1_category_label END "
-    f"AS label, l1_category_id, year, amount, _row_seq, (SELECT min(year) FROM {DET_LIGHT}) AS ly, (SELECT max(year) FROM "
-    f"{DET_LIGHT}) AS ry FROM {DET_LIGHT}) GROUP BY label)"
-)
+def yoy_sql(details: str) -> str:
+    return (
+        "SELECT label, id, left_year, right_year, previous_amount, current_amount, current_amount - previous_amount AS "
+        "delta_amount, CASE WHEN previous_amount <> 0 THEN (current_amount - previous_amount) / previous_amount ELSE "
+        f"{O.dbl(1.0)} END AS delta_share FROM (SELECT label, first(l1_category_id ORDER BY _row_seq) AS id, any_value(ly) AS "
+        "left_year, any_value(ry) AS right_year, CAST(coalesce(sum(CAST(amount AS DECIMAL(28,6))) FILTER (WHERE year = ly), 0) "
+        "AS DOUBLE) AS previous_amount, CAST(coalesce(sum(CAST(amount AS DECIMAL(28,6))) FILTER (WHERE year = ry), 0) AS DOUBLE) "
+        "AS current_amount FROM (SELECT CASE WHEN coalesce(l1_category_label, '') = '' THEN 'Прочее' ELSE l1_category_label END "
+        f"AS label, l1_category_id, year, amount, _row_seq, (SELECT min(year) FROM {details}) AS ly, (SELECT max(year) FROM "
+        f"{details}) AS ry FROM {details}) GROUP BY label)"
+    )
+
+
+YOY_SQL = yoy_sql(DET_LIGHT)
+#: The span of years a reader compares, both whole in the given tables.
+YOY_SPAN = (1996, 1997)
 
 
 @register("category_yoy", f"SELECT * FROM ({YOY_SQL}) ORDER BY abs(delta_amount) DESC, label LIMIT 8")
@@ -1111,6 +1117,24 @@ def q_i8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.growth_leader(_details_light(spark, sf_dir))
 
 
+@register(
+    "growth_leader_of_years",
+    f"SELECT * FROM ({yoy_sql(f'(SELECT * FROM {DET_LIGHT} WHERE year BETWEEN {YOY_SPAN[0]} AND {YOY_SPAN[1]})')}) "
+    "WHERE delta_amount > 0 ORDER BY delta_amount DESC, label LIMIT 1",
+)
+def q_i8_of_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.growth_leader(_details_light(spark, sf_dir).where(F.col("year").between(*YOY_SPAN)))
+
+
+@register(
+    "category_yoy_of_years",
+    f"SELECT * FROM ({yoy_sql(f'(SELECT * FROM {DET_LIGHT} WHERE year BETWEEN {YOY_SPAN[0]} AND {YOY_SPAN[1]})')}) "
+    "ORDER BY abs(delta_amount) DESC, label LIMIT 8",
+)
+def q_i7_of_years(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return I.category_yoy(_details_light(spark, sf_dir).where(F.col("year").between(*YOY_SPAN)))
+
+
 @register(
     "stuck_amount",
     f"SELECT CAST(coalesce(sum(CAST(amount AS DECIMAL(28,6))) FILTER (WHERE status_group IN {UNPAID_IN}), 0) AS DOUBLE) "
