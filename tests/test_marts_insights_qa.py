@@ -115,3 +115,16 @@ def test_rollup_matches_levels(spark):
               for r in marts.group_amount_and_count(f, ["l1_category"]).collect()}
     assert l1 == direct
     assert {r["id"] for r in tree.where("level = 'l1'").collect()} == set(direct)
+
+
+def test_reports_read_the_rows_once(spark, tmp_path):
+    """The checks and the confidence shares need one scan of the fact (it is dear to make)."""
+    from ledgerlens.operators import quality
+
+    path = str(tmp_path / "fact")
+    spark.createDataFrame([("p", 1.0, 1999, "high"), ("q", None, None, None)], "payment_id string, amount double, year int, classification_confidence string").write.parquet(path)
+    fact = spark.read.parquet(path)
+    plan = quality.qa_checks(fact)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1
+    shares = {r["classification_confidence"]: r["share"] for r in quality.confidence_distribution(fact).collect()}
+    assert shares == {"high": 0.5, "unclassified": 0.5}

@@ -73,3 +73,10 @@ def test_query_matches_oracle(spark, con, name):
     idx = [ocols.index(c) for c in cols]
     orows = Counter(tuple(_norm(r[i]) for i in idx) for r in rel.fetchall())
     assert srows == orows
+
+
+def test_detail_rows_have_all_columns(spark):
+    from ledgerlens.operators.dashboard import DETAIL_COLUMNS
+
+    assert entry.queries()["detail_rows"](spark, SF).columns == DETAIL_COLUMNS
+    assert "has_transformations" in entry.oracle_sql()["detail_rows"]
