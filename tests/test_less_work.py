@@ -54,3 +54,10 @@ def test_flag_says_whether_the_log_has_rows(spark):
 
 def test_log_query_does_not_classify(spark):
     assert CLASSIFIER not in plan_of(entry.queries()["transformation_log"](spark, SF))
+
+
+def test_raw_attributes_equal_those_of_the_audit(spark):
+    raw = ingest.with_row_seq(raw_rows(spark), RAW_COLUMNS)
+    assert rows_of(audit.raw_attribute_rows(raw)) == rows_of(audit.attribute_rows(audit.audit_trail(raw)))
+    plan = plan_of(entry.queries()["row_raw_attributes"](spark, SF))
+    assert CLASSIFIER not in plan and "map_filter" not in plan
