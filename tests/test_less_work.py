@@ -61,3 +61,19 @@ def test_raw_attributes_equal_those_of_the_audit(spark):
     assert rows_of(audit.raw_attribute_rows(raw)) == rows_of(audit.attribute_rows(audit.audit_trail(raw)))
     plan = plan_of(entry.queries()["row_raw_attributes"](spark, SF))
     assert CLASSIFIER not in plan and "map_filter" not in plan
+
+
+@pytest.mark.parametrize("first_rows", [10_000, 0])
+def test_row_at_is_the_numbered_row(spark, monkeypatch, first_rows):
+    monkeypatch.setattr(ingest, "FIRST_ROWS", first_rows)
+    raw = raw_rows(spark).repartition(5)
+    numbered = {r[ingest.ROW_SEQ]: r.asDict() for r in ingest.with_row_seq(raw, RAW_COLUMNS).collect()}
+    for number in (0, 1, 42, len(numbered) - 1):
+        (row,) = ingest.row_at(raw, number, RAW_COLUMNS).collect()
+        assert row.asDict() == numbered[number]
+    assert ingest.row_at(raw, len(numbered), RAW_COLUMNS).count() == 0
+
+
+def test_row_detail_numbers_no_other_rows(spark, monkeypatch):
+    monkeypatch.setattr(ids, "written", lambda *a: pytest.fail("rows are numbered"))
+    assert entry.queries()["row_detail"](spark, SF).where(F.col("detail_row_id") == "row_42").count() > 0
