@@ -77,3 +77,11 @@ def test_row_at_is_the_numbered_row(spark, monkeypatch, first_rows):
 def test_row_detail_numbers_no_other_rows(spark, monkeypatch):
     monkeypatch.setattr(ids, "written", lambda *a: pytest.fail("rows are numbered"))
     assert entry.queries()["row_detail"](spark, SF).where(F.col("detail_row_id") == "row_42").count() > 0
+
+
+def test_rules_put_only_the_queue_in_order(spark, monkeypatch):
+    placed, keep = [], ids.written
+    monkeypatch.setattr(ids, "written", lambda df, name: placed.append(df.count()) or keep(df, name))
+    assert entry.queries()["labels_to_rules"](spark, SF).count() > 0
+    rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
+    assert 0 < max(placed) < rows / 10
