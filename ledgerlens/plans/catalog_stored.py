@@ -95,7 +95,7 @@ def q_reviewed_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("json_sink", f"SELECT status_group, {O.AMOUNT_AND_COUNT} FROM fact GROUP BY status_group")
 def q_json_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A report section as JSON lines, read back."""
-    section = E.build_agg_status(stages.plain_fact(spark, sf_dir))
+    section = E.build_agg_status(stages.unclassified_fact(spark, sf_dir))
     return spark.read.schema(section.schema).json(sinks.write_json(section, _new_folder(spark, "section")))
 
 

@@ -85,3 +85,9 @@ def test_rules_put_only_the_queue_in_order(spark, monkeypatch):
     assert entry.queries()["labels_to_rules"](spark, SF).count() > 0
     rows = spark.read.parquet(f"{SF}/lineitem.parquet").count()
     assert 0 < max(placed) < rows / 10
+
+
+def test_aggregates_by_other_columns_do_not_classify(spark):
+    for name in ("status_breakdown", "agg_status", "agg_vendors", "monthly_series"):
+        assert CLASSIFIER not in plan_of(entry.queries()[name](spark, SF)), name
+    assert CLASSIFIER in plan_of(entry.queries()["categories_tree"](spark, SF))
