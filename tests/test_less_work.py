@@ -1,11 +1,14 @@
 """Queries that leave out work whose results they do not return: same rows, smaller plans."""
 
+from collections import Counter
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from ledgerlens.functions import ids
-from ledgerlens.operators import audit
+from ledgerlens.operators import audit, dashboard, insights, marts
+from ledgerlens.plans import pipeline
 from ledgerlens.sources import ingest
 from ledgerlens.sources.adapter import RAW_COLUMNS
 
@@ -91,3 +94,19 @@ def test_aggregates_by_other_columns_do_not_classify(spark):
     for name in ("status_breakdown", "agg_status", "agg_vendors", "monthly_series"):
         assert CLASSIFIER not in plan_of(entry.queries()[name](spark, SF)), name
     assert CLASSIFIER in plan_of(entry.queries()["categories_tree"](spark, SF))
+
+
+def test_a_run_makes_its_cube_and_insights_once(spark, monkeypatch, tmp_path):
+    made = Counter()
+    for module, name in ((marts, "aggregate_cube"), (insights, "all_insights"), (marts, "group_amount_and_count")):
+        def counted(*args, real=getattr(module, name), name=name):
+            made[name] += 1
+            return real(*args)
+        monkeypatch.setattr(module, name, counted)
+    paths = pipeline.run_pipeline(spark, raw_rows(spark), str(tmp_path), years=(1999, 2000), order_cols=RAW_COLUMNS)
+    assert made == {"aggregate_cube": 1, "all_insights": 1}
+    details, index = (spark.read.parquet(paths[name]) for name in ("detail_rows", "detail_row_index"))
+    assert rows_of(index) == rows_of(dashboard.detail_row_index(details))
+    fact = spark.read.parquet(paths["fact"])
+    assert rows_of(spark.read.parquet(paths["status_breakdown"])) == rows_of(dashboard.status_breakdown(fact))
+    assert rows_of(spark.read.parquet(paths["vendors"])) == rows_of(dashboard.entity_aggregate(fact, "vendor_name"))
