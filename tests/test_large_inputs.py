@@ -1,9 +1,10 @@
-"""Steps that grow with the input: same rows, tasks that follow the rows."""
+"""Steps that grow with the input: same rows, tasks that follow the rows, joins made once."""
 
 import datetime as dt
 
 import pytest
 
+from ledgerlens.plans import catalog_stored
 from ledgerlens.sources import adapter
 
 TABLES = {
@@ -50,3 +51,14 @@ def test_row_making_tasks_follow_the_lineitems(spark, tables, monkeypatch):
     assert plan.count("REPARTITION_BY_NUM") == 2 and plan.count("Exchange hashpartitioning") == 2  # not shuffled again
     assert many.rdd.getNumPartitions() >= 80
     assert rows_of(many) == few
+
+
+def test_yearly_loads_make_the_raw_rows_once(spark, tables, monkeypatch):
+    given = []
+    monkeypatch.setattr(catalog_stored, "load_years", lambda spark, raw, out, **kwargs: given.append(raw))
+    monkeypatch.setattr(catalog_stored, "read_published", lambda *args: spark.createDataFrame([], "year int, amount double, payment_id string"))
+    catalog_stored.q_yearly_loads(spark, tables)
+    first, second = given
+    assert all("Join" not in df._jdf.queryExecution().optimizedPlan().toString() for df in given)
+    assert rows_of(first) == rows_of(adapter.raw_payments(spark, tables))
+    assert 0 < second.count() < first.count()
